@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoquarry.functions.text import image_name, question_number, scene
-from geoquarry.llm import crosssplit, encoding, formatting, frequency, leakage, mixing, sampling, splits
-from geoquarry.llm.records import first_rows, object_key, objects, record_key, with_source
+from geoquarry.llm import crosssplit, encoding, formatting, frequency, garbled, leakage, mixing, pairs, sampling, splits
+from geoquarry.llm.records import first_rows, objects, record_key, with_source
 from geoquarry.storage import materialize
 from geoquarry.tables import table
 
@@ -150,6 +150,19 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([tuple(p[c.split()[0]] for c in schema.split(", ")) for p in plan], schema)
 
 
+# 7
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defects(table(spark, d, "vqa_records").select("rec_id", "question", "answer", "ground_truth"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    """Defects by source and kind."""
+    rows = with_source(table(spark, d, "vqa_records").select("rec_id", "dataset", "file_name"), table(spark, d, "dataset_registry"))
+    return p7_found(spark, d).join(rows, "rec_id").groupBy("source", "defect").agg(F.count(F.lit(1)).alias("rows"))
+
+
 # 8
 
 
@@ -170,5 +183,22 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_items").select("item_id", "dataset", "split").join(hit, "item_id")
 
 
+# 10
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.garbled(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_restored(spark, d).select("doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit() and callable(f)}
+
+
+def oracle_sql() -> dict[str, str]:
+    from geoquarry.llm import oracle
+
+    return oracle.oracle_sql()
