@@ -1,3 +1,10 @@
 """Spark-native engine for multimodal instruction data, region graphs and detection analytics."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions that run in Python workers travel with their task: executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
