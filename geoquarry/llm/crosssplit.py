@@ -71,21 +71,31 @@ def fingerprints(share: float) -> Column:
     return F.when((others == 0) | (n == 1), F.array(F.xxhash64("kind", "place", F.array_join("words", " ")))).otherwise(F.array_distinct(pairs))
 
 
+def signature(words: Column) -> Column:
+    """64 parities of the words' hashes; two signatures differ in no more bits than the two sets in words."""
+    return F.aggregate(words, F.lit(0).cast("bigint"), lambda s, w: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int"))))
+
+
 def near_pairs(texts: DataFrame, share: float = 0.8) -> DataFrame:
     """All pairs of a train text and a val or test text of one place that share ``share`` of their words.
 
     Returns kind, train_key, eval_key and the words shared and in either.
-    Fingerprints of both sides are joined on place and rolling hash; seeds
-    that a pair has in common are chained into one candidate; a candidate is
-    extended over all words by merging both word lists, and kept if it
-    reaches the share exactly. Repeated rows are pairs of their own; a text
-    without words, an image or a known split is in none.
+    Fingerprints of both sides are joined on place and rolling hash. A seed
+    is dropped in the join where the texts' signatures differ in more bits
+    than they may in words; the seeds that a pair has in common are chained
+    into one candidate; a candidate is extended over all words by merging
+    both word lists, and kept if it reaches the share exactly. Repeated rows
+    are pairs of their own; a text without words, an image or a known split
+    is in none.
     """
     ordered = materialize(rare_first(materialize(shared_places(texts), "places")), "texts")
-    seeds = ordered.select("kind", "key", "train", F.explode(fingerprints(share)).alias("f"))
-    left = seeds.where("train").select("kind", "f", F.col("key").alias("train_key"))
-    right = seeds.where("not train").select("kind", "f", F.col("key").alias("eval_key"))
-    chained = left.join(right, ["kind", "f"]).select("kind", "train_key", "eval_key").distinct()
+    seeds = ordered.select("kind", "key", "train", F.size("words").alias("n"), signature(F.col("words")).alias("s"), F.explode(fingerprints(share)).alias("f"))
+    left = seeds.where("train").select("f", "kind", F.col("key").alias("train_key"), "n", "s")
+    right = seeds.where("not train").select("f", F.col("kind").alias("_k"), F.col("key").alias("eval_key"), F.col("n").alias("_n"), F.col("s").alias("_s"))
+    # e words in one text only and o in both: e <= o (1 - share) / share, and 2 o + e words in all.
+    most = (F.col("n") + F.col("_n")) * F.lit((1 - share) / (1 + share)) + 1e-6
+    close = (F.col("kind") == F.col("_k")) & (F.bit_count(F.col("s").bitwiseXOR(F.col("_s"))) <= most)
+    chained = left.join(right, (left["f"] == right["f"]) & close).select("kind", "train_key", "eval_key").distinct()
     side = lambda t, key, out: ordered.where(t).select("kind", F.col("key").alias(key), F.col("words").alias(out))
     pairs = chained.join(side("train", "train_key", "a"), ["kind", "train_key"]).join(side("not train", "eval_key", "b"), ["kind", "eval_key"])
     shared = F.size(F.array_intersect("a", "b"))
