@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,24 +52,29 @@ def rouge_l(predicted: pd.Series, reference: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(predicted, reference)])
 
 
-def bleu4(predicted: Column, reference: Column) -> Column:
-    """Character BLEU of up to four characters; precisions that are zero are 1 / (2^k n), k counting them.
+@F.pandas_udf(DoubleType())
+def bleu4(predicted: pd.Series, reference: pd.Series) -> pd.Series:
+    """Character BLEU of up to four characters, of one prediction against one reference.
 
-    As in the third common smoothing. Empty predictions score 0.
+    A precision that is zero becomes 1 / (2^k n), k counting the zero ones, as
+    in the third common smoothing. Without a shared character the score is 0.
     """
-    a, b = F.split(predicted, ""), F.split(reference, "")
-    precisions = []
-    for n in (1, 2, 3, 4):
-        x = ngrams(a, n)
-        precisions.append(F.struct(overlap(x, ngrams(b, n)).cast("double").alias("hit"), F.greatest(F.size(x), F.lit(1)).cast("double").alias("all")))
-    state = F.struct(F.lit(0.0).alias("log"), F.lit(1.0).alias("k"))
-
-    def step(s: Column, p: Column) -> Column:
-        smooth = F.when(p["hit"] > 0, p["hit"] / p["all"]).otherwise(1.0 / (s["k"] * 2 * p["all"]))
-        return F.struct((s["log"] + F.log(smooth) / 4).alias("log"), F.when(p["hit"] > 0, s["k"]).otherwise(s["k"] * 2).alias("k"))
-
-    mean = F.exp(F.aggregate(F.array(*precisions), state, step, lambda s: s["log"]))
-    la, lb = F.length(predicted).cast("double"), F.length(reference).cast("double")
-    brief = F.when(la > lb, 1.0).otherwise(F.exp(1 - lb / F.nullif(la, F.lit(0.0))))
-    shared_any = F.size(F.array_intersect(a, b)) > 0
-    return F.when((la == 0) | (lb == 0) | ~shared_any, 0.0).otherwise(mean * brief)
+
+    def one(a: str | None, b: str | None) -> float:
+        if not a or not b:
+            return 0.0
+        total, k = 0.0, 1
+        for n in (1, 2, 3, 4):
+            grams = Counter(a[i : i + n] for i in range(len(a) - n + 1))
+            known = Counter(b[i : i + n] for i in range(len(b) - n + 1))
+            hit = sum(min(c, known[g]) for g, c in grams.items())
+            size = max(1, sum(grams.values()))
+            if not hit:
+                if n == 1:
+                    return 0.0
+                k *= 2
+            total += math.log(hit / size if hit else 1 / (k * size)) / 4
+        brief = 1.0 if len(a) > len(b) else math.exp(1 - len(b) / len(a))
+        return math.exp(total) * brief
+
+    return pd.Series([one(a, b) for a, b in zip(predicted, reference)])

@@ -111,7 +111,7 @@ def optimal_match(dets: DataFrame, truths: DataFrame, most: float = 0.8) -> Data
         pairs, _, _ = assign_within(cost, most)
         return pd.DataFrame([(d.image_id[i], d.det_id[i], t.gt_id[j], cost[i, j]) for i, j in pairs], columns=["image_id", "det_id", "gt_id", "cost"])
 
-    return dets.groupBy("image_id").cogroup(truths.groupBy("image_id")).applyInPandas(run, "image_id bigint, det_id bigint, gt_id bigint, cost double")
+    return dets.groupBy("image_id").cogroup(truths.withColumnRenamed("image_id", "_image").groupBy("_image")).applyInPandas(run, "image_id bigint, det_id bigint, gt_id bigint, cost double")
 
 
 def set_match_cost(boxes: np.ndarray, scores: np.ndarray, truths: np.ndarray, classes: np.ndarray, alpha: float = 0.25, gamma: float = 2.0, weights: tuple[float, float, float] = (1.0, 5.0, 2.0)) -> np.ndarray:

@@ -130,6 +130,11 @@ def per_image(df: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], schema
     return df.groupBy("image_id").applyInPandas(run, schema)
 
 
+def _keyed(edges: DataFrame):
+    """Groups edges by image under a name of their own, as they may stem from the table they are grouped with."""
+    return edges.withColumnRenamed("image_id", "_image").groupBy("_image")
+
+
 def diffuse(nodes: DataFrame, conductive: DataFrame, dt: float, steps: int) -> DataFrame:
     """Temperatures after up to ``steps`` steps, one image at a time: image_id, region, temp."""
 
@@ -140,7 +145,7 @@ def diffuse(nodes: DataFrame, conductive: DataFrame, dt: float, steps: int) -> D
         n["temp"] = diffuse_arrays(n["temp"].to_numpy(float), src, dst, e["k"].to_numpy(float), dt, steps)
         return n[["image_id", "region", "temp"]]
 
-    return nodes.select("image_id", "region", "temp").groupBy("image_id").cogroup(conductive.groupBy("image_id")).applyInPandas(run, "image_id bigint, region int, temp double")
+    return nodes.select("image_id", "region", "temp").groupBy("image_id").cogroup(_keyed(conductive)).applyInPandas(run, "image_id bigint, region int, temp double")
 
 
 def merge(heat: DataFrame, edges: DataFrame, least: float) -> DataFrame:
@@ -154,7 +159,7 @@ def merge(heat: DataFrame, edges: DataFrame, least: float) -> DataFrame:
         n["merged"] = np.unique(union_find(len(n), pairs), return_inverse=True)[1].astype(np.int32)
         return n[["image_id", "region", "merged"]]
 
-    return heat.select("image_id", "region", "temp").groupBy("image_id").cogroup(edges.groupBy("image_id")).applyInPandas(run, "image_id bigint, region int, merged int")
+    return heat.select("image_id", "region", "temp").groupBy("image_id").cogroup(_keyed(edges)).applyInPandas(run, "image_id bigint, region int, merged int")
 
 
 def relabel(pixels: DataFrame, merged: DataFrame) -> DataFrame:

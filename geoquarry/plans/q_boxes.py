@@ -1,0 +1,221 @@
+"""Queries: box conversions and overlaps, matching, average precision, confusion, suppression."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from geoquarry.functions import geometry as G
+from geoquarry.operators import kernels, metrics
+from geoquarry.operators import tokens as K
+from geoquarry.plans.queries import query
+from geoquarry.plans.views import BOXES, boxes, detections, overlap_sql, truths
+from geoquarry.sources import sinks
+
+
+def _six(x: str) -> str:
+    """Six digits by the same arithmetic in any engine."""
+    return f"(floor(({x}) * 1e6 + 0.5) / 1e6)"
+
+
+def six(x: Column) -> Column:
+    return F.floor(x * 1e6 + 0.5) / 1e6
+
+
+@query(f"""WITH {BOXES} SELECT image_id, box_id, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, x2 - x1 AS w, y2 - y1 AS h, (x1 + x2) / 2 / 128 AS ncx, (y2 - y1) / 96 AS nh,
+ least(greatest(x2, 0.0), 64.0) AS clipped, (x2 - x1) * (y2 - y1) AS area, 128 - x2 AS flipped FROM boxes""")
+def box_convert(spark: SparkSession, d: str) -> DataFrame:
+    b = G.box()
+    cx, cy, w, h = G.xyxy_to_xywh(b)
+    back = G.xywh_to_xyxy((cx, cy, w, h))
+    n = G.xyxy_to_xywhn(back, 128, 96)
+    return boxes(spark, d).select("image_id", "box_id", cx.alias("cx"), cy.alias("cy"), w.alias("w"), h.alias("h"), n[0].alias("ncx"), n[3].alias("nh"), G.clip_box(b, 64, 64)[2].alias("clipped"), G.area(b).alias("area"), G.flip_lr(b, F.lit(128.0))[0].alias("flipped"))
+
+
+@query(f"""WITH {BOXES} SELECT image_id, box_id, least(greatest((x1 - 0) / 0.5, 0.0), 200.0) AS sx1, least(greatest((y1 - 14) / 0.5, 0.0), 150.0) AS sy1,
+ CASE WHEN x1 < 20 THEN 0.0 ELSE x1 END AS snapped, CASE WHEN y2 > 80 - 20 THEN 80.0 ELSE y2 END AS snapped_y, x1 + 7 AS uncropped FROM boxes""")
+def box_scale(spark: SparkSession, d: str) -> DataFrame:
+    b = G.box()
+    # A 200 x 150 image letterboxed into 100 x 103: gain 0.5, pad 0 and 14.
+    s = G.scale_box(b, (103, 100), (150, 200))
+    snap = G.snap_to_border(b, 100, 80)
+    seven = tuple(F.lit(7.0) for _ in range(4))
+    return boxes(spark, d).select("image_id", "box_id", s[0].alias("sx1"), s[1].alias("sy1"), snap[0].alias("snapped"), snap[3].alias("snapped_y"), G.uncrop(b, seven)[0].alias("uncropped"))
+
+
+@query(f"""WITH {BOXES} SELECT d.image_id, d.det_id, g.gt_id, {overlap_sql("g", "d")} AS iou FROM det d JOIN gt g ON d.image_id = g.image_id AND d.cls = g.cls WHERE {overlap_sql("g", "d")} >= 0.5""")
+def iou_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.iou_pairs(detections(spark, d), truths(spark, d), 0.5).select("image_id", "det_id", "gt_id", "iou")
+
+
+_V = f"""v AS (SELECT d.image_id, d.det_id, g.gt_id, d.x2 - d.x1 AS w1, d.y2 - d.y1 + 1e-7 AS h1, g.x2 - g.x1 AS w2, g.y2 - g.y1 + 1e-7 AS h2,
+ greatest(least(d.x2, g.x2) - greatest(d.x1, g.x1), 0.0) * greatest(least(d.y2, g.y2) - greatest(d.y1, g.y1), 0.0) AS inter,
+ greatest(d.x2, g.x2) - least(d.x1, g.x1) AS cw, greatest(d.y2, g.y2) - least(d.y1, g.y1) AS ch,
+ ((g.x1 + g.x2 - d.x1 - d.x2) * (g.x1 + g.x2 - d.x1 - d.x2) + (g.y1 + g.y2 - d.y1 - d.y2) * (g.y1 + g.y2 - d.y1 - d.y2)) / 4 AS rho
+ FROM det d JOIN gt g ON d.image_id = g.image_id AND d.cls = g.cls),
+u AS (SELECT *, w1 * h1 + w2 * h2 - inter + 1e-7 AS un, 4 / {math.pi**2!r} * (atan(w2 / h2) - atan(w1 / h1)) * (atan(w2 / h2) - atan(w1 / h1)) AS vv FROM v)"""
+
+
+@query(f"""WITH {BOXES}, {_V} SELECT image_id, det_id, gt_id, {_six("inter / un")} AS iou, {_six("inter / un - (cw * ch + 1e-7 - un) / (cw * ch + 1e-7)")} AS giou,
+ {_six("inter / un - rho / (cw * cw + ch * ch + 1e-7)")} AS diou, {_six("inter / un - (rho / (cw * cw + ch * ch + 1e-7) + vv * (vv / (vv - inter / un + (1 + 1e-7))))")} AS ciou FROM u""")
+def giou_diou_ciou(spark: SparkSession, d: str) -> DataFrame:
+    a = detections(spark, d).select("image_id", "det_id", "cls", *[F.col(c).alias(f"d{c}") for c in ("x1", "y1", "x2", "y2")])
+    b = truths(spark, d).select("image_id", "gt_id", "cls", *[F.col(c).alias(f"t{c}") for c in ("x1", "y1", "x2", "y2")])
+    v = G.iou_variants(G.box("d"), G.box("t"))
+    return a.join(b, ["image_id", "cls"]).select("image_id", "det_id", "gt_id", *[six(c).alias(n) for n, c in v.items()])
+
+
+@query(f"""WITH {BOXES} SELECT d.image_id, d.det_id, g.gt_id FROM det d JOIN gt g USING (image_id)
+WHERE greatest(least(d.x2, g.x2) - greatest(d.x1, g.x1), 0.0) * greatest(least(d.y2, g.y2) - greatest(d.y1, g.y1), 0.0) / ((g.x2 - g.x1) * (g.y2 - g.y1) + 1e-7) > 0.9""")
+def ioa_filter(spark: SparkSession, d: str) -> DataFrame:
+    a = detections(spark, d).select("image_id", "det_id", *[F.col(c).alias(f"d{c}") for c in ("x1", "y1", "x2", "y2")])
+    b = truths(spark, d).select(F.col("image_id").alias("_i"), "gt_id", *[F.col(c).alias(f"t{c}") for c in ("x1", "y1", "x2", "y2")])
+    return a.join(b, (F.col("image_id") == F.col("_i")) & (G.ioa(G.box("d"), G.box("t")) > 0.9)).select("image_id", "det_id", "gt_id")
+
+
+@query(f'''WITH {BOXES} SELECT image_id, box_id, (floor(((exp(-(9.0) / ((2 * 0.05) * (2 * 0.05) * ((x2 - x1) * (y2 - y1) + 1e-7) * 2)) * 1 + exp(-(conf * conf) / ((2 * 0.1) * (2 * 0.1) * ((x2 - x1) * (y2 - y1) + 1e-7) * 2)) * CASE WHEN cls <> 0 THEN 1 ELSE 0 END)
+ / (1 + CASE WHEN cls <> 0 THEN 1 ELSE 0 END + 1e-7)) * 1e3 + 0.25) / 1e3) AS oks FROM boxes''')
+def oks(spark: SparkSession, d: str) -> DataFrame:
+    point = lambda x, y, v: F.array(x.cast("double"), y.cast("double"), v.cast("double"))
+    a = F.array(point(F.col("x1"), F.col("y1"), F.lit(2)), point(F.col("x2"), F.col("y2"), F.col("cls")))
+    b = F.array(point(F.col("x1") + 3, F.col("y1"), F.lit(2)), point(F.col("x2"), F.col("y2") - F.col("conf"), F.col("cls")))
+    return boxes(spark, d).select("image_id", "box_id", (F.floor(G.oks(a, b, G.area(G.box()), [0.05, 0.1]) * 1e3 + 0.25) / 1e3).alias("oks"))
+
+
+_MATCH = f"""pr AS (SELECT d.image_id, d.det_id, g.gt_id, d.conf, d.cls, {overlap_sql("g", "d")} AS iou FROM det d JOIN gt g ON d.image_id = g.image_id AND d.cls = g.cls),
+th AS (SELECT round(0.5 + 0.05 * i, 2) AS threshold FROM range(10) t(i)),
+m1 AS (SELECT threshold, pr.* FROM pr JOIN th ON iou >= threshold QUALIFY row_number() OVER (PARTITION BY threshold, image_id, det_id ORDER BY iou DESC, gt_id) = 1),
+m AS (SELECT * FROM m1 QUALIFY row_number() OVER (PARTITION BY threshold, image_id, gt_id ORDER BY det_id) = 1)"""
+
+
+def _matches(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.greedy_match(metrics.iou_pairs(detections(spark, d), truths(spark, d), 0.5))
+
+
+@query(f"WITH {BOXES}, {_MATCH} SELECT threshold, image_id, det_id, gt_id FROM m")
+def match_ap(spark: SparkSession, d: str) -> DataFrame:
+    return _matches(spark, d).select("threshold", "image_id", "det_id", "gt_id")
+
+
+_CURVE = f"""{_MATCH}, nt AS (SELECT cls, count(*) AS n_true FROM gt GROUP BY cls),
+fl AS (SELECT th.threshold, d.cls, d.image_id, d.det_id, d.conf, CASE WHEN m.det_id IS NOT NULL THEN 1 ELSE 0 END AS hit FROM det d CROSS JOIN th
+  LEFT JOIN m ON m.threshold = th.threshold AND m.image_id = d.image_id AND m.det_id = d.det_id),
+cu AS (SELECT threshold, cls, image_id, det_id, conf, sum(hit) OVER w AS tp, count(*) OVER w AS seen FROM fl
+  WINDOW w AS (PARTITION BY threshold, cls ORDER BY conf DESC, image_id, det_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+pr_curve AS (SELECT threshold, cls, image_id, det_id, conf, tp, seen - tp AS fp, tp / (n_true + 1e-16) AS recall, tp / seen AS precision FROM cu JOIN nt USING (cls))"""
+
+
+@query(f"WITH {BOXES}, {_CURVE} SELECT threshold, cls, image_id, det_id, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, recall, precision FROM pr_curve")
+def precision_recall_curve(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.precision_recall(detections(spark, d), truths(spark, d), _matches(spark, d)).select("threshold", "cls", "image_id", "det_id", "tp", "fp", "recall", "precision")
+
+
+_AP = f"""{_CURVE},
+lv AS (SELECT threshold, cls, recall AS r, max(precision) AS pf, min(precision) AS pl FROM pr_curve GROUP BY ALL),
+en AS (SELECT threshold, cls, r, greatest(pf, coalesce(max(pf) OVER (PARTITION BY threshold, cls ORDER BY r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)) AS ef,
+  greatest(pl, coalesce(max(pf) OVER (PARTITION BY threshold, cls ORDER BY r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)) AS el FROM lv),
+gr AS (SELECT DISTINCT threshold, cls, g FROM lv CROSS JOIN range(101) t(g)),
+rd AS (SELECT gr.threshold, gr.cls, gr.g, coalesce(max(en.r) FILTER (en.r <= gr.g / 100 + 1e-11), 0.0) AS a, coalesce(arg_max(en.el, en.r) FILTER (en.r <= gr.g / 100 + 1e-11), 1.0) AS ea,
+  coalesce(min(en.r) FILTER (en.r > gr.g / 100 + 1e-11), 1.0) AS b, coalesce(arg_min(en.ef, en.r) FILTER (en.r > gr.g / 100 + 1e-11), 0.0) AS eb
+  FROM gr JOIN en USING (threshold, cls) GROUP BY ALL),
+ap AS (SELECT threshold, cls, sum(CASE WHEN g = 100 THEN 0 WHEN abs(g / 100 - a) < 1e-11 OR b <= a THEN ea ELSE ea + (eb - ea) * (g / 100 - a) / (b - a) END * CASE WHEN g IN (0, 100) THEN 0.005 ELSE 0.01 END) AS ap FROM rd GROUP BY ALL)"""
+
+
+def _ap(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.average_precision(metrics.precision_recall(detections(spark, d), truths(spark, d), _matches(spark, d)))
+
+
+@query(f"WITH {BOXES}, {_AP} SELECT threshold, cls, round(ap, 6) AS ap FROM ap")
+def ap_per_class(spark: SparkSession, d: str) -> DataFrame:
+    return _ap(spark, d).select("threshold", "cls", F.round("ap", 6).alias("ap"))
+
+
+@query(f"""WITH {BOXES}, {_AP}, mm AS (SELECT avg(ap) FILTER (threshold = 0.5) AS map50, avg(ap) FILTER (threshold = 0.75) AS map75, avg(ap) AS map FROM ap)
+SELECT round(map50, 6) AS map50, round(map75, 6) AS map75, round(map, 6) AS map, round(0.1 * map50 + 0.9 * map, 6) AS fitness FROM mm""")
+def map_summary(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.mean_metrics(_ap(spark, d)).select(*[F.round(c, 6).alias(c) for c in ("map50", "map75", "map", "fitness")])
+
+
+@query(f"""WITH {BOXES}, {_CURVE}, f AS (SELECT cls, 2 * precision * recall / (precision + recall + 1e-16) AS f1, conf, precision, recall FROM pr_curve WHERE threshold = 0.5)
+SELECT cls, round(f1, 6) AS f1, round(precision, 6) AS precision, round(recall, 6) AS recall FROM f QUALIFY row_number() OVER (PARTITION BY cls ORDER BY f1 DESC, conf DESC, precision DESC, recall DESC) = 1""")
+def best_f1(spark: SparkSession, d: str) -> DataFrame:
+    curve = metrics.precision_recall(detections(spark, d), truths(spark, d), _matches(spark, d))
+    return metrics.best_f1(curve).select("cls", *[F.round(c, 6).alias(c) for c in ("f1", "precision", "recall")])
+
+
+_CONF = f"""gd AS (SELECT * FROM det WHERE conf > 0.25),
+c1 AS (SELECT d.image_id, d.det_id, g.gt_id, d.cls AS pred, g.cls AS tru, {overlap_sql("g", "d")} AS iou FROM gd d JOIN gt g ON d.image_id = g.image_id AND {overlap_sql("g", "d")} > 0.45
+  QUALIFY row_number() OVER (PARTITION BY d.image_id, d.det_id ORDER BY iou DESC, g.gt_id) = 1),
+c2 AS (SELECT * FROM c1 QUALIFY row_number() OVER (PARTITION BY image_id, gt_id ORDER BY iou DESC, det_id) = 1),
+al AS (SELECT pred, tru FROM c2 UNION ALL SELECT 3, g.cls FROM gt g ANTI JOIN c2 ON c2.image_id = g.image_id AND c2.gt_id = g.gt_id
+  UNION ALL SELECT d.cls, 3 FROM gd d ANTI JOIN c2 ON c2.image_id = d.image_id AND c2.det_id = d.det_id),
+cm AS (SELECT pred, tru AS "true", count(*) AS n FROM al GROUP BY ALL)"""
+
+
+@query(f"WITH {BOXES}, {_CONF} SELECT image_id, det_id, gt_id FROM c2")
+def match_confmat(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.confusion_match(detections(spark, d), truths(spark, d)).select("image_id", "det_id", "gt_id")
+
+
+@query(f'WITH {BOXES}, {_CONF} SELECT pred, "true", n FROM cm')
+def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.confusion_matrix(detections(spark, d), truths(spark, d), 3)
+
+
+@query(f'WITH {BOXES}, {_CONF} SELECT pred AS cls, CAST(sum(CASE WHEN pred = "true" THEN n ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN pred <> "true" THEN n ELSE 0 END) AS BIGINT) AS fp FROM cm WHERE pred < 3 GROUP BY pred')
+def tp_fp(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.true_false(metrics.confusion_matrix(detections(spark, d), truths(spark, d), 3), 3)
+
+
+@query(f"WITH RECURSIVE {BOXES}, " + f"""o AS (SELECT *, row_number() OVER (PARTITION BY image_id, cls ORDER BY conf DESC, det_id) AS k FROM det WHERE conf > 0.25),
+s AS (SELECT a.image_id, a.cls, a.k AS i, b.k AS j FROM o a JOIN o b ON a.image_id = b.image_id AND a.cls = b.cls AND a.k < b.k
+  AND (greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0.0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0.0)) / ((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0.0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0.0)) > 0.45),
+g AS (SELECT image_id, cls, i, list(j) AS js FROM s GROUP BY ALL),
+n AS (SELECT image_id, cls, max(k) AS n FROM o GROUP BY ALL),
+r(image_id, cls, k, n, gone) AS (
+  SELECT image_id, cls, CAST(0 AS BIGINT), n, CAST([] AS BIGINT[]) FROM n
+  UNION ALL
+  SELECT r.image_id, r.cls, r.k + 1, r.n, CASE WHEN list_contains(r.gone, r.k + 1) OR g.js IS NULL THEN r.gone ELSE list_concat(r.gone, g.js) END
+  FROM r LEFT JOIN g ON g.image_id = r.image_id AND g.cls = r.cls AND g.i = r.k + 1 WHERE r.k < r.n),
+f AS (SELECT image_id, cls, gone FROM r WHERE k = n)
+SELECT o.image_id, o.det_id, o.cls FROM o JOIN f USING (image_id, cls) WHERE NOT list_contains(f.gone, o.k)""")
+def nms(spark: SparkSession, d: str) -> DataFrame:
+    return kernels.nms(detections(spark, d)).select("image_id", "det_id", "cls")
+
+
+@query()
+def assignment(spark: SparkSession, d: str) -> DataFrame:
+    return kernels.optimal_match(detections(spark, d), truths(spark, d))
+
+
+@query(f"WITH {BOXES} SELECT image_id, det_id FROM det WHERE x2 - x1 > 20 AND y2 - y1 > 12 AND (x2 - x1) * (y2 - y1) / ((x2 - x1 + 10) * (y2 - y1 + 10) + 1e-16) > 0.4 AND greatest((x2 - x1) / (y2 - y1 + 1e-16), (y2 - y1) / (x2 - x1 + 1e-16)) < 100")
+def box_candidates(spark: SparkSession, d: str) -> DataFrame:
+    b = G.box()
+    before = (b[0], b[1], b[2] + 10, b[3] + 10)
+    big = (b[2] - b[0] > 20) & (b[3] - b[1] > 12)
+    return detections(spark, d).where(big & G.box_candidates(before, b, least_area=0.4)).select("image_id", "det_id")
+
+
+@query(f"""WITH {BOXES} SELECT image_id, box_id, (abs(x1 + 10 - 10) <= 20 AND NOT abs(x1 + 10) <= 20) OR (abs(y1 + 5 - 5) <= 20 AND NOT abs(y1 + 5) <= 20)
+ OR (abs(x2 + 10 - 74) <= 20 AND NOT abs(x2 + 10 - 100) <= 20) OR (abs(y2 + 5 - 53) <= 20 AND NOT abs(y2 + 5 - 80) <= 20) AS near FROM boxes""")
+def crop_edge(spark: SparkSession, d: str) -> DataFrame:
+    lit = lambda *v: tuple(F.lit(float(x)) for x in v)
+    return boxes(spark, d).select("image_id", "box_id", G.near_crop_edge(G.box(), lit(10, 5, 74, 53), lit(0, 0, 100, 80)).alias("near"))
+
+
+@query(f"""WITH {BOXES} SELECT image_id, det_id, '{{"image_id":' || image_id || ',"category_id":' || cls || ',"bbox":[' || x1 || ',' || y1 || ',' || (x2 - x1) || ',' || (y2 - y1) || '],"score":' || floor(conf * 1e4) / 1e4 || '}}' AS json FROM det WHERE conf >= 0.001""")
+def prediction_json(spark: SparkSession, d: str) -> DataFrame:
+    line = sinks.prediction_json(F.col("image_id"), F.col("cls"), *G.box(), F.floor(F.col("conf") * 1e4) / 1e4)
+    return detections(spark, d).where("conf >= 0.001").select("image_id", "det_id", line.alias("json"))
+
+
+@query(f"""WITH {BOXES}, i AS (SELECT DISTINCT image_id, CAST(64 + image_id % 3 AS INTEGER) AS w, CAST(48 + image_id % 5 AS INTEGER) AS h FROM boxes),
+k AS (SELECT image_id, w, h, CAST(floor(least(w, h) * 0.25 * 2 / 2) AS INTEGER) AS lap, unnest(range(4)) AS c FROM i),
+z AS (SELECT *, CAST(ceil((w + lap) / 2) AS INTEGER) AS cw, CAST(ceil((h + lap) / 2) AS INTEGER) AS ch FROM k)
+SELECT image_id, 0 AS layer, 0 AS x1, 0 AS y1, w AS x2, h AS y2 FROM i
+UNION ALL SELECT image_id, 1, CAST((c // 2) * (cw - lap) AS INTEGER), CAST((c % 2) * (ch - lap) AS INTEGER), CAST(least((c // 2) * (cw - lap) + cw, w) AS INTEGER), CAST(least((c % 2) * (ch - lap) + ch, h) AS INTEGER) FROM z""")
+def crop_pyramid(spark: SparkSession, d: str) -> DataFrame:
+    images = boxes(spark, d).select("image_id").distinct().select("image_id", (F.lit(64) + F.col("image_id") % 3).alias("w"), (F.lit(48) + F.col("image_id") % 5).alias("h"))
+    return K.crop_boxes(images, "w", "h", 1, 0.25)
