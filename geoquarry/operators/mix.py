@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoquarry.operators.ranking import _hashed
+from geoquarry.storage import materialize
 
 
 def draw(seed: int, *key: str | Column) -> Column:
@@ -28,18 +29,20 @@ def concat(parts: list[DataFrame]) -> DataFrame:
 def numbered(df: DataFrame, key: str, out: str = "row_no") -> DataFrame:
     """Numbers rows from 0 in the order of ``key`` without sorting the table in one task.
 
-    Rows are sorted by range; sizes of the ranges (a row for each) give their
-    offsets. The range borders come from a sample of the same rows, so a
-    recomputed partition holds the same rows. ``key`` must be unique.
+    Rows are sorted by range and numbered inside their range; the sizes of
+    the ranges, a row for each, give the offsets. The ranges are written
+    before they are counted, because a second evaluation would draw other
+    borders. ``key`` must be unique.
     """
     spark = df.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.repartitionByRange(parts, key).withColumn("_part", F.spark_partition_id())
-    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_least"))
-    before = Window.orderBy("_least").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(F.col("_part"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
     inside = Window.partitionBy("_part").orderBy(key)
-    return ranged.join(F.broadcast(offsets), "_part").withColumn(out, F.row_number().over(inside) - 1 + F.col("_o")).drop("_part", "_o")
+    ranged = df.repartitionByRange(parts, key).withColumn("_part", F.spark_partition_id())
+    placed = materialize(ranged.withColumn("_in", F.row_number().over(inside) - 1), "ranges")
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    return placed.join(offsets, "_part").withColumn(out, F.col("_in") + F.col("_o")).drop("_part", "_o", "_in")
 
 
 def interleave(parts: list[DataFrame], key: str, strategy: str = "under") -> DataFrame:

@@ -62,7 +62,7 @@ def boxes(spark: SparkSession, d: str) -> DataFrame:
         y1.alias("y1"),
         (x1 + 10 + F.col("l_quantity")).alias("x2"),
         (y1 + 10 + F.round(F.col("l_discount") * 100)).alias("y2"),
-        F.least(F.round(F.col("l_extendedprice") / 100000, 6), F.lit(1.0)).alias("conf"),
+        F.least(F.floor(F.col("l_extendedprice") * 10 + 0.5) / 1e6, F.lit(1.0)).alias("conf"),
         (F.col("l_linenumber") % 3).cast("int").alias("cls"),
         F.when(F.col("l_returnflag") == "R", "gt").otherwise("det").alias("side"),
     )
@@ -73,7 +73,7 @@ BOXES = """boxes AS (
          row_number() OVER (PARTITION BY l_orderkey // 8 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS box_id,
          CAST(l_partkey % 40 AS DOUBLE) AS x1, CAST(l_suppkey % 40 AS DOUBLE) AS y1,
          CAST(l_partkey % 40 AS DOUBLE) + 10 + l_quantity AS x2, CAST(l_suppkey % 40 AS DOUBLE) + 10 + round(l_discount * 100) AS y2,
-         least(round(l_extendedprice / 100000, 6), 1.0) AS conf, CAST(l_linenumber % 3 AS INTEGER) AS cls,
+         least(floor(l_extendedprice * 10 + 0.5) / 1e6, 1.0) AS conf, CAST(l_linenumber % 3 AS INTEGER) AS cls,
          CASE WHEN l_returnflag = 'R' THEN 'gt' ELSE 'det' END AS side
   FROM lineitem),
 det AS (SELECT image_id, box_id AS det_id, x1, y1, x2, y2, conf, cls FROM boxes WHERE side = 'det'),
