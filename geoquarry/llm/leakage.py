@@ -18,7 +18,9 @@ def minhash_rows(texts: DataFrame, run: int) -> DataFrame:
     over the sliding window are built from minima of 1, 2, 4, .. neighbours.
     """
     width, have = run - SHINGLE + 1, 1
-    hashes = F.transform(F.sequence(F.lit(1), F.size("w") - SHINGLE + 1), lambda i: F.xxhash64(F.slice("w", i, SHINGLE)))
+    # Shifted copies side by side: a slice for each place would copy the whole array each time.
+    shifted = [F.slice("w", i + 1, F.size("w") - SHINGLE + 1).alias(f"w{i}") for i in range(SHINGLE)]
+    hashes = F.transform(F.arrays_zip(*shifted), lambda x: F.xxhash64(*[x[f"w{i}"] for i in range(SHINGLE)]))
     rows = texts.where(F.size("w") >= run).select("id", hashes.alias("m"))
     while have < width:
         step = min(have, width - have)

@@ -74,8 +74,8 @@ def deal_groups(groups: DataFrame, targets: DataFrame, seed: int = 11) -> DataFr
     they stand in seeded order on a line of their sizes, which is dealt out
     systematically: the line is cut into cycles, a cycle into spans in the
     splits' shares, and a group falls to the split whose span holds its
-    middle. A cycle is eight times the band's largest group, or the whole
-    band where it has fewer than 64 groups. The band with the most groups is
+    middle. A cycle holds about 1,024 groups, or the whole band where it has
+    fewer. The band with the most groups is
     dealt last, in shares that make up for the rounding of all others; for
     that, sums by band and split come to the driver, at most 64 rows a split.
     Shares that don't add up to 1 are scaled; null shares count 0. Returns
@@ -89,10 +89,10 @@ def deal_groups(groups: DataFrame, targets: DataFrame, seed: int = 11) -> DataFr
         return banded.withColumn("split", F.lit(None).cast("string"))
     share = sorted(((n, s / whole) for n, s in share if s), key=lambda x: (-x[1], x[0] or ""))
     placed = materialize(running_in_hash_order(banded, ["band"], ["root"], F.col("size"), seed, "before"), "line")
-    bands = placed.groupBy("band").agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("groups"), F.max("size").alias("top")).collect()
+    bands = placed.groupBy("band").agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("groups")).collect()
 
     def split_of(b, parts: list[tuple[str, float]]):
-        cycle = float(b["total"] if b["groups"] < 64 else 8 * b["top"])
+        cycle = b["total"] / max(1, b["groups"] // 1024)
         at, low, chosen = ((F.col("before") + F.col("size") / 2) % cycle) / cycle, 0.0, None
         for name, part in parts[:-1]:
             low += part
