@@ -18,24 +18,22 @@ def word_split(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[一-鿿]|[^\s\p{P}一-鿿]+"), F.lit(0))
 
 
-def ngrams(items: Column, n: int) -> Column:
-    """All runs of ``n`` items, joined."""
-    last = F.size(items) - n
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.array_join(F.slice(items, i + 1, n), "\x1f"))).otherwise(F.array().cast("array<string>"))
-
+def rouge_n(predicted: Column, reference: Column, n: int) -> Column:
+    """F of shared n-grams of two word arrays, counted as multisets; 0 where either side has none."""
 
-def overlap(a: Column, b: Column) -> Column:
-    """Size of the intersection of two arrays as multisets."""
-    count = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))
-    return F.coalesce(F.aggregate(F.array_intersect(a, b), F.lit(0), lambda s, x: s + F.least(count(a, x), count(b, x))), F.lit(0))
+    def one(a, b) -> float:
+        if a is None or b is None or len(a) < n or len(b) < n:
+            return 0.0
+        a, b = list(a), list(b)
+        x, y = (Counter(zip(*[w[i:] for i in range(n)])) for w in (a, b))
+        shared = sum(min(c, y[g]) for g, c in x.items())
+        p, r = shared / (len(a) - n + 1), shared / (len(b) - n + 1)
+        return 2 * p * r / (p + r) if shared else 0.0
 
+    def run(predicted: pd.Series, reference: pd.Series) -> pd.Series:
+        return pd.Series([one(a, b) for a, b in zip(predicted, reference)], dtype=float)
 
-def rouge_n(predicted: Column, reference: Column, n: int) -> Column:
-    """F of shared n-grams of words; 0 where either side has none."""
-    a, b = ngrams(predicted, n), ngrams(reference, n)
-    shared = overlap(a, b)
-    p, r = shared / F.size(a), shared / F.size(b)
-    return F.when((F.size(a) == 0) | (F.size(b) == 0) | (shared == 0), 0.0).otherwise(2 * p * r / (p + r))
+    return F.pandas_udf(run, DoubleType())(predicted, reference)
 
 
 @F.pandas_udf(DoubleType())
