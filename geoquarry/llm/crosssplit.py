@@ -103,13 +103,18 @@ def near_pairs(texts: DataFrame, share: float = 0.8) -> DataFrame:
     return measured.where(F.col("shared") >= F.col("either") * share - 1e-9)
 
 
-def overlap_report(pairs: DataFrame, records: DataFrame) -> DataFrame:
-    """Totals of ``pairs`` of questions by the evaluation row's split and source: rows found, pairs, mean and full coverage.
+def record_coverage(pairs: DataFrame, records: DataFrame) -> DataFrame:
+    """Every row of ``records`` (kind, eval_key, split, source) with its number of pairs and its coverage.
 
-    ``records`` has eval_key, split and source.
+    The coverage is the largest share of words it has in common with a row
+    of train; null where it forms no pair.
     """
-    best = pairs.where("kind = 'question'").groupBy("eval_key").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("shared") / F.col("either")).alias("c"))
-    joined = records.join(best, "eval_key", "left")
-    return joined.groupBy("split", "source").agg(
-        F.count(F.lit(1)).alias("rows"), F.count("n").alias("overlapping"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"), F.count_if(F.col("c") == 1).alias("whole"), F.round(F.avg("c"), 6).alias("mean_coverage")
+    best = pairs.groupBy("kind", "eval_key").agg(F.count(F.lit(1)).alias("pairs"), F.max(F.col("shared") / F.col("either")).alias("coverage"))
+    return records.join(best, ["kind", "eval_key"], "left").select("kind", "eval_key", "split", "source", F.coalesce("pairs", F.lit(0)).alias("pairs"), "coverage")
+
+
+def overlap_report(pairs: DataFrame, records: DataFrame) -> DataFrame:
+    """Totals of ``record_coverage`` by kind and the evaluation row's split and source: rows found, pairs, mean and full coverage."""
+    return record_coverage(pairs, records).groupBy("kind", "split", "source").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("coverage").alias("overlapping"), F.sum("pairs").alias("pairs"), F.count_if(F.col("coverage") == 1).alias("whole"), F.round(F.avg("coverage"), 6).alias("mean_coverage")
     )

@@ -84,11 +84,21 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("kind", F.least("train_key", "eval_key").alias("key_a"), F.greatest("train_key", "eval_key").alias("key_b"))
 
 
+def _evaluated(spark: SparkSession, d: str) -> DataFrame:
+    """kind, eval_key, split and source of all rows of val and test; annotations are VRSBench throughout (FIXTURES F5)."""
+    split = F.lower(F.trim("split"))
+    rows = table(spark, d, "vqa_records").where(split.isin("val", "test")).select("rec_id", split.alias("split"), "dataset", "file_name")
+    asked = with_source(rows, table(spark, d, "dataset_registry")).select(F.lit("question").alias("kind"), F.col("rec_id").alias("eval_key"), "split", "source")
+    referred = objects(table(spark, d, "annotations")).where(split.isin("val", "test")).select(F.lit("referring").alias("kind"), F.col("key").alias("eval_key"), split.alias("split"), F.lit("VRSBench").alias("source"))
+    return asked.unionByName(referred)
+
+
+def p3_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return crosssplit.record_coverage(crosssplit.near_pairs(_texts(spark, d)), _evaluated(spark, d))
+
+
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
-    pairs = crosssplit.near_pairs(_texts(spark, d))
-    rows = table(spark, d, "vqa_records").where(F.lower(F.trim("split")).isin("val", "test")).select("rec_id", F.lower(F.trim("split")).alias("split"), "dataset", "file_name")
-    sourced = with_source(rows, table(spark, d, "dataset_registry")).select(F.col("rec_id").alias("eval_key"), "split", "source")
-    return crosssplit.overlap_report(pairs, sourced)
+    return crosssplit.overlap_report(crosssplit.near_pairs(_texts(spark, d)), _evaluated(spark, d))
 
 
 # 4

@@ -184,3 +184,17 @@ def test_found_rows_are_among_the_reports(spark, data):
     p7 = QUERIES["p7_found"](spark, data)
     assert p7.count() == p7.select("rec_id").distinct().count() == (QUERIES["p7_report"](spark, data).agg(F.sum("rows")).first()[0] or 0)
     assert {r.defect for r in p7.select("defect").distinct().collect()} <= {"empty", "truncated", "refusal", "copies_question", "other_language"}
+
+
+def test_p3_report_totals_both_kinds(spark, data, raw):
+    pairs = QUERIES["p3_found"](spark, data).groupBy("kind").count().collect()
+    report = QUERIES["p3_report"](spark, data).collect()
+    covered = QUERIES["p3_coverage"](spark, data).collect()
+    want = {r["kind"]: r["count"] for r in pairs}
+    assert want.keys() == {"question", "referring"}
+    for kind, n in want.items():
+        assert sum(r.pairs for r in report if r["kind"] == kind) == sum(r.pairs for r in covered if r["kind"] == kind) == n
+    rows = {"question": raw("SELECT count(*) FROM vqa_records WHERE split IN ('val', 'test')"), "referring": raw("SELECT sum(len(objects)) FROM annotations WHERE split IN ('val', 'test')")}
+    for kind, ((n,),) in rows.items():
+        assert sum(r.rows for r in report if r["kind"] == kind) == n == sum(r["kind"] == kind for r in covered)
+    assert all((r.pairs > 0) == (r.coverage is not None) and (r.coverage is None or 0.8 <= r.coverage <= 1) for r in covered)
