@@ -120,6 +120,8 @@ def suspicious(token: str) -> bool:
     for m in _HIGH.finditer(token):
         run = m.group()
         if _RUSSIAN.fullmatch(run):
+            if _turned(run):
+                return True
             continue
         # Some part of the run reads as UTF-8, or it is a word of high Latin letters only.
         if len(run) > 1 and (_partial(run) or all("À" <= c <= "ÿ" for c in run)):
@@ -129,6 +131,27 @@ def suspicious(token: str) -> bool:
     return False
 
 
+#: Natural logs of the share of each letter in Russian text.
+_SHARE = {c: math.log(n / 1e4) for c, n in zip("оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё", (1097, 845, 801, 735, 670, 626, 547, 473, 454, 440, 349, 321, 298, 281, 262, 201, 190, 174, 170, 165, 159, 144, 121, 97, 94, 73, 64, 48, 36, 32, 26, 4, 4))}
+_CYRILLIC = ("cp1251", "koi8-r", "cp866")
+
+
+def _russian(word: str) -> float:
+    """How well a word's letters and their case fit Russian."""
+    odd = sum(a.islower() and b.isupper() for a, b in zip(word, word[1:]))
+    return sum(_SHARE.get(c, -9.0) for c in word.lower()) - 5 * odd - 3 * (len(word) > 1 and word.isupper())
+
+
+def _turned(run: str) -> bool:
+    """Whether a run of Russian letters reads better as another Cyrillic encoding."""
+    own = _russian(run)
+    for wrong in _CYRILLIC:
+        data = to_bytes(run, wrong)
+        if data is not None and any(_russian(from_bytes(data, true)) > own + 1 for true in _CYRILLIC if true != wrong):
+            return True
+    return False
+
+
 _LEAD = {}
 for _codec, (_table, _chars) in SINGLE.items():
     for _b in range(0xC2, 0xF5):
@@ -151,18 +174,29 @@ def _partial(run: str) -> bool:
 
 
 class Counts:
-    """Counts of units in two rows of hash buckets, of one size for any corpus; never too low, rarely too high."""
+    """Counts of units in two rows of hash buckets, of one size for any corpus; never too low, rarely too high.
+
+    Two more rows count copies of a text too. Likelihoods of pairs of
+    encodings rest on distinct texts, so that copies of a damaged text do not
+    vouch for it. All else rests on every copy: what may be misread UTF-8 is
+    never counted, so its copies cannot vouch for it.
+    """
 
     def __init__(self, rows: np.ndarray) -> None:
         self.rows = rows
         self.total = max(1.0, float(rows[0].sum()))
+        self.all = max(1.0, float(rows[2].sum()))
 
     def __getitem__(self, unit: str) -> int:
         a, b = places(unit)
         return int(min(self.rows[0, a], self.rows[1, b]))
 
-    def log(self, text: str) -> float:
-        """Log10 of a text's likelihood.
+    def copies(self, unit: str) -> int:
+        a, b = places(unit)
+        return int(min(self.rows[2, a], self.rows[3, b]))
+
+    def log(self, text: str, copies: bool = False) -> float:
+        """Log10 of a text's likelihood, by distinct texts or by all copies.
 
         An unseen word is spelled letter by letter; one that turns from
         capitals to small letters or mixes scripts is a thousand times less
@@ -170,8 +204,8 @@ class Counts:
         """
         total = 0.0
         for u in units(text):
-            n = self[u]
-            total += math.log10((n + 0.3) / self.total) - (0 if n else 0.7 * (len(u) - 1)) - 3 * bool(_MIXED.search(u))
+            n = self.copies(u) if copies else self[u]
+            total += math.log10((n + 0.3) / (self.all if copies else self.total)) - (0 if n else 0.7 * (len(u) - 1)) - 3 * bool(_MIXED.search(u))
         return total
 
 
@@ -181,13 +215,13 @@ def places(unit: str) -> tuple[int, int]:
 
 
 def corpus_counts(texts: DataFrame, column: str) -> Counts:
-    """``Counts`` of the clean tokens of all texts; at most 2 * 2^17 sums come to the driver."""
+    """``Counts`` of the clean tokens of all texts, each distinct text once and with its copies; at most 4 * 2^17 sums come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = np.zeros((2, 1 << BITS), np.int64)
+        rows = np.zeros((4, 1 << BITS), np.int64)
         clean: dict[str, bool] = {}
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not text or text.isascii():
                     continue
                 found: list[str] = []
@@ -207,11 +241,14 @@ def corpus_counts(texts: DataFrame, column: str) -> Counts:
                     a, b = places(u)
                     rows[0, a] += 1
                     rows[1, b] += 1
+                    rows[2, a] += n
+                    rows[3, b] += n
         r, k = np.nonzero(rows)
         yield pa.RecordBatch.from_arrays([pa.array(r.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(rows[r, k])], ["r", "k", "n"])
 
-    sums = texts.select(column).mapInArrow(run, "r int, k int, n bigint").groupBy("r", "k").agg(F.sum("n").alias("n")).toArrow()
-    rows = np.zeros((2, 1 << BITS), np.int64)
+    distinct = texts.where(F.col(column).rlike(r"[^\x00-\x7f]")).groupBy(column).agg(F.count(F.lit(1)).alias("_n")).select(column, "_n")
+    sums = distinct.mapInArrow(run, "r int, k int, n bigint").groupBy("r", "k").agg(F.sum("n").alias("n")).toArrow()
+    rows = np.zeros((4, 1 << BITS), np.int64)
     rows[sums["r"].to_numpy(), sums["k"].to_numpy()] = sums["n"].to_numpy()
     return Counts(rows)
 
@@ -227,6 +264,7 @@ class Decoder:
     def __init__(self, counts: Counts) -> None:
         self.counts = counts
         self.known: dict[str, tuple[str, tuple[str, str] | None]] = {}
+        self.tried: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
     def __call__(self, token: str) -> tuple[str, tuple[str, str] | None]:
         """The likeliest original of a token and how it was damaged, null if it is as written."""
@@ -240,8 +278,8 @@ class Decoder:
     def decode(self, token: str) -> tuple[str, tuple[str, str] | None]:
         """Readings of one token, through UTF-8 up to three times over or through another pair of encodings once."""
         log = self.counts.log
-        base = log(token)
-        best, found, how = base - PRIOR, token, None
+        base = log(token, True)
+        best, found, how = -PRIOR, token, None
         runs = _HIGH.findall(token)
         if any(len(r) > 1 or _WIDE.match(r) for r in runs):
             for codec in WRONG:
@@ -250,39 +288,51 @@ class Decoder:
                     text = self._as_utf8(text, codec) or (self._as_utf8(text, "latin-1") if codec == "cp1252" else None)
                     if text is None:
                         break
-                    if text != token and (score := log(text)) > best + own:
-                        best, found, how = score, text, (codec, "utf-8")
-        if self.rare(token):
-            for pair in _PAIRS:
-                text = self._as_other(token, runs, *pair)
-                if text is None or text == token:
-                    continue
-                parts = units(text)
-                low = min((self.counts[u] for u in parts), default=0)
-                letters = sum(len(u) for u in parts)
-                if low >= 3 and letters >= (2 if pair[1] in DOUBLE or len(runs[0]) > 2 else 3) and (score := log(text)) > best + 0.5:
-                    best, found, how = score, text, pair
+                    if text != token and (gain := log(text, True) - base) > best + own:
+                        best, found, how = gain, text, (codec, "utf-8")
+        base = log(token)
+        for pair in _PAIRS:
+            text = self._as_other(token, runs, *pair)
+            if text is None or text == token:
+                continue
+            parts = units(text)
+            low = min((self.counts.copies(u) for u in parts), default=0)
+            letters = sum(len(u) for u in parts)
+            if low >= 3 and letters >= (2 if pair[1] in DOUBLE or len(runs[0]) > 2 else 3) and (gain := log(text) - base) > best + 0.5:
+                best, found, how = gain, text, pair
         return found, how
 
-    def rare(self, token: str) -> bool:
-        """Whether a token holds something that is rare in the corpus."""
-        return min((self.counts[u] for u in units(token)), default=self.counts.total) < max(5.0, 3e-5 * self.counts.total)
+    def gains(self, token: str) -> tuple[np.ndarray, np.ndarray]:
+        """For each pair of encodings, how much likelier the token is when read through it, and whether that reading is known."""
+        got = self.tried.get(token)
+        if got is None:
+            if len(self.tried) > 50_000:
+                self.tried.clear()
+            gain, good = np.full(len(_PAIRS), -1.0), np.zeros(len(_PAIRS), np.int64)
+            runs, base = _HIGH.findall(token), self.counts.log(token)
+            for k, pair in enumerate(_PAIRS):
+                text = self._as_other(token, runs, *pair)
+                if text is not None:
+                    gain[k] = self.counts.log(text) - base
+                    good[k] = min((self.counts.copies(u) for u in units(text)), default=0) >= 3 and len(runs[0]) > 1
+            got = self.tried[token] = gain, good
+        return got
 
     def together(self, tokens: list[str]) -> tuple[str, str] | None:
-        """The pair of encodings in which rare tokens of one text, taken together, are far likelier than as they stand."""
-        best, found = -PRIOR + 1.0, None
-        for pair in _PAIRS:
-            gain, good = 0.0, 0
-            for token in tokens:
-                text = self._as_other(token, _HIGH.findall(token), *pair)
-                if text is None:
-                    gain -= 1.0
-                    continue
-                gain += self.counts.log(text) - self.counts.log(token)
-                good += min((self.counts[u] for u in units(text)), default=0) >= 3 and len(_HIGH.findall(token)[0]) > 1
-            if good > 1 and gain > best:
-                best, found = gain, pair
-        return found
+        """The pair of encodings in which the tokens of one text that may be damaged, taken together, are far likelier than as they stand.
+
+        Left out are tokens that every pair makes ten times less likely, such as the
+        clean part of a text; how frequent a token is does not matter.
+        """
+        gain, good = np.zeros(len(_PAIRS)), np.zeros(len(_PAIRS), np.int64)
+        for token in tokens:
+            own, known = self.gains(token)
+            if own.max() > -1.0:
+                gain += own
+                good += known
+        gain[good < 2] = -np.inf
+        best = int(gain.argmax())
+        return _PAIRS[best] if gain[best] > 1.0 - PRIOR else None
 
     @staticmethod
     def _as_utf8(token: str, codec: str) -> str | None:
@@ -350,15 +400,15 @@ class Decoder:
             options = [word]
             while LOST in options[0]:
                 wider = {o.replace(LOST, c, 1) for o in options for c in _LETTERS}
-                options = sorted(wider, key=lambda o: -self.counts[o])[:400] if LOST not in next(iter(wider)) else list(wider)[:20_000]
-            best = max(options, key=lambda o: self.counts[o])
-            if len(word) > 1 and self.counts[best] >= 2:
+                options = sorted(wider, key=lambda o: -self.counts.copies(o))[:400] if LOST not in next(iter(wider)) else list(wider)[:20_000]
+            best = max(options, key=lambda o: self.counts.copies(o))
+            if len(word) > 1 and self.counts.copies(best) >= 2:
                 out = out.replace(word, best, 1)
                 continue
             for _ in range(word.count(LOST)):
                 i = out.find(LOST)
-                symbol = max(_SYMBOLS, key=lambda c: self.counts[context(out, i, c)])
-                out = out[:i] + (symbol if self.counts[context(out, i, symbol)] >= 2 else "\x00") + out[i + 1 :]
+                symbol = max(_SYMBOLS, key=lambda c: self.counts.copies(context(out, i, c)))
+                out = out[:i] + (symbol if self.counts.copies(context(out, i, symbol)) >= 2 else "\x00") + out[i + 1 :]
         return out.replace("\x00", LOST)
 
     def lattice(self, run: str, codec: str) -> str | None:
@@ -410,7 +460,7 @@ class Decoder:
                 c = o.decode("utf-8")
             except UnicodeDecodeError:
                 continue
-            out.append((c, math.log10((self.counts[c] + 0.3) / self.counts.total)))
+            out.append((c, math.log10((self.counts.copies(c) + 0.3) / self.counts.all)))
         return sorted(out, key=lambda x: -x[1])[:6]
 
 
@@ -431,7 +481,7 @@ def restore(text: str, decoder: Decoder) -> tuple[bool, str]:
             wide = [codec for codec in DOUBLE[:1] if len(_WIDE.findall(token)) >= 4]
             for run in _HIGH.findall(token) if wide else ():
                 guess = decoder.lattice(run, wide[0]) if LOST in run or utf8_readings(run) else None
-                if guess is not None and decoder.counts.log(guess) > decoder.counts.log(run.replace(LOST, "")) + 1:
+                if guess is not None and decoder.counts.log(guess, True) > decoder.counts.log(run.replace(LOST, ""), True) + 1:
                     token = token.replace(run, guess, 1)
             pieces.append((m.start(), m.end(), m.group(), token))
             continue
@@ -441,7 +491,7 @@ def restore(text: str, decoder: Decoder) -> tuple[bool, str]:
             how[step] = how.get(step, 0) + 1
         pieces.append((m.start(), m.end(), token, better))
     # Words of one text that are odd each on its own may agree on an encoding.
-    odd = list(dict.fromkeys(t for _, _, t, b in pieces if t == b and LOST not in t and decoder.rare(t)))
+    odd = list(dict.fromkeys(t for _, _, t, b in pieces if t == b and LOST not in t))
     main = max(how, key=how.get) if how else None
     if len(odd) > 1 and (main is None or main[1] == "utf-8") and (pair := decoder.together(odd)) is not None:
         damaged, main = True, pair

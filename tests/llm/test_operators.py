@@ -247,6 +247,14 @@ def test_garbled_is_found_and_restored(spark):
     assert sum(got[i] == want[i] for i in want) >= len(want) - 1
 
 
+@pytest.mark.parametrize(("true", "wrong"), [("cp1251", "koi8-r"), ("koi8-r", "cp1251"), ("cp866", "cp1251")])
+def test_copies_of_a_damaged_text_are_all_found(spark, true, wrong):
+    bad = TEXTS[3].encode(true).decode(wrong)
+    rows = [(i, f"{TEXTS[i % len(TEXTS)]} {i}") for i in range(600)] + [(1000 + i, bad) for i in range(300)]
+    got = {r.doc_id: r.restored for r in garbled.garbled(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text").collect()}
+    assert got == {1000 + i: TEXTS[3] for i in range(300)}
+
+
 def test_unclosed():
     assert pairs.unclosed("a (b") and pairs.unclosed("“a") and pairs.unclosed("```x") and not pairs.unclosed("a) (b) “c”")
 
