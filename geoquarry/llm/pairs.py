@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -114,19 +115,56 @@ def tiles(a: list[str], b: list[str], least: int) -> tuple[list[bool], list[bool
             in_a[found[0] + k] = in_b[found[1] + k] = True
 
 
-def shared_runs(a: list[str], b: list[str], k: int = 8) -> tuple[list[bool], list[bool]]:
-    """What runs of ``k`` words that both sides have cover of each: tiling in linear time, for very long texts."""
-    grams = [{tuple(x[i : i + k]) for i in range(len(x) - k + 1)} for x in (a, b)]
+def long_tiles(a: list[str], b: list[str], least: int) -> tuple[list[bool], list[bool]]:
+    """What ``tiles`` gives, for long texts: the longest common run left is found by halving over hashes of word runs.
 
-    def covered(x: list[str], other: set) -> list[bool]:
-        out, until = [False] * len(x), 0
-        for i in range(len(x)):
-            if i + k <= len(x) and tuple(x[i : i + k]) in other:
-                until = i + k
-            out[i] = i < until
-        return out
-
-    return covered(a, grams[1]), covered(b, grams[0])
+    All runs of one length are laid in one pass; no longer one can come up
+    after it, so each length is visited once.
+    """
+    number: dict[str, int] = {}
+    sides = [[number.setdefault(w, len(number) + 1) for w in x] for x in (a, b)]
+    base, prime, power = 1_000_003, (1 << 61) - 1, [1]
+    for _ in range(max(len(a), len(b))):
+        power.append(power[-1] * base % prime)
+    sums = []
+    for x in sides:
+        h = [0]
+        for w in x:
+            h.append((h[-1] * base + w) % prime)
+        sums.append(h)
+    marked = ([False] * len(a), [False] * len(b))
+
+    def runs(side: int, free: list[int], k: int) -> Iterator[tuple[int, int]]:
+        h, p = sums[side], power[k]
+        return ((i, (h[i + k] - h[i] * p) % prime) for i in range(len(h) - k) if free[i] >= k)
+
+    top = min(len(a), len(b))
+    while top >= least:
+        free = []
+        for m in marked:
+            left = [0] * (len(m) + 1)
+            for i in range(len(m) - 1, -1, -1):
+                left[i] = 0 if m[i] else left[i + 1] + 1
+            free.append(left)
+        low, high = least - 1, top
+        while low < high:
+            k = (low + high + 1) // 2
+            have = {h for _, h in runs(1, free[1], k)}
+            low, high = (k, high) if any(h in have for _, h in runs(0, free[0], k)) else (low, k - 1)
+        if low < least:
+            break
+        at: dict[int, deque[int]] = {}
+        for j, h in runs(1, free[1], low):
+            at.setdefault(h, deque()).append(j)
+        for i, h in runs(0, free[0], low):
+            places = at.get(h)
+            # What is laid at this length has its length, so a run overlaps it at one of its ends.
+            while places and (marked[1][places[0]] or marked[1][places[0] + low - 1]):
+                places.popleft()
+            if places and not (marked[0][i] or marked[0][i + low - 1]) and a[i : i + low] == b[places[0] : places[0] + low]:
+                marked[0][i : i + low] = marked[1][places[0] : places[0] + low] = [True] * low
+        top = low - 1
+    return marked
 
 
 def copies_question(question: list[str], answer: list[str], truth: list[str]) -> bool:
@@ -138,8 +176,8 @@ def copies_question(question: list[str], answer: list[str], truth: list[str]) ->
         return False
     if not all(w in have for w in question if w in ASKING):
         return False
-    long = len(question) * len(answer) > 250_000
-    in_q, in_a = shared_runs(question, answer) if long else tiles(question, answer, 1 if len(question) < 4 else 2)
+    lay = long_tiles if len(question) * len(answer) > 10_000 else tiles
+    in_q, in_a = lay(question, answer, 1 if len(question) < 4 else 2)
     if sum(in_q) < 0.8 * len(question) or True not in in_a:
         return False
     first = in_a.index(True)

@@ -263,3 +263,15 @@ def test_tiles():
     a, b = pairs.tiles("a b c d".split(), "c d x a b".split(), 2)
     assert a == [True] * 4 and b == [True, True, False, True, True]
     assert np.sum(pairs.tiles([], ["x"], 1)[1]) == 0
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), max_size=40), st.lists(st.sampled_from("abcd"), max_size=40), st.integers(1, 3))
+def test_long_tiles_are_tiles(a, b, least):
+    assert pairs.long_tiles(a, b, least) == pairs.tiles(a, b, least)
+
+
+@pytest.mark.parametrize("n", [60, 600, 6000])
+def test_copies_of_any_length_with_words_changed(n):
+    words = [f"w{i}" for i in range(n)]
+    assert pairs.copies_question(words, [words[i - 1] if i % 8 == 7 else w for i, w in enumerate(words)], [])
