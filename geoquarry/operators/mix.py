@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoquarry.operators.ranking import _hashed
+from geoquarry.operators.ranking import rank_in_hash_order
 from geoquarry.storage import materialize
 
 
@@ -176,17 +176,27 @@ def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
 
 
 def support(targets: DataFrame, pool: DataFrame, group: str, target: str, item: str, k: int, seed: int) -> DataFrame:
-    """``k`` pool items of the target's group for each target, with their rank.
-
-    The pool is cut to the ``4 k`` first items of each group in a seeded
-    order before the join, so that a target meets a bounded number of them;
-    among those each target has its own order. Fewer are given where the
-    group has fewer.
+    """``k`` items out of the whole pool of the target's group for each target, with their rank.
+
+    Each group's items stand in a seeded order and are numbered over buckets.
+    A target draws ``k`` distinct places out of all places of its group: the
+    i-th draw is uniform over all but the last ``k - i`` places, and takes
+    the last place open to it if the drawn one is taken. Only the drawn
+    places are joined. A group with fewer items gives them all; a target
+    whose group has none gets no row.
     """
-    w = Window.partitionBy(group).orderBy("_u", item)
-    few = pool.withColumn("_u", draw(seed, item)).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 4 * k).drop("_u", "_r")
-    own = Window.partitionBy(target).orderBy(draw(seed, target, item), item)
-    return targets.join(few, group).withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
+    placed = rank_in_hash_order(pool, [group], [item], seed, "_place").withColumn("_place", F.col("_place") - 1)
+    sizes = pool.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
+    draws = F.array(*[draw(seed + 1 + i, target) for i in range(k)])
+    start = F.col("_size") - F.least(F.lit(k), F.col("_size"))
+
+    def take(taken: Column, i: Column) -> Column:
+        drawn = F.floor(F.element_at(draws, i + 1) * (start + i + 1))
+        return F.concat(taken, F.array(F.when(F.array_contains(taken, drawn), start + i).otherwise(drawn)))
+
+    places = F.aggregate(F.sequence(F.lit(0), F.least(F.lit(k), F.col("_size")).cast("int") - 1), F.array().cast("array<bigint>"), take)
+    chosen = targets.join(sizes, group).select("*", F.posexplode(places).alias("_rank", "_place")).withColumn("rank", F.col("_rank") + 1)
+    return chosen.join(placed, [group, "_place"]).drop("_place", "_rank", "_size")
 
 
 def stacked(df: DataFrame, chosen: list[str], rejected: list[str], names: list[str], keys: list[str]) -> DataFrame:
@@ -203,6 +213,6 @@ def multi_label(df: DataFrame, scores: str, least: float, all_labels: bool) -> D
     return df.withColumn("cls", (F.array_position(scores, top) - 1).cast("int")).withColumn("conf", top).where(F.col("conf") > least)
 
 
-def hash_bucket(df: DataFrame, key: list[str], seed: int) -> DataFrame:
-    """Adds ``bucket`` of 1,024 by hash of a key."""
-    return _hashed(df, key, seed).withColumnRenamed("_b", "bucket").drop("_h")
+def hash_bucket(df: DataFrame, key: list[str], seed: int, buckets: int = 1024) -> DataFrame:
+    """Adds ``bucket``, one of ``buckets`` by hash of a key."""
+    return df.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in key]), F.lit(buckets)).cast("int"))

@@ -118,11 +118,13 @@ def vqa_record_parse(spark: SparkSession, d: str) -> DataFrame:
 _U = "CAST(('0x' || substr(md5('{0}:' || {1}), 1, 13))::BIGINT AS DOUBLE) / 4503599627370496.0"
 
 
-@query(f"""WITH pool AS (SELECT dataset AS g, item_id, question || ' = ' || split AS t, {_U.format(5, "item_id")} AS u FROM eval_items),
-few AS (SELECT * FROM pool QUALIFY row_number() OVER (PARTITION BY g ORDER BY u, item_id) <= 12),
-j AS (SELECT e.item_id AS target, e.question AS q, f.item_id, f.t, row_number() OVER (PARTITION BY e.item_id ORDER BY {_U.format(5, "e.item_id || ':' || f.item_id")}, f.item_id) AS r
-  FROM eval_items e JOIN few f ON f.g = e.dataset)
-SELECT target, string_agg(t, chr(10) ORDER BY r) || chr(10) || any_value(q) AS prompt FROM j WHERE r <= 3 GROUP BY target""")
+@query(f"""WITH pool AS (SELECT dataset AS g, question || ' = ' || split AS t, row_number() OVER (PARTITION BY dataset ORDER BY md5('5' || chr(31) || item_id)) - 1 AS k, count(*) OVER (PARTITION BY dataset) AS n FROM eval_items),
+size AS (SELECT DISTINCT g, n, least(3, n) AS m FROM pool),
+a AS (SELECT e.item_id AS target, e.question AS q, s.*, floor({_U.format(6, "e.item_id")} * (n - m + 1)) AS p0, {_U.format(7, "e.item_id")} AS u1, {_U.format(8, "e.item_id")} AS u2 FROM eval_items e JOIN size s ON s.g = e.dataset),
+b AS (SELECT *, CASE WHEN m < 2 THEN NULL WHEN floor(u1 * (n - m + 2)) = p0 THEN n - m + 1 ELSE floor(u1 * (n - m + 2)) END AS p1 FROM a),
+c AS (SELECT *, CASE WHEN m < 3 THEN NULL WHEN floor(u2 * (n - m + 3)) IN (p0, p1) THEN n - m + 2 ELSE floor(u2 * (n - m + 3)) END AS p2 FROM b)
+SELECT target, x.t || coalesce(chr(10) || y.t, '') || coalesce(chr(10) || z.t, '') || chr(10) || q AS prompt
+FROM c JOIN pool x ON x.g = c.g AND x.k = p0 LEFT JOIN pool y ON y.g = c.g AND y.k = p1 LEFT JOIN pool z ON z.g = c.g AND z.k = p2""")
 def fewshot_format(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "eval_items")
     targets = items.select(F.col("dataset").alias("g"), F.col("item_id").alias("target"), F.col("question").alias("q"))
