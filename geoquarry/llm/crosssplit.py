@@ -1,4 +1,4 @@
-"""Problem 3: same or near-same records across splits, by winnowed fingerprints of rare words."""
+"""Problem 3: same or near-same records across splits, by winnowed fingerprints, collinear chains and alignment."""
 
 from __future__ import annotations
 
@@ -34,6 +34,12 @@ def shared_places(texts: DataFrame) -> DataFrame:
     return texts.join(both, ["kind", "place"], "left_semi")
 
 
+def classed(texts: DataFrame) -> DataFrame:
+    """Adds ``c``, two 64-bit hashes of place and word set: rows with the same ``c`` are one class of equal texts."""
+    sorted_words = F.array_sort("words")
+    return texts.withColumn("c", F.struct(F.xxhash64("kind", "place", sorted_words).alias("x"), F.xxhash64(F.lit(1), sorted_words, "place", "kind").alias("y")))
+
+
 def rare_first(texts: DataFrame) -> DataFrame:
     """Puts each text's words in one common order, rarer words first.
 
@@ -42,7 +48,6 @@ def rare_first(texts: DataFrame) -> DataFrame:
     common order gives the same pairs; a better one only gives fewer
     candidates.
     """
-    spark = texts.sparkSession
     bucket = lambda w: F.pmod(F.xxhash64(w), F.lit(SKETCH)).cast("int")
     counted = texts.select(F.explode("words").alias("w")).groupBy(bucket(F.col("w")).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()
     counts = [0] * SKETCH
@@ -54,21 +59,33 @@ def rare_first(texts: DataFrame) -> DataFrame:
 
 
 def fingerprints(share: float) -> Column:
-    """Winnowed fingerprints of ``words`` in common order: rolling hashes of two words each, over the rare end.
-
-    Let two sets of words share at least ``share`` of their union, and let o
-    be the words they share and e the others: e <= o (1 - share) / share. In
-    the common order of the union, the first 2 (e + 1) words hold at most e
-    others, so two shared words stand side by side there in both texts. So
-    the windows of the first 2 (e + 1) words, for the largest e a text allows,
-    always meet; frequent words at the far end are never looked up. A text so
-    short that e = 0 is looked up by all of its words.
+    """Winnowed fingerprints of ``words`` in common order: (hash, place) of the least rolling hash of every window.
+
+    Rolling hashes are of two words each. Let two word sets share o words
+    and hold e others; for ``share`` of the union, e <= o (1 - share) / share,
+    so the e of a text of n words is n (1 - share) / share at most. The e
+    others cut the first 3 (e + 1) words of the union into e + 1 stretches,
+    so one of them has three shared words in a row, in both texts: two
+    rolling hashes side by side, a whole window. The least hash of a window
+    of two is therefore selected in both, within the first 3 (e + 1) words;
+    frequent words at the far end are never looked up. A text of fewer words
+    than that has windows of one, which select every hash, so that two
+    shared words in a row suffice; o >= 4 e makes sure of them for a share
+    of 0.8 (for lower shares, all single words are fingerprints too). A text
+    too short for any other word equals whatever it is near to, and its
+    class needs no fingerprint.
     """
     n = F.size("words")
     others = F.floor(n * F.lit((1 - share) / share) + 1e-9).cast("int")
-    windows = F.least(n - 1, 2 * (others + 1) - 1)
-    pairs = F.transform(F.sequence(F.lit(1), windows), lambda i: F.xxhash64("kind", "place", F.element_at("words", i), F.element_at("words", i + 1)))
-    return F.when((others == 0) | (n == 1), F.array(F.xxhash64("kind", "place", F.array_join("words", " ")))).otherwise(F.array_distinct(pairs))
+    last = F.least(n, 3 * (others + 1)) - 1
+    rolled = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64("kind", "place", F.element_at("words", i), F.element_at("words", i + 1)))
+    every = F.transform(rolled, lambda h, i: F.struct(h.alias("f"), (i + 1).alias("i")))
+    least = F.transform(F.sequence(F.lit(1), last - 1), lambda i: F.when(F.element_at(rolled, i) <= F.element_at(rolled, i + 1), F.struct(F.element_at(rolled, i).alias("f"), i.alias("i"))).otherwise(F.struct(F.element_at(rolled, i + 1).alias("f"), (i + 1).alias("i"))))
+    chosen = F.when(n < 3 * (others + 1), every).otherwise(F.array_distinct(least))
+    if share < 0.8:
+        single = F.transform("words", lambda w, i: F.struct(F.xxhash64("kind", "place", w).alias("f"), (i + 1).alias("i")))
+        return F.concat(F.when(n > 1, chosen).otherwise(F.array().cast("array<struct<f:bigint,i:int>>")), single)
+    return F.when((others > 0) & (n > 1), chosen).otherwise(F.array().cast("array<struct<f:bigint,i:int>>"))
 
 
 def signature(words: Column) -> Column:
@@ -76,31 +93,58 @@ def signature(words: Column) -> Column:
     return F.aggregate(words, F.lit(0).cast("bigint"), lambda s, w: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int"))))
 
 
+def chain_bound(seeds: Column, n: Column, m: Column) -> Column:
+    """The most words that two texts can share along the chain of ``seeds`` (i, j), places from 1 in texts of n and m words.
+
+    In the common order all seeds of a pair lie on one rising line. Between
+    two seeds no more words match than the shorter gap has; the same holds
+    before the first and after the last.
+    """
+    step = lambda s, x: F.struct((s["most"] + F.least(x["i"] - s["i"], x["j"] - s["j"])).alias("most"), x["i"].alias("i"), x["j"].alias("j"))
+    start = F.struct(F.lit(0).alias("most"), F.lit(0).alias("i"), F.lit(0).alias("j"))
+    return F.aggregate(F.array_sort(seeds), start, step, lambda s: s["most"] + F.least(n - s["i"], m - s["j"]))
+
+
+def class_pairs(classes: DataFrame, share: float) -> DataFrame:
+    """a, b, shared and either: pairs of different classes, ``a`` with a text of train and ``b`` with one of val or test."""
+    seeds = classes.select("c", "kind", "train", "eval", F.size("words").alias("n"), signature(F.col("words")).alias("s"), F.explode(fingerprints(share)).alias("p")).select("*", "p.f", "p.i")
+    left = seeds.where("train").select("f", F.col("c").alias("a"), "n", "s", "i")
+    right = seeds.where("eval").select("f", F.col("c").alias("b"), F.col("n").alias("m"), F.col("s").alias("_s"), F.col("i").alias("j"))
+    # e words in one text only and o in both: e <= o (1 - share) / share, and 2 o + e words in all.
+    most = (F.col("n") + F.col("m")) * F.lit((1 - share) / (1 + share)) + 1e-6
+    fewest = (F.col("n") + F.col("m")) * F.lit(share / (1 + share)) - 1e-6
+    reach = F.least("i", "j") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
+    close = (F.bit_count(F.col("s").bitwiseXOR(F.col("_s"))) <= most) & (reach >= fewest) & (F.col("a") != F.col("b"))
+    chains = left.join(right, (left["f"] == right["f"]) & close).groupBy("a", "b", "n", "m").agg(F.collect_set(F.struct("i", "j")).alias("seeds"))
+    chained = chains.where(chain_bound(F.col("seeds"), F.col("n"), F.col("m")) >= fewest).select("a", "b")
+    side = lambda t, key, out: classes.where(t).select(F.col("c").alias(key), F.col("words").alias(out))
+    pairs = chained.join(side("train", "a", "v"), "a").join(side("eval", "b", "w"), "b")
+    # Two sequences in one order, without repeats: their best alignment matches exactly the words they share.
+    shared = F.size(F.array_intersect("v", "w"))
+    measured = pairs.select("a", "b", shared.alias("shared"), (F.size("v") + F.size("w") - shared).alias("either"))
+    return measured.where(F.col("shared") >= F.col("either") * share - 1e-9)
+
+
 def near_pairs(texts: DataFrame, share: float = 0.8) -> DataFrame:
     """All pairs of a train text and a val or test text of one place that share ``share`` of their words.
 
     Returns kind, train_key, eval_key and the words shared and in either.
-    Fingerprints of both sides are joined on place and rolling hash. A seed
-    is dropped in the join where the texts' signatures differ in more bits
-    than they may in words; the seeds that a pair has in common are chained
-    into one candidate; a candidate is extended over all words by merging
-    both word lists, and kept if it reaches the share exactly. Repeated rows
-    are pairs of their own; a text without words, an image or a known split
-    is in none.
+    Rows with the same words in one place are one class, so copies are
+    compared once. Winnowed fingerprints of the classes are joined on place
+    and rolling hash, with their places in the text; a seed is dropped in
+    the join where the signatures or the places leave too few shared words.
+    The seeds of a pair are chained, the chain bounds what it can reach, and
+    the pairs left are aligned over all words. Classes are expanded into
+    their rows last. Repeated rows are pairs of their own; a text without
+    words, an image or a known split is in none.
     """
-    ordered = materialize(rare_first(materialize(shared_places(texts), "places")), "texts")
-    seeds = ordered.select("kind", "key", "train", F.size("words").alias("n"), signature(F.col("words")).alias("s"), F.explode(fingerprints(share)).alias("f"))
-    left = seeds.where("train").select("f", "kind", F.col("key").alias("train_key"), "n", "s")
-    right = seeds.where("not train").select("f", F.col("kind").alias("_k"), F.col("key").alias("eval_key"), F.col("n").alias("_n"), F.col("s").alias("_s"))
-    # e words in one text only and o in both: e <= o (1 - share) / share, and 2 o + e words in all.
-    most = (F.col("n") + F.col("_n")) * F.lit((1 - share) / (1 + share)) + 1e-6
-    close = (F.col("kind") == F.col("_k")) & (F.bit_count(F.col("s").bitwiseXOR(F.col("_s"))) <= most)
-    chained = left.join(right, (left["f"] == right["f"]) & close).select("kind", "train_key", "eval_key").distinct()
-    side = lambda t, key, out: ordered.where(t).select("kind", F.col("key").alias(key), F.col("words").alias(out))
-    pairs = chained.join(side("train", "train_key", "a"), ["kind", "train_key"]).join(side("not train", "eval_key", "b"), ["kind", "eval_key"])
-    shared = F.size(F.array_intersect("a", "b"))
-    measured = pairs.select("kind", "train_key", "eval_key", shared.alias("shared"), (F.size("a") + F.size("b") - shared).alias("either"))
-    return measured.where(F.col("shared") >= F.col("either") * share - 1e-9)
+    rows = classed(shared_places(texts))
+    grouped = rows.groupBy("c", "kind", "place").agg(F.max("train").alias("train"), F.max(~F.col("train")).alias("eval"), F.first("words").alias("words"))
+    classes = materialize(rare_first(materialize(grouped, "classes")), "texts")
+    found = class_pairs(classes, share).unionByName(classes.where("train and eval").select(F.col("c").alias("a"), F.col("c").alias("b"), F.size("words").alias("shared"), F.size("words").alias("either")))
+    members = classed(texts)
+    side = lambda t, key, out: members.where(t).select("kind", F.col("c").alias(key), F.col("key").alias(out))
+    return materialize(found, "pairs").join(side("train", "a", "train_key"), "a").join(side("not train", "b", "eval_key").drop("kind"), "b").select("kind", "train_key", "eval_key", "shared", "either")
 
 
 def record_coverage(pairs: DataFrame, records: DataFrame) -> DataFrame:

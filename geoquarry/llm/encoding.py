@@ -41,20 +41,6 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     parts: list[bytes] = [piece[i : i + 1] for i in range(n)]
     right = [*range(1, n), -1]
     left = [*range(-1, n - 1)]
-    if n < 24:  # the tree of a short piece is its list of leaves
-        leaves = [get(piece[i : i + 2], none) for i in range(n - 1)]
-        while leaves:
-            best = min(leaves)
-            if best == none:
-                break
-            i = leaves.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del leaves[i]
-            if i < len(leaves):
-                leaves[i] = get(parts[i] + parts[i + 1], none)
-            if i:
-                leaves[i - 1] = get(parts[i - 1] + parts[i], none)
-        return [ranks[p] for p in parts]
     base = 1 << (n - 1).bit_length()
     # A node's value orders by rank, then by place.
     shift = base.bit_length()

@@ -24,20 +24,27 @@ def sized_records(records: DataFrame, registry: DataFrame) -> DataFrame:
     return with_source(first, registry).where("source is not null").select("rec_id", "source", "size")
 
 
-def bisect_exponent(share: float, goal: float) -> float:
-    """The exponent that takes ``share``, between 0 and 1, to ``goal``: infinite for 0, zero for 1."""
-    if goal <= 0:
-        return math.inf
+def common_exponent(sources: list[dict]) -> tuple[float, list[dict]]:
+    """The largest exponent in [0, 1] at which all sources keep their repeat limit, and the sources that stop it there.
+
+    A source's weight is its share of all sizes times the ratio of target to
+    share, raised to the exponent: 0 leaves the natural shares, 1 gives the
+    targets. At 1 the limit is tested on exact sizes; below, the exponent is
+    bisected. No source stops an exponent of 1.
+    """
+
+    def over(a: float) -> list[dict]:
+        if a == 1.0:
+            return [s for s in sources if s["size"] * s["max_repeats"] < s["target_share"] * s["total"]]
+        return [s for s in sources if (s["target_share"] / s["share"]) ** a > s["max_repeats"]]
+
+    if not over(1.0):
+        return 1.0, []
     low, high = 0.0, 1.0
-    while share**high > goal and high < 1e6:
-        high *= 2
     for _ in range(ROUNDS):
         middle = (low + high) / 2
-        if share**middle > goal:
-            low = middle
-        else:
-            high = middle
-    return high
+        low, high = (low, middle) if over(middle) else (middle, high)
+    return low, over(high)
 
 
 def entropy_exponent(shares: list[float], bits: float) -> float:
@@ -66,14 +73,17 @@ def entropy_exponent(shares: list[float], bits: float) -> float:
 def plan_mixture(sizes: dict[str, tuple[int, int]], targets: list[tuple[str, float | None, int | None]]) -> list[dict]:
     """For each target (source, target_share, max_repeats), what the mixture takes from its source.
 
-    ``sizes`` has records and size by source. The total is the size of all
-    targets' sources. Each source's share of it is raised to an exponent of
-    its own, bisected until the power is the target share or the repetition
-    limit stops it; the power times the total is the source's budget. A
-    target share that is null is set by one common exponent, at which the
-    weights have the entropy of equal parts less one bit; a null repeat limit
-    is 1, a source without records has a budget of 0. ``limited`` says that
-    the limit lies below the target, from exact sizes.
+    ``sizes`` has records and size by source; the mixture is as large as all
+    sources of the targets together. One exponent for all sources is bisected
+    until the tightest repeat limit stops it (``common_exponent``). The
+    sources that stop it are ``limited``: they stay at their limit, and the
+    exponent of the others is bisected on, until it reaches the targets. The
+    weights of the others are then normalised to what the limited sources
+    leave, under their own limits, so ``reachable_share`` adds up to 1 unless
+    all limits together are too small. A target share that is null is set by
+    the exponent at which the open sources' powers have the entropy of equal
+    parts less one bit; a null repeat limit is 1. A source without records or
+    repeats can give nothing and is limited if it has a target.
     """
     total = sum(sizes.get(s, (0, 0))[1] for s, _, _ in targets)
     open_sources = [s for s, t, _ in targets if t is None]
@@ -87,14 +97,33 @@ def plan_mixture(sizes: dict[str, tuple[int, int]], targets: list[tuple[str, flo
         records, size = sizes.get(source, (0, 0))
         repeats = 1 if repeats is None else max(0, repeats)
         target = filled[source] if target is None else max(0.0, target)
-        share = size / total if total else 0.0
-        limit = share * repeats
-        limited = size * repeats < target * total
-        goal = limit if limited else target
-        exponent = None if not 0 < share < 1 else bisect_exponent(share, min(1.0, goal))
-        weight = goal if exponent is None else share**exponent
-        budget = size * repeats if limited else min(size * repeats, round(weight * total, 6))
-        plan.append({"source": source, "records": records, "size": size, "share": share, "target_share": target, "max_repeats": repeats, "exponent": exponent, "budget": float(budget), "limited": limited, "total": total})
+        plan.append({"source": source, "records": records, "size": size, "share": size / total if total else 0.0, "target_share": target, "max_repeats": repeats, "total": total, "exponent": 0.0, "limited": False})
+    free = []
+    for p in plan:
+        if p["size"] and p["max_repeats"]:
+            free.append(p)
+        else:
+            p["limited"] = p["target_share"] * total > 0
+    while free:
+        exponent, tight = common_exponent(free)
+        for p in tight or free:
+            p["exponent"], p["limited"] = exponent, bool(tight)
+        free = [p for p in free if not p["limited"]] if tight else []
+    # Weights of the free sources, normalised to what the limited ones leave.
+    limit = {p["source"]: p["size"] * p["max_repeats"] for p in plan}
+    at = lambda scale: {p["source"]: limit[p["source"]] if p["limited"] else min(limit[p["source"]], p["target_share"] * total * scale) for p in plan}
+    goal = min(float(total), sum(limit[p["source"]] for p in plan if p["limited"] or p["target_share"]))
+    low, high = 0.0, 1.0
+    while sum(at(high).values()) < goal and high < 1e12:
+        high *= 2
+    for _ in range(ROUNDS):
+        middle = (low + high) / 2
+        low, high = (middle, high) if sum(at(middle).values()) < goal else (low, middle)
+    budgets = at(high)
+    used = sum(budgets.values())
+    for p in plan:
+        p["budget"] = float(budgets[p["source"]] if p["limited"] else min(limit[p["source"]], round(budgets[p["source"]], 6)))
+        p["reachable_share"] = budgets[p["source"]] / used if used else 0.0
     return plan
 
 
@@ -128,8 +157,8 @@ def mixture(sized: DataFrame, plan: list[dict], seed: int = 13) -> DataFrame:
 
 def mixture_report(spark, mixed: DataFrame, plan: list[dict]) -> DataFrame:
     """The plan with what was used: records, uses, the most uses of a record, the size and the share reached."""
-    schema = "source string, records bigint, size bigint, share double, target_share double, max_repeats int, exponent double, budget double, limited boolean, total bigint"
+    schema = "source string, records bigint, size bigint, share double, target_share double, max_repeats int, exponent double, budget double, reachable_share double, limited boolean"
     planned = spark.createDataFrame([tuple(p[c.split()[0]] for c in schema.split(", ")) for p in plan], schema)
     used = mixed.groupBy("source").agg(F.count(F.lit(1)).alias("used_records"), F.sum("copies").alias("uses"), F.max("copies").alias("most_uses"), F.sum(F.col("copies") * F.col("size")).alias("used_size"))
     joined = planned.join(used, "source", "left").fillna(0, ["used_records", "uses", "most_uses", "used_size"])
-    return joined.withColumn("share_of_total", F.col("used_size") / F.expr("nullif(total, 0)")).withColumn("share_reached", F.col("used_size") / F.expr("nullif(sum(used_size) over (), 0)")).drop("total")
+    return joined.withColumn("share_reached", F.col("used_size") / F.expr("nullif(sum(used_size) over (), 0)"))

@@ -77,12 +77,84 @@ p AS (SELECT a.kind, a.key AS ka, b.key AS kb, len(list_intersect(a.w, b.w)) AS
 SELECT kind, least(ka, kb) AS key_a, greatest(ka, kb) AS key_b FROM p WHERE s * 5 >= (n - s) * 4"""
 
 
+def _ngrams() -> str:
+    return f"""
+WITH vals AS (
+  SELECT 'ground_truth' AS field, {_key()} AS rec, {FORM.format("ground_truth")} AS term FROM vqa_records
+  UNION ALL
+  SELECT 'obj_cls', {NAME.format("image")}, {FORM.format("o.obj_cls")} FROM (SELECT image, unnest(objects) AS o FROM annotations) WHERE {NAME.format("image")} IS NOT NULL
+), w AS (SELECT field, rec, string_split(term, ' ') AS w FROM vals WHERE term <> ''),
+p AS (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT field, rec, n, array_to_string(w[i:i + n - 1], ' ') AS ngram FROM (SELECT *, unnest(range(1, least(5, len(w) - i + 1) + 1)) AS n FROM p))
+SELECT field, ngram, CAST(n AS INTEGER) AS n, count(*) AS occurrences, count(DISTINCT rec) AS records FROM g GROUP BY ALL"""
+
+
+WORDS = r"list_filter(string_split(regexp_replace(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '')"
+
+
+def _leaks() -> str:
+    runs = "SELECT {0} AS id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS r FROM (SELECT {0}, {1} AS w FROM {2}) WHERE len(w) >= 12"
+    return f"""SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM ({runs.format("doc_id", WORDS.format("text"), "documents")}) d JOIN ({runs.format("item_id", WORDS.format("passage"), "eval_items")}) i USING (r)"""
+
+
+def _contained() -> str:
+    runs = "SELECT DISTINCT {0} AS id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS r FROM (SELECT {0}, {1} AS w FROM {2}) WHERE len(w) >= 5"
+    return f"""WITH d AS ({runs.format("doc_id", WORDS.format("text"), "documents")}), i AS ({runs.format("item_id", WORDS.format("passage"), "eval_items")}), q AS (SELECT id, count(*) AS q FROM i GROUP BY id)
+SELECT d.id AS doc_id, i.id AS item_id, count(*) / any_value(q.q) AS containment FROM d JOIN i USING (r) JOIN q ON q.id = i.id GROUP BY ALL HAVING count(*) >= 0.8 * any_value(q.q) - 1e-9"""
+
+
+def _ranked(key: str, seed: int, rows: str, group: str) -> str:
+    return f"SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY md5('{seed}' || chr(31) || {key}), {key}) AS rank FROM {rows}"
+
+
+def _sources() -> str:
+    """All records of val and test rows, and all objects of such annotations, with their source."""
+    return f"""
+e AS (SELECT 'question' AS kind, f.rec_id AS eval_key, lower(trim(split)) AS split, coalesce(a.name, b.name) AS source FROM vqa_records f
+  LEFT JOIN dataset_registry a ON {SQUEEZED.format("f.dataset")} = {SQUEEZED.format("a.name")}
+  LEFT JOIN dataset_registry b ON f.dataset IS NULL AND {FILE.format("f.file_name")} = {FILE.format("b.file_name")} WHERE lower(trim(split)) IN ('val', 'test')
+  UNION ALL SELECT 'referring', ann_id * 100 + o.obj_id, lower(trim(split)), 'VRSBench' FROM (SELECT ann_id, split, unnest(objects) AS o FROM annotations) WHERE lower(trim(split)) IN ('val', 'test')),
+c AS (SELECT e.*, coalesce(x.pairs, 0) AS pairs, x.coverage FROM e LEFT JOIN (SELECT kind, eval_key, count(*) AS pairs, max(s / (n - s)) AS coverage FROM near GROUP BY ALL) x USING (kind, eval_key))"""
+
+
+def _near() -> str:
+    return f"{_pairs().rpartition('SELECT kind, least')[0].rstrip()}, near AS (SELECT kind, kb AS eval_key, s, n FROM p WHERE s * 5 >= (n - s) * 4),{_sources()}"
+
+
+def _items() -> str:
+    kind = f"coalesce(nullif({FORM.format('type')}, ''), nullif({FORM.format('question_type')}, ''), 'generic')"
+    name = NAME.format("image")
+    return f"""
+WITH v AS (SELECT *, {_key()} AS k FROM vqa_records),
+r AS (SELECT 'type' AS field, rec_id AS key, {kind} AS category FROM v QUALIFY row_number() OVER (PARTITION BY k ORDER BY rec_id) = 1),
+o AS (SELECT ann_id, {name} AS image, unnest(objects) AS o FROM annotations),
+q AS (SELECT 'obj_cls' AS field, ann_id * 100 + o.obj_id AS key, nullif({FORM.format("o.obj_cls")}, '') AS category FROM o
+      QUALIFY row_number() OVER (PARTITION BY coalesce(image || chr(31) || o.obj_id, '#' || ann_id || '.' || coalesce(o.obj_id::VARCHAR, '')) ORDER BY ann_id * 100 + o.obj_id) = 1),
+a AS (SELECT * FROM r UNION ALL SELECT * FROM q),
+n AS (SELECT field, floor(count(*) * 0.25) AS size, count(*) * 0.25 AS exact FROM a GROUP BY field),
+t AS (SELECT t.*, n.size, greatest(t.min_count, t.target_share * n.exact) AS wanted, coalesce(c.n, 0) AS available FROM sample_targets t JOIN n USING (field)
+      LEFT JOIN (SELECT field, category, count(*) AS n FROM a GROUP BY ALL) c ON c.field = t.field AND c.category = t.category),
+k AS ({_ranked("key", 17, "a", "field, category")}),
+m AS (SELECT k.*, t.target_share, t.size, t.min_count FROM k JOIN t ON k.field = t.field AND k.category = t.category),
+s AS (SELECT *, CASE WHEN rank <= min_count THEN 0.0 ELSE (rank - 0.5) / target_share END AS priority FROM m),
+d AS (SELECT * FROM s WHERE target_share > 0 OR rank <= min_count QUALIFY row_number() OVER (PARTITION BY field ORDER BY priority, category, rank) <= size)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_terms": _terms(),
+        "p1_ngrams": _ngrams(),
         "p1_found": f"SELECT field, term, mark FROM ({_terms()}) WHERE mark IS NOT NULL",
         "p2_found": _groups(),
         "p3_found": _pairs(),
         "p4_found": f"{_sized()} SELECT source FROM z WHERE size * max_repeats < target_share * (SELECT sum(size) FROM z)",
+        "p3_coverage": f"{_near()} SELECT kind, eval_key, split, source, pairs, coverage FROM c",
+        "p3_report": f"""{_near()} SELECT kind, split, source, count(*) AS rows, count(coverage) AS overlapping, sum(pairs) AS pairs, count(*) FILTER (coverage = 1) AS whole, round(avg(coverage), 6) AS mean_coverage FROM c GROUP BY ALL""",
         "p6_found": _short(),
+        "p6_sample": f"{_items()} SELECT field, category, key, rank, priority FROM d",
+        "p6_report": f"""{_items()} SELECT t.field, t.category, t.target_share, t.min_count, t.available, CAST(t.wanted AS DOUBLE) AS wanted, coalesce(x.n, 0) AS seats, CAST(t.size AS BIGINT) AS sample_size, coalesce(x.n, 0) AS drawn, t.available < t.wanted AS short
+FROM t LEFT JOIN (SELECT field, category, count(*) AS n FROM d GROUP BY ALL) x ON x.field = t.field AND x.category = t.category""",
+        "p9_found": _leaks(),
+        "p9_items": f"SELECT i.item_id, i.dataset, i.split, count(*) AS documents FROM ({_leaks()}) JOIN eval_items i USING (item_id) GROUP BY ALL",
+        "p9_contained": _contained(),
     }

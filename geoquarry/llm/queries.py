@@ -35,6 +35,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_terms(spark, d).where("mark is not null").select("field", "term", "mark")
 
 
+def p1_ngrams(spark: SparkSession, d: str) -> DataFrame:
+    """All n-grams of up to five words inside the values, with their occurrences and records."""
+    return frequency.word_ngrams(_values(spark, d))
+
+
 # 2
 
 
@@ -66,6 +71,12 @@ def p2_split(spark: SparkSession, d: str) -> DataFrame:
     return grouped.join(dealt, "root").select("rec_id", F.col("root").alias("group"), "split")
 
 
+def p2_forest(spark: SparkSession, d: str) -> DataFrame:
+    """The spanning forest over scenes, an edge a row."""
+    rows = _nodes(spark, d).where("image is not null")
+    return splits.spanning_forest(splits.link_edges(rows))[0].select("a", "b")
+
+
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
     done = p2_split(spark, d).groupBy("split").agg(F.count(F.lit(1)).alias("records"), F.count_distinct("group").alias("groups"))
     shares = table(spark, d, "split_targets")
@@ -136,6 +147,11 @@ def p5_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return formatting.collapsed(table(spark, d, "raw_records"))
 
 
+def p5_levels(spark: SparkSession, d: str) -> DataFrame:
+    """How far each level of the refinement gets."""
+    return formatting.refinement(table(spark, d, "raw_records").select("raw_id", "payload"))
+
+
 # 6
 
 
@@ -145,8 +161,7 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    plan = sampling.sample_plan(_items(spark, d), table(spark, d, "sample_targets"))
-    return spark.createDataFrame([(p["field"], p["category"]) for p in plan if p["short"]], "field string, category string")
+    return p6_report(spark, d).where("short").select("field", "category")
 
 
 def p6_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -155,9 +170,8 @@ def p6_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
-    plan = sampling.sample_plan(_items(spark, d), table(spark, d, "sample_targets"))
-    schema = "field string, category string, target_share double, min_count int, available bigint, wanted double, seats bigint, sample_size bigint, short boolean"
-    return spark.createDataFrame([tuple(p[c.split()[0]] for c in schema.split(", ")) for p in plan], schema)
+    items = _items(spark, d)
+    return sampling.shortfalls(items, sampling.sample_plan(items, table(spark, d, "sample_targets")))
 
 
 # 7
@@ -187,6 +201,11 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items").select("item_id", "passage"))
 
 
+def p9_contained(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold at least 0.8 of the shingles of an item's passage."""
+    return leakage.contained(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items").select("item_id", "passage"))
+
+
 def p9_items(spark: SparkSession, d: str) -> DataFrame:
     """Items with the number of documents that give them away."""
     hit = p9_found(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))

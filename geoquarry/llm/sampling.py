@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,12 +60,12 @@ def seats(available: dict[str, int], targets: list[tuple[str, float | None, int
 
 
 def sample_plan(items: DataFrame, targets: DataFrame, part: float = 0.25) -> list[dict]:
-    """A row for each row of ``targets`` (field, category, target_share, min_count): available, wanted, seats, short.
+    """A row for each row of ``targets`` (field, category, target_share, min_count): available, wanted, seats.
 
     The sample of a field is to hold ``part`` of all its items (field, key,
     category), with or without category; ``wanted`` is the larger of the
-    minimum and the share of that size, unrounded; ``short`` says that fewer
-    are available. Only categories that are targets are counted to the driver.
+    minimum and the share of that size, unrounded. Only categories that are
+    targets are counted to the driver.
     """
     goals = [tuple(r) for r in targets.select("field", "category", "target_share", "min_count").dropDuplicates(["field", "category"]).collect()]
     names = sorted({c for _, c, _, _ in goals if c is not None})
@@ -77,17 +79,44 @@ def sample_plan(items: DataFrame, targets: DataFrame, part: float = 0.25) -> lis
         got = seats(available, own, int(size))
         for c, t, m in own:
             wanted = max(float(m or 0), (t or 0.0) * size)
-            plan.append({"field": field, "category": c, "target_share": t, "min_count": m, "available": available[c], "wanted": wanted, "seats": got[c], "sample_size": int(size), "short": available[c] < wanted})
+            plan.append({"field": field, "category": c, "target_share": t, "min_count": m, "available": available[c], "wanted": wanted, "seats": got[c], "sample_size": int(size)})
     return plan
 
 
+def _of(plan: list[dict], name: str, kind: str):
+    """A column with the entry ``name`` of the plan for the row's field and category, null where it has none."""
+    pairs = [x for p in plan if p["category"] is not None for x in (F.lit(f"{p['field']}\x1f{p['category']}"), F.lit(p[name]).cast(kind))]
+    return F.create_map(*pairs)[F.concat("field", F.lit("\x1f"), "category")] if pairs else F.lit(None).cast(kind)
+
+
+def ranked(items: DataFrame, plan: list[dict], seed: int = 17) -> DataFrame:
+    """The items of the plan's categories, up to their seats and to what is wanted, with rank and priority.
+
+    Ranks are by seeded order inside a category. A rank inside the floor has
+    priority 0, any other (rank - 0.5) / share.
+    """
+    most = _of([{**p, "_most": max(p["seats"], math.ceil(p["wanted"]))} for p in plan], "_most", "long")
+    known = items.where(most.isNotNull())
+    rows = rank_in_hash_order(known, ["field", "category"], ["key"], seed, "rank").where(F.col("rank") <= most)
+    return rows.withColumn("priority", F.when(F.col("rank") <= _of(plan, "min_count", "long"), 0.0).otherwise((F.col("rank") - 0.5) / F.nullif(_of(plan, "target_share", "double"), F.lit(0.0))))
+
+
 def draw(items: DataFrame, plan: list[dict], seed: int = 17) -> DataFrame:
-    """The items in the sample, with their rank in the category and their priority."""
-    goals = {(p["field"], p["category"]): p for p in plan if p["seats"]}
-    if not goals:
-        return items.withColumn("rank", F.lit(0).cast("long")).withColumn("priority", F.lit(0.0)).where("false")
-    pair = lambda f, c: F.concat(f, F.lit("\x1f"), c)
-    by = lambda name, kind: F.create_map(*[x for (f, c), p in goals.items() for x in (F.lit(f"{f}\x1f{c}"), F.lit(p[name]).cast(kind))])[pair(F.col("field"), F.col("category"))]
-    wanted = items.where(by("seats", "long").isNotNull())
-    ranked = rank_in_hash_order(wanted, ["field", "category"], ["key"], seed, "rank").where(F.col("rank") <= by("seats", "long"))
-    return ranked.withColumn("priority", F.when(F.col("rank") <= by("min_count", "long"), 0.0).otherwise((F.col("rank") - 0.5) / by("target_share", "double")))
+    """The items in the sample, those whose rank has a seat, with their rank in the category and their priority."""
+    return ranked(items, plan, seed).where(F.col("rank") <= _of(plan, "seats", "long"))
+
+
+def shortfalls(items: DataFrame, plan: list[dict], seed: int = 17) -> DataFrame:
+    """The plan, with what was drawn for it: the seats taken, and whether the ranks end before the number wanted.
+
+    Both are counted from the ranked rows themselves. ``short`` is so for a
+    category whose rows, floors and seats of others aside, run out before
+    the wanted number is reached.
+    """
+    schema = "field string, category string, target_share double, min_count int, available bigint, wanted double, seats bigint, sample_size bigint"
+    planned = items.sparkSession.createDataFrame([tuple(p[c.split()[0]] for c in schema.split(", ")) for p in plan], schema)
+    rows = ranked(items, plan, seed)
+    got = rows.groupBy(F.col("field").alias("_f"), F.col("category").alias("_c")).agg(F.max("rank").alias("_last"), F.count_if(F.col("rank") <= _of(plan, "seats", "long")).alias("drawn"))
+    joined = planned.join(got, (F.col("field") == F.col("_f")) & (F.col("category") == F.col("_c")), "left")
+    last = F.coalesce("_last", F.lit(0))
+    return joined.select(*planned.columns, F.coalesce("drawn", F.lit(0)).alias("drawn"), (last < F.col("wanted")).alias("short"))

@@ -1,5 +1,6 @@
 """The training-data operators on small cases of their own."""
 
+import json
 import math
 import os
 
@@ -94,16 +95,26 @@ def test_hot_place_is_not_paired_out(spark):
     assert crosssplit.near_pairs(df).count() == 0
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.floats(0.001, 0.999), st.floats(0.0001, 1.0))
-def test_exponent(share, goal):
-    a = mixing.bisect_exponent(share, goal)
-    assert share**a == pytest.approx(goal, rel=1e-6)
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 900), st.floats(0.0, 1.0), st.integers(0, 6)), min_size=1, max_size=7))
+def test_mixture_plan_fills_what_limits_leave(rows):
+    whole = max(1.0, sum(t for _, t, _ in rows))
+    rows = [(n, t / whole, m) for n, t, m in rows]
+    targets = [(str(i), t, m) for i, (_, t, m) in enumerate(rows)]
+    plan = mixing.plan_mixture({str(i): (n, n) for i, (n, _, _) in enumerate(rows)}, targets)
+    total = sum(n for n, _, _ in rows)
+    for p, (n, t, m) in zip(plan, rows):
+        assert p["limited"] == (n * m < t * total)
+        assert p["budget"] <= n * m + 1e-6
+    room = sum(n * m for n, t, m in rows if t > 0 or n * m < t * total)
+    if any(t > 1e-6 for _, t, _ in rows):
+        assert sum(p["budget"] for p in plan) == pytest.approx(min(total, room), rel=1e-4, abs=1e-3) or any(0 < t <= 1e-6 for _, t, _ in rows)
 
 
 def test_mixture_plan():
     plan = {p["source"]: p for p in mixing.plan_mixture({"a": (10, 900), "b": (5, 100)}, [("a", 0.5, 1), ("b", 0.5, 3), ("c", 0.1, 2)])}
-    assert not plan["a"]["limited"] and plan["a"]["budget"] == pytest.approx(500) and plan["b"]["limited"] and plan["b"]["budget"] == 300 and plan["c"]["limited"] and plan["c"]["budget"] == 0
+    assert not plan["a"]["limited"] and plan["a"]["budget"] == pytest.approx(700) and plan["b"]["limited"] and plan["b"]["budget"] == 300 and plan["c"]["limited"] and plan["c"]["budget"] == 0
+    assert plan["b"]["exponent"] == pytest.approx(math.log(3) / math.log(5), rel=1e-9) and plan["a"]["exponent"] == 1.0
     free = mixing.plan_mixture({"a": (1, 900), "b": (1, 100)}, [("a", None, None), ("b", None, 20)])
     assert sum(p["target_share"] for p in free) == pytest.approx(1)
     shares = [0.9, 0.1]
@@ -112,6 +123,13 @@ def test_mixture_plan():
     assert -sum(x / sum(w) * math.log2(x / sum(w)) for x in w) == pytest.approx(0.8, abs=1e-6)
 
 
+def test_limited_sources_come_from_the_exponent(monkeypatch):
+    sizes, targets = {"a": (10, 900), "b": (5, 100)}, [("a", 0.5, 1), ("b", 0.5, 3)]
+    assert [p["limited"] for p in mixing.plan_mixture(sizes, targets)] == [False, True]
+    monkeypatch.setattr(mixing, "common_exponent", lambda sources: (1.0, []))
+    assert not any(p["limited"] for p in mixing.plan_mixture(sizes, targets))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 60), st.floats(0.01, 1.0), st.integers(0, 8)), min_size=1, max_size=6), st.integers(0, 120))
 def test_seats_are_the_smallest_priorities(rows, size):
@@ -215,6 +233,43 @@ def test_encoder_extremes(spark, ranks):
     assert b"".join(inverse[i] for i in out[4]) == b"a" * 200_000
 
 
+def test_leaks_need_signatures(spark, monkeypatch):
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(1, " ".join(words))], "doc_id bigint, text string")
+    items = spark.createDataFrame([(9, " ".join(words[5:30]))], "item_id bigint, passage string")
+    assert leakage.leaks(docs, items).count() == 1
+    monkeypatch.setattr(leakage, "candidates", lambda d, i, *_: d.join(i.withColumnRenamed("id", "item_id").drop("text"), F.lit(False)).select(F.col("id").alias("doc_id"), "item_id"))
+    assert leakage.leaks(docs, items).count() == 0
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("a b c".split()), max_size=40), min_size=1, max_size=8), st.lists(st.lists(st.sampled_from("a b".split()), max_size=16), min_size=1, max_size=5))
+def test_leaks_of_repeated_words(spark, docs, items):
+    got = leakage.leaks(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id bigint, text string"), spark.createDataFrame([(i, ", ".join(w)) for i, w in enumerate(items)], "item_id bigint, passage string"))
+    runs = lambda w: {tuple(w[k : k + 12]) for k in range(len(w) - 11)}
+    assert {tuple(r) for r in got.collect()} == {(i, j) for i, d in enumerate(docs) for j, p in enumerate(items) if runs(d) & runs(p)}
+
+
+def test_short_items_are_contained(spark):
+    docs = [(1, "the old quay of Tamo is wide and grey today"), (2, "Quay, old!"), (3, None), (4, "nothing")]
+    items = [(1, "Tamo"), (2, "old quay"), (3, "the old quay of Tamo is wide"), (4, ""), (5, None), (6, "quay old")]
+    got = leakage.contained(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, passage string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(1, 1), (1, 2), (1, 3), (2, 6)}
+
+
+def test_bins_keep_the_bound():
+    for need, agree in ((8, 2), (4, 2), (1, 1)):
+        x = leakage.load(need, agree)
+        p = (1 - math.exp(-x)) / x
+        assert sum(math.comb(need, i) * p**i * (1 - p) ** (need - i) for i in range(agree)) <= 2e-6
+
+
+def test_levels_only_refine(spark):
+    rows = [(i, json.dumps({"q": f"Name {i % 5} of N{i // 2}", "n": i % 2})) for i in range(40)] + [(100, '{"q":"a b"}'), (101, '{"q":"B-A"}'), (102, "{")]
+    got = {r.level: r for r in formatting.refinement(spark.createDataFrame(rows, "raw_id bigint, payload string")).collect()}
+    assert got["shape"].lines == 42 and got["shape"].survivors == got["letters"].lines >= got["letters"].survivors == got["digest"].lines >= got["digest"].survivors
+
+
 def test_leaks_need_twelve_words(spark):
     passage = " ".join(f"w{i}" for i in range(40))
     docs = [(1, "x y " + " ".join(f"W{i}," for i in range(5, 17)) + " z"), (2, " ".join(f"w{i}" for i in range(5, 16)) + " other w16 w17"), (3, None), (4, ""), (5, " ".join(f"w{i}" for i in range(5, 16)) + " w16" * 3), (6, "w1 " * 50_000)]
