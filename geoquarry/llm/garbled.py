@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +14,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geoquarry.storage import materialize
+
 LOST = "�"
-BITS = 17
+BITS = 19
 #: Log10 of the odds that a piece of text was damaged at all.
 PRIOR = -2.0
 
@@ -88,7 +92,7 @@ def units(text: str) -> list[str]:
 
 
 def _kind(c: str) -> str:
-    return "" if not c else "a" if c.isalpha() else "9" if c.isdigit() else " " if c.isspace() else c
+    return " " if not c else "a" if c.isalpha() else "9" if c.isdigit() else " " if c.isspace() else c
 
 
 def context(text: str, i: int, c: str) -> str:
@@ -179,13 +183,16 @@ class Counts:
     Two more rows count copies of a text too. Likelihoods of pairs of
     encodings rest on distinct texts, so that copies of a damaged text do not
     vouch for it. All else rests on every copy: what may be misread UTF-8 is
-    never counted, so its copies cannot vouch for it.
+    never counted, so its copies cannot vouch for it. Beginnings of words
+    are counted as well, so that a search can tell what no word begins with.
+    ``alphabet`` holds the clean characters beyond ASCII.
     """
 
-    def __init__(self, rows: np.ndarray) -> None:
+    def __init__(self, rows: np.ndarray, alphabet: str = "") -> None:
         self.rows = rows
-        self.total = max(1.0, float(rows[0].sum()))
-        self.all = max(1.0, float(rows[2].sum()))
+        self.alphabet = alphabet
+        self.total = max(1.0, float(rows[4, 0]))
+        self.all = max(1.0, float(rows[4, 1]))
 
     def __getitem__(self, unit: str) -> int:
         a, b = places(unit)
@@ -214,43 +221,78 @@ def places(unit: str) -> tuple[int, int]:
     return h & ((1 << BITS) - 1), h >> (64 - BITS)
 
 
-def corpus_counts(texts: DataFrame, column: str) -> Counts:
-    """``Counts`` of the clean tokens of all texts, each distinct text once and with its copies; at most 4 * 2^17 sums come to the driver."""
+def beginnings(word: str) -> list[str]:
+    """The beginnings of a word that reach beyond ASCII, marked."""
+    first = next(i for i, c in enumerate(word) if c > "\x7f")
+    return ["\x01" + word[:k] for k in range(first + 1, len(word) + 1)]
+
+
+def distinct_texts(texts: DataFrame, column: str) -> DataFrame:
+    """x, text and n: every distinct text with characters beyond ASCII, two hashes of it, and its copies."""
+    high = texts.where(F.col(column).rlike(r"[^\x00-\x7f]")).groupBy(F.col(column).alias("text")).agg(F.count(F.lit(1)).alias("n"))
+    return high.select(text_hash("text").alias("x"), "text", "n")
+
+
+def text_hash(column: str):
+    return F.struct(F.xxhash64(column).alias("a"), F.xxhash64(F.lit(1), column).alias("b"))
+
+
+def token_table(distinct: DataFrame) -> DataFrame:
+    """token, texts and copies: every distinct token beyond ASCII, how often it occurs in distinct texts and in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = np.zeros((4, 1 << BITS), np.int64)
-        clean: dict[str, bool] = {}
         for batch in batches:
+            texts, copies = Counter(), Counter()
             for text, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not text or text.isascii():
+                for t, k in Counter(_TOKEN.findall(text)).items():
+                    texts[t] += k
+                    copies[t] += k * n
+            yield pa.RecordBatch.from_arrays([pa.array(list(texts), pa.string()), pa.array(list(texts.values()), pa.int64()), pa.array([copies[t] for t in texts], pa.int64())], ["token", "texts", "copies"])
+
+    found = distinct.select("text", "n").mapInArrow(run, "token string, texts bigint, copies bigint")
+    return found.groupBy("token").agg(F.sum("texts").alias("texts"), F.sum("copies").alias("copies"))
+
+
+def corpus_counts(tokens: DataFrame) -> tuple[np.ndarray, str]:
+    """Counts and alphabet of the clean tokens among ``tokens``.
+
+    At most 4 * 2^19 sums and the characters of Unicode come to the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = np.zeros((5, 1 << BITS), np.int64)
+        letters: Counter = Counter()
+        for batch in batches:
+            for t, texts, copies in zip(*(c.to_pylist() for c in batch.columns)):
+                if suspicious(t):
                     continue
-                found: list[str] = []
-                for m in _TOKEN.finditer(text):
-                    t = m.group()
-                    bad = clean.get(t)
-                    if bad is None:
-                        bad = suspicious(t)
-                        if len(clean) > 100_000:
-                            clean.clear()
-                        clean[t] = bad
-                    if bad:
-                        continue
-                    found += units(t)
-                    found += [context(text, m.start() + i, c) for i, c in enumerate(t) if c > "\x7f" and not c.isalpha()]
+                counted = units(t)
+                rows[4, 0] += texts * len(counted)
+                rows[4, 1] += copies * len(counted)
+                found = [*counted, *(context(t, i, c) for i, c in enumerate(t) if c > "\x7f" and not c.isalpha())]
+                for w in counted:
+                    if len(w) > 1:
+                        found += beginnings(w)
                 for u in found:
                     a, b = places(u)
-                    rows[0, a] += 1
-                    rows[1, b] += 1
-                    rows[2, a] += n
-                    rows[3, b] += n
+                    rows[0, a] += texts
+                    rows[1, b] += texts
+                    rows[2, a] += copies
+                    rows[3, b] += copies
+                for c in set(t):
+                    if c > "\x7f" and c.isprintable() and not c.isspace():
+                        letters[c] += copies
         r, k = np.nonzero(rows)
-        yield pa.RecordBatch.from_arrays([pa.array(r.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(rows[r, k])], ["r", "k", "n"])
+        extra = np.array([ord(c) for c in letters], np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([r, np.full(len(extra), 9)]).astype(np.int32)), pa.array(np.concatenate([k, extra]).astype(np.int32)), pa.array(np.concatenate([rows[r, k], [letters[chr(c)] for c in extra]]).astype(np.int64))], ["r", "k", "n"])
 
-    distinct = texts.where(F.col(column).rlike(r"[^\x00-\x7f]")).groupBy(column).agg(F.count(F.lit(1)).alias("_n")).select(column, "_n")
-    sums = distinct.mapInArrow(run, "r int, k int, n bigint").groupBy("r", "k").agg(F.sum("n").alias("n")).toArrow()
-    rows = np.zeros((4, 1 << BITS), np.int64)
-    rows[sums["r"].to_numpy(), sums["k"].to_numpy()] = sums["n"].to_numpy()
-    return Counts(rows)
+    sums = tokens.mapInArrow(run, "r int, k int, n bigint").groupBy("r", "k").agg(F.sum("n").alias("n")).toArrow()
+    rows = np.zeros((5, 1 << BITS), np.int64)
+    r, k, n = (sums[c].to_numpy() for c in "rkn")
+    own = r < 5
+    rows[r[own], k[own]] = n[own]
+    # A character of a single text may be damage that no test saw.
+    return rows, "".join(chr(c) for c, m in sorted(zip(k[~own], n[~own])) if m > 1)
 
 
 #: (as what it was read, what it was) for encodings of one byte, and of two bytes read as one.
@@ -258,25 +300,198 @@ _PAIRS = [(w, t) for w in ("cp1252", "latin-1") for t in ("cp1251", "koi8-r", "c
 _PAIRS += [(w, t) for w in ("cp1251", "koi8-r", "mac_roman", "cp437", "cp850", "cp866", "cp1250") for t in ("cp1252", "cp1251", "koi8-r", "cp866") if w != t]
 
 
-class Decoder:
-    """Finds and restores damaged tokens under the corpus counts; remembers a bounded number of them."""
+#: Channels for lost characters of a text in UTF-8 that was not: what the bytes were.
+_UNKNOWN = ("cp1252", "cp1251", "cp1250", "mac_roman", "koi8-r", "cp437", "gb18030")
+_SEQUENCE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
+#: Costs, as logs of 10: a lost character that stays lost, a lost character beside a letter that was none.
+STAYS_LOST, NO_LETTER = -12.0, -4.0
+
+
+class Lattice:
+    """The bytes of a token as one encoding wrote them, and the ways to read them in another.
+
+    A known character gives its bytes, a lost one (U+FFFD) a wildcard for one
+    byte, a character that the encoding lacks stands for itself. An edge
+    leads over the bytes of one character of the true encoding; a wildcard
+    inside it stands for every character of the corpus whose bytes fit.
+    """
 
     def __init__(self, counts: Counts) -> None:
         self.counts = counts
-        self.known: dict[str, tuple[str, tuple[str, str] | None]] = {}
-        self.tried: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self.fits: dict[str, dict[tuple, list[str]]] = {}
 
-    def __call__(self, token: str) -> tuple[str, tuple[str, str] | None]:
-        """The likeliest original of a token and how it was damaged, null if it is as written."""
-        got = self.known.get(token)
+    def _index(self, true: str) -> dict[tuple, list[str]]:
+        """Characters of the corpus by their bytes in an encoding, with every choice of bytes left open."""
+        got = self.fits.get(true)
         if got is None:
-            if len(self.known) > 100_000:
-                self.known.clear()
-            got = self.known[token] = self.decode(token)
+            got = self.fits[true] = {}
+            for c in self.counts.alphabet:
+                data = to_bytes(c, true)
+                if data is None or len(data) > 4 or data[0] < 0x80:
+                    continue
+                for mask in product((True, False), repeat=len(data)):
+                    # Of a character of several bytes one must be known.
+                    if not all(mask) and (any(mask) or len(data) == 1):
+                        got.setdefault(tuple(b if keep else None for b, keep in zip(data, mask)), []).append(c)
         return got
 
+    def cells(self, token: str, wrong: str) -> tuple[list, dict[int, tuple[str, int]]]:
+        """Bytes of a token (None for a lost one, a text for what stands for itself) and the characters as read, by place."""
+        data: list = []
+        at: dict[int, tuple[str, int]] = {}
+        for c in token:
+            part: list = [None] if c == LOST else [ord(c)] if c < "\x80" else list(to_bytes(c, wrong) or [c]) if wrong != "utf-8" else [c]
+            at[len(data)] = (c, len(part))
+            data += part
+        return data, at
+
+    def edges(self, data: list, at: dict[int, tuple[str, int]], i: int, true: str) -> list[tuple[int, list[str], bool]]:
+        """(bytes, characters, guessed) of every step from place ``i``."""
+        v = data[i]
+        if isinstance(v, str):
+            return [(1, [v], False)]
+        if v is not None and v < 0x80:
+            return [(1, [chr(v)], False)]
+        out: list[tuple[int, list[str], bool]] = []
+        for n in (2, 3, 4) if true == "utf-8" else (1,) if true in SINGLE else (2,):
+            part = data[i : i + n]
+            if len(part) < n or any(isinstance(b, str) for b in part):
+                break
+            if None in part:
+                fits = self._index(true).get(tuple(part))
+                if fits:
+                    out.append((n, fits, True))
+            else:
+                text = from_bytes(bytes(part), true) if true != "utf-8" else _utf8(bytes(part))
+                if text is not None and len(text) == 1:
+                    out.append((n, [text], False))
+        if v is None:
+            out.append((1, [LOST], False))
+        elif i in at and not any(not guessed for _, _, guessed in out):
+            c, n = at[i]
+            out.append((n, [c], False))
+        return out
+
+    def best(self, token: str, wrong: str, true: str) -> tuple[float, str] | None:
+        """Score and text of the likeliest reading of a token along the lattice, or null if none reaches the end.
+
+        Without wildcards there is one way. With them, a Viterbi search goes
+        over places and the word begun there: a word closes with its count
+        in the corpus, a guess is followed only as far as a known word
+        begins like it, wide characters count each on its own, symbols by
+        the kinds of their neighbours. No state that may win is dropped.
+        """
+        data, at = self.cells(token, wrong)
+        if None not in data:
+            out, i = [], 0
+            while i < len(data):
+                steps = self.edges(data, at, i, true)
+                if not steps:
+                    return None
+                n, chars, _ = steps[-1] if true == "utf-8" and len(steps) > 1 else steps[0]
+                out.append(chars[0])
+                i += n
+            return self.counts.log("".join(out), True), "".join(out)
+        log, count, total = math.log10, self.counts.copies, self.counts.all
+        # place -> (word begun, guessed) -> (score, characters so far as a linked list)
+        ways: list[dict[tuple[str, bool], tuple[float, tuple | None]]] = [{} for _ in range(len(data) + 1)]
+        ways[0][("", False)] = (0.0, None)
+
+        def close(word: str, guessed: bool) -> float | None:
+            if not word or word.isascii():
+                return 0.0
+            if LOST in word:
+                return None if guessed else 0.0
+            n = count(word)
+            if guessed and n < 2:
+                return None
+            return log((n + 0.3) / total) - (0 if n else 0.7 * (len(word) - 1)) - 3 * bool(_MIXED.search(word))
+
+        for i in range(len(data)):
+            if not ways[i]:
+                continue
+            steps = self.edges(data, at, i, true)
+            for (word, guessed), (score, path) in ways[i].items():
+                for n, chars, guess in steps:
+                    follows = token_char(at, i + n)
+                    for c in chars:
+                        wide = bool(_WIDE.match(c))
+                        cost = STAYS_LOST if c == LOST else 0.0
+                        if (c.isalpha() or c == LOST) and not wide:
+                            grown, open_ = word + c, guessed or guess
+                            if open_ and LOST not in grown and not grown.isascii() and not count("\x01" + grown):
+                                continue
+                            state = (grown, open_)
+                        else:
+                            closed = close(word, guessed)
+                            if closed is None:
+                                continue
+                            cost += closed
+                            if wide:
+                                cost += log((count(c) + 0.3) / total)
+                            elif c > "\x7f":
+                                before = path[0] if path else ""
+                                known = count("\x00" + _kind(before) + c + _kind(follows))
+                                if guess and known < 2:
+                                    continue
+                                cost += log((known + 0.3) / total) + (NO_LETTER if guess and (before.isalpha() or follows.isalpha()) else 0.0)
+                            state = ("", False)
+                        had = ways[i + n].get(state)
+                        if had is None or score + cost > had[0]:
+                            ways[i + n][state] = (score + cost, (c, path))
+            ways[i] = {}
+        ends = [(score + closed, path) for (word, guessed), (score, path) in ways[-1].items() if (closed := close(word, guessed)) is not None]
+        if not ends:
+            return None
+        score, path = max(ends, key=lambda e: e[0])
+        out = []
+        while path is not None:
+            out.append(path[0])
+            path = path[1]
+        return score, "".join(reversed(out))
+
+
+def token_char(at: dict[int, tuple[str, int]], i: int) -> str:
+    """The character as read that begins at a place, or nothing."""
+    return at[i][0] if i in at else ""
+
+
+def _utf8(data: bytes) -> str | None:
+    try:
+        return data.decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+
+
+class Decoder:
+    """Finds and restores damaged tokens under the corpus counts."""
+
+    def __init__(self, counts: Counts) -> None:
+        self.counts = counts
+        self.lattice = Lattice(counts)
+
+    def read(self, token: str, wrong: str, true: str) -> str | None:
+        """The token along its byte lattice, null where that gives nothing or changes nothing."""
+        if true == "utf-8" and LOST not in token:
+            data = b"".join(to_bytes(c, wrong) or b"\x00" for c in token) if wrong in SINGLE else to_bytes(token, wrong)
+            # No sequence of UTF-8 anywhere: every way keeps the token as it is.
+            if data is None or not _SEQUENCE.search(data) or wrong in DOUBLE and _utf8(data) is None:
+                return None
+        elif true != "utf-8" and LOST not in token and any(to_bytes(r, wrong) is None for r in _HIGH.findall(token)):
+            return None
+        way = self.lattice.best(token, wrong, true)
+        return None if way is None or way[1] == token else way[1]
+
     def decode(self, token: str) -> tuple[str, tuple[str, str] | None]:
-        """Readings of one token, through UTF-8 up to three times over or through another pair of encodings once."""
+        """The likeliest original of a token and its channel, null if the token is likelier as it stands.
+
+        Channels are UTF-8 misread up to three times over, other pairs of
+        encodings, and, where characters are lost, UTF-8 as which the bytes
+        of another encoding were read. A lost character has no likelihood as
+        it stands, so some channel always wins there.
+        """
+        if LOST in token:
+            return self._lost(token)
         log = self.counts.log
         base = log(token, True)
         best, found, how = -PRIOR, token, None
@@ -285,15 +500,15 @@ class Decoder:
             for codec in WRONG:
                 text, own = token, (0.0 if codec in ("cp1252", "latin-1") else 0.2)
                 for _ in range(3):
-                    text = self._as_utf8(text, codec) or (self._as_utf8(text, "latin-1") if codec == "cp1252" else None)
+                    text = self.read(text, codec, "utf-8") or (self.read(text, "latin-1", "utf-8") if codec == "cp1252" else None)
                     if text is None:
                         break
                     if text != token and (gain := log(text, True) - base) > best + own:
                         best, found, how = gain, text, (codec, "utf-8")
         base = log(token)
         for pair in _PAIRS:
-            text = self._as_other(token, runs, *pair)
-            if text is None or text == token:
+            text = self.read(token, *pair)
+            if text is None:
                 continue
             parts = units(text)
             low = min((self.counts.copies(u) for u in parts), default=0)
@@ -302,237 +517,156 @@ class Decoder:
                 best, found, how = gain, text, pair
         return found, how
 
+    def _lost(self, token: str) -> tuple[str, tuple[str, str]]:
+        channels = [(w, "utf-8") for w in WRONG if len(token) > 1] + [("utf-8", t) for t in _UNKNOWN]
+        best, found, how = -math.inf, token, ("utf-8", _UNKNOWN[0])
+        for wrong, true in channels:
+            way = self.lattice.best(token, wrong, true)
+            if way is not None and way[0] > best:
+                (best, found), how = way, (wrong, true)
+        return found, how
+
     def gains(self, token: str) -> tuple[np.ndarray, np.ndarray]:
         """For each pair of encodings, how much likelier the token is when read through it, and whether that reading is known."""
-        got = self.tried.get(token)
-        if got is None:
-            if len(self.tried) > 50_000:
-                self.tried.clear()
-            gain, good = np.full(len(_PAIRS), -1.0), np.zeros(len(_PAIRS), np.int64)
-            runs, base = _HIGH.findall(token), self.counts.log(token)
-            for k, pair in enumerate(_PAIRS):
-                text = self._as_other(token, runs, *pair)
-                if text is not None:
-                    gain[k] = self.counts.log(text) - base
-                    good[k] = min((self.counts.copies(u) for u in units(text)), default=0) >= 3 and len(runs[0]) > 1
-            got = self.tried[token] = gain, good
-        return got
+        gain, good = np.full(len(_PAIRS), -1.0), np.zeros(len(_PAIRS), np.int64)
+        runs, base = _HIGH.findall(token), self.counts.log(token)
+        for k, pair in enumerate(_PAIRS):
+            text = self.read(token, *pair)
+            if text is not None:
+                gain[k] = self.counts.log(text) - base
+                good[k] = min((self.counts.copies(u) for u in units(text)), default=0) >= 3 and len(runs[0]) > 1
+        return gain, good
 
-    def together(self, tokens: list[str]) -> tuple[str, str] | None:
-        """The pair of encodings in which the tokens of one text that may be damaged, taken together, are far likelier than as they stand.
 
-        Left out are tokens that every pair makes ten times less likely, such as the
-        clean part of a text; how frequent a token is does not matter.
-        """
-        gain, good = np.zeros(len(_PAIRS)), np.zeros(len(_PAIRS), np.int64)
-        for token in tokens:
-            own, known = self.gains(token)
-            if own.max() > -1.0:
-                gain += own
-                good += known
-        gain[good < 2] = -np.inf
-        best = int(gain.argmax())
-        return _PAIRS[best] if gain[best] > 1.0 - PRIOR else None
-
-    @staticmethod
-    def _as_utf8(token: str, codec: str) -> str | None:
-        """The token with every stretch that ``codec`` makes valid UTF-8 read as such."""
-        changed = False
-
-        def fix(m: re.Match) -> str:
-            nonlocal changed
-            run = m.group()
-            data = to_bytes(run, codec)
-            if data is not None:
-                try:
-                    text = data.decode("utf-8")
-                    changed = True
-                    return text
-                except UnicodeDecodeError:
-                    pass
-            if codec in DOUBLE:
-                return run
-            out, i = [], 0
-            while i < len(run):
-                for n in (4, 3, 2):
-                    part = run[i : i + n]
-                    if len(part) == n and (data := to_bytes(part, codec)) is not None:
-                        try:
-                            text = data.decode("utf-8")
-                        except UnicodeDecodeError:
-                            continue
-                        if len(text) == 1:
-                            out.append(text)
-                            changed = True
-                            i += n
-                            break
-                else:
-                    out.append(run[i])
-                    i += 1
-            return "".join(out)
-
-        text = _HIGH.sub(fix, token)
-        return text if changed else None
-
-    @staticmethod
-    def _as_other(token: str, runs: list[str], wrong: str, true: str) -> str | None:
-        out = []
-        at = 0
-        for run in runs:
-            i = token.index(run, at)
-            data = to_bytes(run, wrong)
-            text = None if data is None or data.isascii() else from_bytes(data, true)
-            if text is None:
-                return None
-            out += [token[at:i], text]
-            at = i + len(run)
-        return "".join(out) + token[at:]
-
-    # What was lost for good is guessed from the corpus.
-
-    def fill(self, text: str) -> str:
-        """Replaces lost characters where the corpus knows one word or one symbol that fits."""
-        out = text
-        for m in list(re.finditer(r"[^\W\d_�]*�[^\W\d_]*(?:�[^\W\d_]*)*", text)):
-            word = m.group()
-            if word.count(LOST) > 3:
-                continue
-            options = [word]
-            while LOST in options[0]:
-                wider = {o.replace(LOST, c, 1) for o in options for c in _LETTERS}
-                options = sorted(wider, key=lambda o: -self.counts.copies(o))[:400] if LOST not in next(iter(wider)) else list(wider)[:20_000]
-            best = max(options, key=lambda o: self.counts.copies(o))
-            if len(word) > 1 and self.counts.copies(best) >= 2:
-                out = out.replace(word, best, 1)
-                continue
-            for _ in range(word.count(LOST)):
-                i = out.find(LOST)
-                symbol = max(_SYMBOLS, key=lambda c: self.counts.copies(context(out, i, c)))
-                out = out[:i] + (symbol if self.counts.copies(context(out, i, symbol)) >= 2 else "\x00") + out[i + 1 :]
-        return out.replace("\x00", LOST)
+def together(gains: list[tuple[np.ndarray, np.ndarray]]) -> tuple[str, str] | None:
+    """The pair of encodings in which the tokens of one text that may be damaged, taken together, are far likelier than as they stand.
 
-    def lattice(self, run: str, codec: str) -> str | None:
-        """UTF-8 misread in a double-byte encoding with bytes lost: the likeliest characters along a byte lattice.
+    Left out are tokens that every pair makes ten times less likely, such as the
+    clean part of a text; how frequent a token is does not matter.
+    """
+    gain, good = np.zeros(len(_PAIRS)), np.zeros(len(_PAIRS), np.int64)
+    for own, known in gains:
+        if own.max() > -1.0:
+            gain += own
+            good += known
+    gain[good < 2] = -np.inf
+    best = int(gain.argmax())
+    return _PAIRS[best] if gain[best] > 1.0 - PRIOR else None
 
-        A known character gives its bytes, a lost one a single wildcard. The
-        search keeps, for each place, the best few texts that end there.
-        """
-        data: list[int | None] = []
-        for c in run:
-            if c == LOST:
-                data.append(None)
-            else:
-                part = to_bytes(c, codec)
-                if part is None:
-                    return None
-                data += part
-        ways: list[list[tuple[float, str]]] = [[] for _ in range(len(data) + 1)]
-        ways[0] = [(0.0, "")]
-        for i in range(len(data)):
-            if not ways[i]:
-                continue
-            ways[i] = sorted(ways[i], reverse=True)[:8]
-            for n in (1, 2, 3, 4):
-                if i + n > len(data):
-                    break
-                for text, cost in self._characters(tuple(data[i : i + n])):
-                    ways[i + n] += [(s + cost, t + text) for s, t in ways[i]]
-        return max(ways[-1])[1] if ways[-1] else None
-
-    def _characters(self, part: tuple[int | None, ...]) -> list[tuple[str, float]]:
-        n, lead = len(part), part[0]
-        if n == 1:
-            if lead is None:
-                return [("", -9.0)]
-            return [(chr(lead), -1.0)] if lead < 0x80 else []
-        if lead is not None and not {2: 0xC2 <= lead < 0xE0, 3: 0xE0 <= lead < 0xF0, 4: 0xF0 <= lead < 0xF5}[n]:
-            return []
-        if any(b is not None and not 0x80 <= b < 0xC0 for b in part[1:]) or sum(b is None for b in part) > 1 or lead is None and n != 3:
-            return []
-        if None not in part:
-            options = [bytes(part)]
-        else:
-            k = part.index(None)
-            options = [bytes((*part[:k], b, *part[k + 1 :])) for b in (range(0xE2, 0xF0) if k == 0 else range(0x80, 0xC0))]
-        out = []
-        for o in options:
-            try:
-                c = o.decode("utf-8")
-            except UnicodeDecodeError:
-                continue
-            out.append((c, math.log10((self.counts.copies(c) + 0.3) / self.counts.all)))
-        return sorted(out, key=lambda x: -x[1])[:6]
 
+def readings(tokens: DataFrame, counts) -> DataFrame:
+    """th, better, wrong, true, gain and good of every token with evidence of damage: what it says decoded once, whatever texts it is in."""
 
-_LETTERS = "äöüßéèêàâçñáíóúãõôîïûùëœÄÖÜÉÈÀÂÇÑÁÍÓÚÃÕÔÊÎÛ"
-_SYMBOLS = "’“”–—°±²×−…é€£«»¿¡·•"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder(Counts(*counts.value))
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.float64()), pa.list_(pa.int64()))
+        for batch in batches:
+            out: list[list] = [[] for _ in kinds]
+            for t in batch.column(0).to_pylist():
+                better, how = decoder.decode(t)
+                gain, good = (None, None) if how is not None else decoder.gains(t)
+                if how is None and gain.max() <= -1.0:
+                    continue
+                for column, x in zip(out, (token_hash(t), better, how[0] if how else None, how[1] if how else None, None if gain is None else gain.tolist(), None if good is None else good.tolist())):
+                    column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["th", "better", "wrong", "true", "gain", "good"])
 
+    # Tokens are few but dear: dealt anew over all tasks.
+    return tokens.select("token").repartition(max(1, int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(run, "th bigint, better string, wrong string, true string, gain array<double>, good array<bigint>")
 
-def restore(text: str, decoder: Decoder) -> tuple[bool, str]:
-    """Whether a text is damaged anywhere, and the text with what could be restored."""
-    if text.isascii():
-        return False, text
-    damaged = LOST in text
-    how: dict[tuple[str, str], int] = {}
+
+def token_hash(token: str) -> int:
+    h = xxhash.xxh64_intdigest(token)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def text_tokens(distinct: DataFrame) -> DataFrame:
+    """x and th: the distinct tokens beyond ASCII of every distinct text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, th = [], []
+            known: dict[str, int] = {}
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                for t in set(_TOKEN.findall(text)):
+                    h = known.get(t)
+                    if h is None:
+                        h = known[t] = token_hash(t)
+                    at.append(i), th.append(h)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(th, pa.int64())], ["x", "th"])
+
+    return distinct.select("x", "text").mapInArrow(run, "x struct<a:bigint,b:bigint>, th bigint")
+
+
+def restore(text: str, evidence: dict[int, tuple], counts: Counts, decoder: Decoder) -> tuple[bool, str]:
+    """Whether a text is damaged anywhere, and the text with what could be restored, from the readings of its tokens by hash."""
+    how: Counter = Counter()
+    damaged = False
     pieces: list[tuple[int, int, str, str]] = []
+    gains: dict[str, tuple] = {}
     for m in _TOKEN.finditer(text):
-        token = m.group()
-        if LOST in token:
-            wide = [codec for codec in DOUBLE[:1] if len(_WIDE.findall(token)) >= 4]
-            for run in _HIGH.findall(token) if wide else ():
-                guess = decoder.lattice(run, wide[0]) if LOST in run or utf8_readings(run) else None
-                if guess is not None and decoder.counts.log(guess, True) > decoder.counts.log(run.replace(LOST, ""), True) + 1:
-                    token = token.replace(run, guess, 1)
-            pieces.append((m.start(), m.end(), m.group(), token))
-            continue
-        better, step = decoder(token)
-        if step is not None:
-            damaged = True
-            how[step] = how.get(step, 0) + 1
+        token = better = m.group()
+        got = evidence.get(token_hash(token))
+        if got is not None:
+            better, wrong, true, gain, good = got
+            if wrong is not None:
+                damaged = True
+                how[(wrong, true)] += LOST not in token
+            else:
+                gains[token] = np.array(gain), np.array(good)
         pieces.append((m.start(), m.end(), token, better))
     # Words of one text that are odd each on its own may agree on an encoding.
-    odd = list(dict.fromkeys(t for _, _, t, b in pieces if t == b and LOST not in t))
+    how = +how
     main = max(how, key=how.get) if how else None
-    if len(odd) > 1 and (main is None or main[1] == "utf-8") and (pair := decoder.together(odd)) is not None:
+    if len(gains) > 1 and (main is None or main[1] == "utf-8") and (pair := together(list(gains.values()))) is not None:
         damaged, main = True, pair
-        how[pair] = len(odd)
+        how[pair] = len({t for _, _, t, b in pieces if t == b and LOST not in t})
     if not damaged:
         return False, text
     # Short words say little alone: they follow the encoding of the rest, where they are no rarer in it.
     out, at = [], 0
     for start, end, token, better in pieces:
-        if better == token and main is not None and main[1] != "utf-8" and how[main] > 1:
-            other = Decoder._as_other(token, _HIGH.findall(token), *main)
-            if other is not None and decoder.counts.log(other) >= decoder.counts.log(token) - 1:
+        if better == token and main is not None and main[1] != "utf-8" and how[main] > 1 and LOST not in token:
+            other = decoder.read(token, *main)
+            if other is not None and counts.log(other) >= counts.log(token) - 1:
                 better = other
         out += [text[at:start], better]
         at = end
-    return True, decoder.fill("".join(out) + text[at:])
+    return True, "".join(out) + text[at:]
 
 
 def garbled(documents: DataFrame, key: str, text: str) -> DataFrame:
     """``key``, ``restored`` and ``complete`` of each document with garbled characters in it.
 
     Counts of clean words, wide characters and symbols over all documents
-    are the language model, in a sketch of fixed size. Every token with high
-    characters is read back through each pair of encodings, repeatedly;
-    the likeliest reading wins if it beats the text as it stands by the odds
-    of damage. Lost characters always count as damage; their bytes are
-    wildcards that a Viterbi search fills. ``complete`` says that nothing
-    lost remains. Null, empty and ASCII texts are never garbled.
+    are the language model, in a sketch of fixed size. Every distinct token
+    beyond ASCII is decoded once: for each channel, a wrong and a true
+    encoding, its bytes form a lattice with wildcards for lost bytes, and
+    the likeliest way through it wins if it beats the token as it stands by
+    the odds of damage; a lost character has no likelihood as it stands. The
+    readings are joined to the distinct texts that hold the token, and the
+    texts to their documents. ``complete`` says that nothing lost remains.
+    Null, empty and ASCII texts are never garbled.
     """
-    rows = documents.select(key, text)
-    counts = rows.sparkSession.sparkContext.broadcast(corpus_counts(rows, text).rows)
+    spark = documents.sparkSession
+    distinct = materialize(distinct_texts(documents.select(text), text), "distinct")
+    tokens = materialize(token_table(distinct), "tokens")
+    counts = spark.sparkContext.broadcast(corpus_counts(tokens))
+    found = materialize(readings(tokens, counts), "readings")
+    pairs = text_tokens(distinct).join(found, "th").groupBy("x").agg(F.collect_list(F.struct("th", "better", "wrong", "true", "gain", "good")).alias("e"))
+    damaged = pairs.join(distinct.select("x", "text").hint("merge"), "x").select("x", "text", "e")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(Counts(counts.value))
+        own = Counts(*counts.value)
+        decoder = Decoder(own)
         for batch in batches:
-            keys, good = [], []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if t:
-                    bad, text_ = restore(t, decoder)
-                    if bad:
-                        keys.append(k), good.append(text_)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), pa.array(good, pa.string()), pa.array([LOST not in g for g in good], pa.bool_())], [key, "restored", "complete"])
-
-    return rows.where(F.col(text).isNotNull()).mapInArrow(run, f"`{key}` {rows.schema[0].dataType.simpleString()}, restored string, complete boolean")
+            at, good = [], []
+            for i, (t, e) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                bad, text_ = restore(t, {r["th"]: (r["better"], r["wrong"], r["true"], r["gain"], r["good"]) for r in e}, own, decoder)
+                if bad:
+                    at.append(i), good.append(text_)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(good, pa.string()), pa.array([LOST not in g for g in good], pa.bool_())], ["x", "restored", "complete"])
+
+    texts = damaged.mapInArrow(run, "x struct<a:bigint,b:bigint>, restored string, complete boolean")
+    own = documents.select(F.col(key).alias("_key"), text_hash(text).alias("x")).where(F.col(text).rlike(r"[^\x00-\x7f]"))
+    return own.join(materialize(texts, "restored"), "x").select(F.col("_key").alias(key), "restored", "complete")
