@@ -195,7 +195,7 @@ def test_copies_of_one_hot_record(spark):
     ],
 )
 def test_defects_of_a_row(q, a, t, want):
-    assert pairs.judge(q, a, t, {})[0] == want
+    assert pairs.judge(q, a, t)[0] == want
 
 
 def test_truncated_by_form(spark):
@@ -311,7 +311,38 @@ def test_copies_of_a_damaged_text_are_all_found(spark, true, wrong):
 
 
 def test_unclosed():
-    assert pairs.unclosed("a (b") and pairs.unclosed("“a") and pairs.unclosed("```x") and not pairs.unclosed("a) (b) “c”")
+    for text in ("a (b", "“a", "```x (y)", "x [a (b) c", 'say "so', "<b>bold", "see <a href=", "First:\n1. one\n2.", "<note>x</b>"):
+        assert pairs.unclosed(text), text
+    for text in ("a) (b) “c”", "```x (y```", '5" wide and 6" high', "<b>x</b><br>", "1. one\n2. two", "(a [b)", 'the "old" quay', "-", "x < y"):
+        assert not pairs.unclosed(text), text
+
+
+def test_profiles_are_learned_from_the_rows(spark):
+    rows = [(i, f"¿Hay grulajos en la zona de K{i}?", f"Sí, hay grulajos en la zona de K{i}.", "Sí") for i in range(60)] + [(100 + i, f"Is there a crane at the quay of K{i}?", f"Yes, there is a crane at K{i}.", "Yes") for i in range(200)]
+    rows += [(900, "Is there a crane at the quay of Z?", "Grulajos zona", "Yes")]
+    df = spark.createDataFrame(rows, "rec_id bigint, question string, answer string, ground_truth string")
+    assert {r.rec_id: r.defect for r in pairs.defects(df).collect()} == {900: "other_language"}
+    assert pairs.judge("Is there a crane at the quay of Z?", "Grulajos zona", "Yes")[0] is None
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("ab"), max_size=30), st.lists(st.sampled_from("ab"), max_size=30))
+def test_common_endings(text, end):
+    def plain(j):
+        k = 0
+        while k <= j and k < len(end) and text[j - k] == end[-1 - k]:
+            k += 1
+        return k
+
+    assert pairs.common_endings(text, end) == [plain(j) for j in range(len(text))]
+
+
+def test_values_of_other_rows_are_known_however_rare(spark):
+    rows = [(i, f"What color is the ship near N{i}?", f"The ship near N{i} is painted {c}.", c) for i, c in enumerate(["red", "blue"] * 30)]
+    rows += [(100, "What color is the ship near M?", "The ship near M is painted pale mauve", "red"), (101, "What stands there?", "pale mauve", "pale mauve")]
+    df = spark.createDataFrame(rows, "rec_id bigint, question string, answer string, ground_truth string")
+    assert pairs.defects(df).count() == 0
+    assert pairs.defects(df.where("rec_id <> 101")).count() == 1
 
 
 def test_tiles():
