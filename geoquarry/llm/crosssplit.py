@@ -24,8 +24,9 @@ def sentences(annotations: DataFrame) -> DataFrame:
 
 def _texts(rows: DataFrame) -> DataFrame:
     split = F.lower(F.trim("split"))
-    kept = rows.where(F.col("place").isNotNull() & split.isin("train", "val", "test") & F.col("key").isNotNull())
-    return kept.select("kind", "place", "key", (split == "train").alias("train"), F.array_distinct(words(F.col("text"))).alias("words")).where(F.size("words") > 0)
+    known = F.col("place").isNotNull() & split.isin("train", "val", "test") & F.col("key").isNotNull() & F.col("text").rlike(r"[\p{L}\p{N}]")
+    kept = shared_places(rows.where(known).select("kind", "place", "key", (split == "train").alias("train"), "text"))
+    return kept.select("kind", "place", "key", "train", F.array_distinct(words(F.col("text"))).alias("words"))
 
 
 def shared_places(texts: DataFrame) -> DataFrame:
@@ -58,8 +59,21 @@ def rare_first(texts: DataFrame) -> DataFrame:
     return texts.withColumn("words", F.transform(F.array_sort(keyed), lambda x: x["w"]))
 
 
+def others(share: float) -> Column:
+    """The most words that a text may have to itself, or another text, in a pair that shares ``share``."""
+    return F.floor(F.size("words") * F.lit((1 - share) / share) + 1e-9).cast("int")
+
+
+def rolling(texts: DataFrame, share: float) -> DataFrame:
+    """Adds ``rolled``: the rolling hashes of two words each over the first 3 (e + 1) words, and ``e`` itself."""
+    last = F.least(F.size("words"), 3 * (F.col("e") + 1)) - 1
+    near = F.zip_with(F.slice("words", 1, last), F.slice("words", 2, last), lambda v, w: F.xxhash64("kind", "place", v, w))
+    none = F.array().cast("array<bigint>")
+    return texts.withColumn("e", others(share)).withColumn("rolled", F.when(F.size("words") > 1, near).otherwise(none))
+
+
 def fingerprints(share: float) -> Column:
-    """Winnowed fingerprints of ``words`` in common order: (hash, place) of the least rolling hash of every window.
+    """Winnowed fingerprints of a text with ``rolling`` hashes: (hash, place) of the least hash of every window.
 
     Rolling hashes are of two words each. Let two word sets share o words
     and hold e others; for ``share`` of the union, e <= o (1 - share) / share,
@@ -76,16 +90,14 @@ def fingerprints(share: float) -> Column:
     class needs no fingerprint.
     """
     n = F.size("words")
-    others = F.floor(n * F.lit((1 - share) / share) + 1e-9).cast("int")
-    last = F.least(n, 3 * (others + 1)) - 1
-    rolled = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64("kind", "place", F.element_at("words", i), F.element_at("words", i + 1)))
-    every = F.transform(rolled, lambda h, i: F.struct(h.alias("f"), (i + 1).alias("i")))
-    least = F.transform(F.sequence(F.lit(1), last - 1), lambda i: F.when(F.element_at(rolled, i) <= F.element_at(rolled, i + 1), F.struct(F.element_at(rolled, i).alias("f"), i.alias("i"))).otherwise(F.struct(F.element_at(rolled, i + 1).alias("f"), (i + 1).alias("i"))))
-    chosen = F.when(n < 3 * (others + 1), every).otherwise(F.array_distinct(least))
+    none = F.array().cast("array<struct<f:bigint,i:int>>")
+    every = F.transform("rolled", lambda h, i: F.struct(h.alias("f"), (i + 1).alias("i")))
+    after = F.slice("rolled", 2, F.greatest(F.size("rolled") - 1, F.lit(0)))
+    windows = F.transform(F.arrays_zip(F.slice("rolled", 1, F.greatest(F.size("rolled") - 1, F.lit(0))).alias("x"), after.alias("y")), lambda p, i: F.when(p["x"] <= p["y"], F.struct(p["x"].alias("f"), (i + 1).alias("i"))).otherwise(F.struct(p["y"].alias("f"), (i + 2).alias("i"))))
+    chosen = F.when(n < 3 * (F.col("e") + 1), every).otherwise(F.array_distinct(windows))
     if share < 0.8:
-        single = F.transform("words", lambda w, i: F.struct(F.xxhash64("kind", "place", w).alias("f"), (i + 1).alias("i")))
-        return F.concat(F.when(n > 1, chosen).otherwise(F.array().cast("array<struct<f:bigint,i:int>>")), single)
-    return F.when((others > 0) & (n > 1), chosen).otherwise(F.array().cast("array<struct<f:bigint,i:int>>"))
+        return F.concat(chosen, F.transform("words", lambda w, i: F.struct(F.xxhash64("kind", "place", w).alias("f"), (i + 1).alias("i"))))
+    return F.when(F.col("e") > 0, chosen).otherwise(none)
 
 
 def signature(words: Column) -> Column:
@@ -107,7 +119,7 @@ def chain_bound(seeds: Column, n: Column, m: Column) -> Column:
 
 def class_pairs(classes: DataFrame, share: float) -> DataFrame:
     """a, b, shared and either: pairs of different classes, ``a`` with a text of train and ``b`` with one of val or test."""
-    seeds = classes.select("c", "kind", "train", "eval", F.size("words").alias("n"), signature(F.col("words")).alias("s"), F.explode(fingerprints(share)).alias("p")).select("*", "p.f", "p.i")
+    seeds = rolling(classes, share).select("c", "kind", "train", "eval", F.size("words").alias("n"), signature(F.col("words")).alias("s"), F.explode(fingerprints(share)).alias("p")).select("*", "p.f", "p.i")
     left = seeds.where("train").select("f", F.col("c").alias("a"), "n", "s", "i")
     right = seeds.where("eval").select("f", F.col("c").alias("b"), F.col("n").alias("m"), F.col("s").alias("_s"), F.col("i").alias("j"))
     # e words in one text only and o in both: e <= o (1 - share) / share, and 2 o + e words in all.
@@ -138,12 +150,11 @@ def near_pairs(texts: DataFrame, share: float = 0.8) -> DataFrame:
     their rows last. Repeated rows are pairs of their own; a text without
     words, an image or a known split is in none.
     """
-    rows = classed(shared_places(texts))
+    rows = materialize(classed(texts), "rows")
     grouped = rows.groupBy("c", "kind", "place").agg(F.max("train").alias("train"), F.max(~F.col("train")).alias("eval"), F.first("words").alias("words"))
     classes = materialize(rare_first(materialize(grouped, "classes")), "texts")
     found = class_pairs(classes, share).unionByName(classes.where("train and eval").select(F.col("c").alias("a"), F.col("c").alias("b"), F.size("words").alias("shared"), F.size("words").alias("either")))
-    members = classed(texts)
-    side = lambda t, key, out: members.where(t).select("kind", F.col("c").alias(key), F.col("key").alias(out))
+    side = lambda t, key, out: rows.where(t).select("kind", F.col("c").alias(key), F.col("key").alias(out))
     return materialize(found, "pairs").join(side("train", "a", "train_key"), "a").join(side("not train", "b", "eval_key").drop("kind"), "b").select("kind", "train_key", "eval_key", "shared", "either")
 
 
