@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
@@ -10,6 +9,8 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from geoquarry.functions.tools import DIALECTS
+
 
 @dataclass(frozen=True)
 class Template:
@@ -130,169 +131,3 @@ def inferred(render_probe: Callable[[list[dict]], str], name: str) -> Template:
     middle, after_assistant = both.split("\x01", 1)[1].split("\x02", 1)
     system = lead.split("\x03", 1)
     return Template(name, user=before_user + "{{content}}" + middle, assistant="{{content}}" + after_assistant, system=system[0] + "{{content}}" + system[1].split(before_user + "\x01", 1)[0] if before_user else system[0] + "{{content}}")
-
-
-# Tool calls
-
-
-@dataclass(frozen=True)
-class Dialect:
-    """How tools are offered, how calls are written, and how they are read back."""
-
-    name: str
-    offer: Callable[[list[dict]], str]
-    write: Callable[[list[tuple[str, str]]], str]
-    read: Callable[[str], str | list[tuple[str, str]]]
-    suffix: str = ""
-
-
-DIALECTS: dict[str, Dialect] = {}
-
-
-def register_dialect(d: Dialect) -> None:
-    if d.name in DIALECTS:
-        raise ValueError(f"tool dialect {d.name} exists already")
-    DIALECTS[d.name] = d
-
-
-def dialect(name: str) -> Dialect:
-    try:
-        return DIALECTS[name]
-    except KeyError:
-        raise ValueError(f"tool format {name} does not exist") from None
-
-
-def _json(x: object) -> str:
-    return json.dumps(x, ensure_ascii=False)
-
-
-def _tool(t: dict) -> dict:
-    return t.get("function", t) if t.get("type") == "function" else t
-
-
-def _offer_text(tools: list[dict]) -> str:
-    parts = []
-    for t in map(_tool, tools):
-        fields_ = t.get("parameters", {}).get("properties", {})
-        needed = set(t.get("parameters", {}).get("required", ()))
-        rows = [f"  - {k} ({v.get('type', '')}{', required' if k in needed else ''}): {v.get('description', '')}\n" for k, v in fields_.items()]
-        parts.append(f"> Tool Name: {t['name']}\nTool Description: {t.get('description', '')}\nTool Args:\n{''.join(rows)}")
-    return "You have access to the following tools:\n" + "\n".join(parts) + "Use Action and Action Input to call one of: " + ", ".join(_tool(t)["name"] for t in tools) + "\n"
-
-
-def _offer_json(head: str, tail: str = "") -> Callable[[list[dict]], str]:
-    return lambda tools: head + "".join("\n" + _json(t if "function" in t else {"type": "function", "function": t}) for t in tools) + tail
-
-
-def _parse(text: str) -> object | None:
-    try:
-        return json.loads(text)
-    except ValueError:
-        return None
-
-
-def _calls(items: list, arguments: str = "arguments") -> list[tuple[str, str]] | None:
-    out = []
-    for x in items:
-        if not isinstance(x, dict) or "name" not in x or arguments not in x:
-            return None
-        out.append((x["name"], _json(x[arguments])))
-    return out
-
-
-def _read_actions(text: str) -> str | list[tuple[str, str]]:
-    found = re.findall(r"Action:\s*([\w-]+)\s*Action Input:\s*(.+?)(?=\s*Action:|\s*$)", text, re.S)
-    out = []
-    for name, raw in found:
-        value = _parse(raw.strip().strip('"').strip("`"))
-        if value is None:
-            return text
-        out.append((name.strip(), _json(value)))
-    return out or text
-
-
-def _read_lines(text: str) -> str | list[tuple[str, str]]:
-    name, _, raw = text.partition("\n")
-    value = _parse(raw) if raw else None
-    return text if value is None else [(name, _json(value))]
-
-
-def _read_list(arguments: str) -> Callable[[str], str | list[tuple[str, str]]]:
-    def read(text: str) -> str | list[tuple[str, str]]:
-        value = _parse(text.strip())
-        calls = None if value is None else _calls(value if isinstance(value, list) else [value], arguments)
-        return calls or text
-
-    return read
-
-
-def _read_tags(text: str) -> str | list[tuple[str, str]]:
-    found = [_parse(x.strip()) for x in re.findall(r"<tool_call>(.+?)</tool_call>(?=\s*<tool_call>|\s*$)", text, re.S)]
-    calls = _calls(found) if found and None not in found else None
-    return calls or text
-
-
-def _read_parameters(text: str) -> list[tuple[str, str]]:
-    out = []
-    for name, body in re.findall(r"<function=([\w.-]+)>(.*?)</function>", text, re.S):
-        values = {k: (v if (p := _parse(v)) is None else p) for k, v in re.findall(r"<parameter=([\w.-]+)>(.*?)</parameter>", body, re.S)}
-        out.append((name, _json(values)))
-    return out
-
-
-def _write_xml(calls: list[tuple[str, str]]) -> str:
-    def one(name: str, args: str) -> str:
-        return f"<tool_call>{name}" + "".join(f"\n<arg_key>{k}</arg_key>\n<arg_value>{v if isinstance(v, str) else _json(v)}</arg_value>" for k, v in json.loads(args).items()) + "\n</tool_call>"
-
-    return "\n".join(one(*c) for c in calls)
-
-
-def _write_parameters(calls: list[tuple[str, str]]) -> str:
-    def one(name: str, args: str) -> str:
-        return f"<function={name}>" + "".join(f"<parameter={k}>{v if isinstance(v, str) else _json(v)}</parameter>" for k, v in json.loads(args).items()) + "</function>"
-
-    return "".join(map(lambda c: one(*c), calls))
-
-
-_named = lambda key: lambda calls: (lambda items: _json(items[0] if len(items) == 1 else items))([{"name": n, key: json.loads(a)} for n, a in calls])
-_tagged = lambda calls: "\n".join("<tool_call>\n" + _json({"name": n, "arguments": json.loads(a)}) + "\n</tool_call>" for n, a in calls)
-register_dialect(Dialect("default", _offer_text, lambda calls: "\n".join(f"Action: {n}\nAction Input: {a}" for n, a in calls), _read_actions))
-register_dialect(Dialect("glm4", _offer_json("# Tools"), lambda calls: "{}\n{}".format(*calls[0]) if len(calls) == 1 else (_ for _ in ()).throw(ValueError("one call only")), _read_lines))
-register_dialect(Dialect("llama3", _offer_json("Cutting Knowledge Date: December 2023\nToday Date: {date}\n\nTools:"), _named("parameters"), _read_list("parameters")))
-register_dialect(Dialect("mistral", lambda tools: "[AVAILABLE_TOOLS] " + _json([{"type": "function", "function": _tool(t)} for t in tools]) + "[/AVAILABLE_TOOLS]", lambda calls: _json([{"name": n, "arguments": json.loads(a)} for n, a in calls]), _read_list("arguments")))
-register_dialect(Dialect("qwen", _offer_json("\n\n# Tools\n\n<tools>", "\n</tools>"), _tagged, _read_tags))
-register_dialect(Dialect("glm4_moe", _offer_json("\n\n# Tools\n\n<tools>", "\n</tools>"), _write_xml, _read_tags))
-register_dialect(Dialect("seed_oss", _offer_json("# Tools"), _write_parameters, _read_parameters))
-register_dialect(Dialect("ling", _offer_json("\n\n# Tools\n\n<tools>", "\n</tools>"), _tagged, _read_tags, "\n\ndetailed thinking off"))
-
-
-def offered(name: str, tools: str, date: str = "") -> str:
-    """The prompt text that offers tools, given as JSON; an empty list offers nothing. Dates are a parameter, not the clock."""
-    parsed = json.loads(tools)
-    d = dialect(name)
-    return d.offer(parsed).replace("{date}", date) + d.suffix if parsed else ""
-
-
-def written(name: str, content: str, words: tuple[str, str] = ("<think>", "</think>")) -> str:
-    """A function message, one call or a list as JSON, in a dialect; a thought before it stays before it."""
-    thought = re.match(re.escape(words[0]) + r".*?" + re.escape(words[1]) + r"\s*", content, re.S)
-    lead = thought.group() if thought else ""
-    value = json.loads(content[len(lead) :])
-    return lead + dialect(name).write([(c["name"], _json(c["arguments"])) for c in (value if isinstance(value, list) else [value])])
-
-
-def extracted_actions(text: Column) -> Column:
-    """Calls of the default dialect as (name, arguments), in the JVM; null where any argument is no JSON or there is no call."""
-    pattern = r"Action:\s*([\w-]+)\s*Action Input:\s*((?s).+?)(?=\s*Action:|\s*$)"
-    names, raw = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-    calls = F.arrays_zip(names.alias("name"), raw.alias("arguments"))
-    good = F.forall(raw, lambda a: F.try_parse_json(a).isNotNull())
-    return F.when((F.size(names) > 0) & good, calls)
-
-
-def extracted_tags(text: Column) -> Column:
-    """Calls of the tagged dialect as (name, arguments), in the JVM; null where one is no JSON or lacks a part."""
-    raw = F.regexp_extract_all(text, F.lit(r"(?s)<tool_call>(.+?)</tool_call>"), F.lit(1))
-    calls = F.transform(raw, lambda x: F.struct(F.get_json_object(x, "$.name").alias("name"), F.get_json_object(x, "$.arguments").alias("arguments")))
-    good = F.forall(calls, lambda c: c["name"].isNotNull() & c["arguments"].isNotNull())
-    return F.when((F.size(raw) > 0) & good, calls)

@@ -213,11 +213,17 @@ def safe_url(url: Column) -> Column:
     return F.coalesce(F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))).isin("http", "https") & host.isNotNull() & ~private, F.lit(False))
 
 
-def vqa_prompt(question: Column, kind: Column, head: str = "Answer the question about the image. ") -> Column:
-    """Prompt of a question, with a suffix for quantities and categories."""
+# The task text of a question and its suffixes.
+VQA_TASK = "Task: Answer the following question about the image.\nQuestion: {}\nReturn only the final answer."
+VQA_INTEGER, VQA_CATEGORY = "\nAnswer with one integer only.", "\nAnswer with one category label only."
+
+
+def vqa_prompt(question: Column, kind: Column) -> Column:
+    """Prompt of a question, with suffixes for quantities and for categories; a null question leaves its place empty."""
     low = F.lower(F.coalesce(kind, F.lit("")))
-    suffix = F.when(low.contains("quantity"), " Answer with a number.").when(low.contains("category"), " Answer with a category.").otherwise("")
-    return F.concat(F.lit(head), F.coalesce(question, F.lit("")), suffix)
+    suffix = lambda word, text: F.when(low.contains(word), text).otherwise("")
+    before, after = VQA_TASK.split("{}")
+    return F.concat(F.lit(before), F.coalesce(question, F.lit("")), F.lit(after), suffix("quantity", VQA_INTEGER), suffix("category", VQA_CATEGORY))
 
 
 def vqa_record(image: Column, kind: Column, other: Column, listing_hit: Column) -> tuple[Column, Column]:

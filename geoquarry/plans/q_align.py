@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoquarry.functions import templates as T
+from geoquarry.functions import tools
 from geoquarry.operators import align as A
 from geoquarry.operators import encode, mix
 from geoquarry.plans.queries import query
@@ -73,15 +76,17 @@ def kto_balance(spark: SparkSession, d: str) -> DataFrame:
     return feedback_balance(halves(spark, d), "tag", "source")
 
 
-@query(f"""WITH {HALVES} SELECT a.source, a.prompt, a.response AS chosen, b.response AS rejected
-FROM (SELECT * FROM halves WHERE tag QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) = 1) a
-JOIN (SELECT * FROM halves WHERE NOT tag QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) = 1) b USING (source)""")
+@query(f"""WITH {HALVES}, n AS (SELECT *, row_number() OVER (PARTITION BY source, tag ORDER BY doc_id) AS k FROM halves)
+SELECT a.source, a.k AS pair, a.prompt, a.response AS chosen, b.response AS rejected FROM (SELECT * FROM n WHERE tag) a JOIN (SELECT * FROM n WHERE NOT tag) b USING (source, k)""")
 def align_pairwise(spark: SparkSession, d: str) -> DataFrame:
-    rows = halves(spark, d)
-    side = lambda t: F.min(F.when(F.col("tag") == t, F.struct("doc_id", "prompt", "response")))
-    both = rows.groupBy("source").agg(side(True).alias("c"), side(False).alias("r")).where("c is not null and r is not null")
-    prompt, response = A.alpaca(F.col("c.prompt"), chosen=F.col("c.response"), rejected=F.col("r.response"))
-    return both.select("source", prompt[0]["content"].alias("prompt"), response[0]["content"].alias("chosen"), response[1]["content"].alias("rejected"))
+    """The n-th desirable half of a source against its n-th undesirable one; numbered by range, so that no source is sorted in one task."""
+    rows = mix.numbered(halves(spark, d).withColumn("_g", F.concat_ws("\x1f", "source", F.col("tag").cast("string"))).withColumn("_order", F.struct("_g", "doc_id")), "_order", "_n")
+    firsts = rows.groupBy("_g").agg(F.min("_n").alias("_first"))
+    placed = rows.join(firsts, "_g").withColumn("pair", F.col("_n") - F.col("_first") + 1)
+    side = lambda t, *names: placed.where(F.col("tag") == t).select("source", "pair", *[F.col(n).alias(m) for n, m in names])
+    both = side(True, ("prompt", "prompt"), ("response", "c")).join(side(False, ("response", "r")), ["source", "pair"])
+    prompt, response = A.alpaca(F.col("prompt"), chosen=F.col("c"), rejected=F.col("r"))
+    return both.select("source", "pair", prompt[0]["content"].alias("prompt"), response[0]["content"].alias("chosen"), response[1]["content"].alias("rejected"))
 
 
 @query(r"""SELECT doc_id, CAST((length(text) - length(replace(text, '<image>', ''))) / 7 AS INTEGER) AS n_images,
@@ -102,8 +107,9 @@ def request_validation(spark: SparkSession, d: str) -> DataFrame:
     return dialogues(spark, d).select("ann_id", A.request_check(m).alias("reason"))
 
 
-@query("""SELECT rec_id, 'Answer the question about the image. ' || coalesce(question, '') ||
-  CASE WHEN contains(lower(coalesce(type, '')), 'quantity') THEN ' Answer with a number.' WHEN contains(lower(coalesce(type, '')), 'category') THEN ' Answer with a category.' ELSE '' END AS prompt FROM vqa_records""")
+@query("""SELECT rec_id, 'Task: Answer the following question about the image.' || chr(10) || 'Question: ' || coalesce(question, '') || chr(10) || 'Return only the final answer.' ||
+  CASE WHEN contains(lower(coalesce(type, '')), 'quantity') THEN chr(10) || 'Answer with one integer only.' ELSE '' END ||
+  CASE WHEN contains(lower(coalesce(type, '')), 'category') THEN chr(10) || 'Answer with one category label only.' ELSE '' END AS prompt FROM vqa_records""")
 def vqa_prompt(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "vqa_records").select("rec_id", A.vqa_prompt(F.col("question"), F.col("type")).alias("prompt"))
 
@@ -140,20 +146,20 @@ _TAGGED = "question || '<tool_call>{{\"name\": \"find\", \"arguments\": {{\"n\":
 @query(f"SELECT rec_id, 'find' AS name, CAST(rec_id AS VARCHAR) AS n FROM (SELECT rec_id, {_TAGGED} AS t FROM vqa_records) WHERE t IS NOT NULL")
 def tool_extract_qwen(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat("question", F.lit('<tool_call>{"name": "find", "arguments": {"n": '), F.col("rec_id").cast("string"), F.lit("}}</tool_call>"))
-    calls = table(spark, d, "vqa_records").select("rec_id", F.explode(T.extracted_tags(text)).alias("c"))
+    calls = table(spark, d, "vqa_records").select("rec_id", F.explode(tools.extracted_tags(text)).alias("c"))
     return calls.select("rec_id", F.col("c.name").alias("name"), F.get_json_object("c.arguments", "$.n").alias("n"))
 
 
-@query("""SELECT rec_id, 'count-objects' AS name, CAST(length(question) AS VARCHAR) AS n FROM vqa_records WHERE question IS NOT NULL""")
+@query("""SELECT rec_id, 'count_objects' AS name, CAST(length(question) AS VARCHAR) AS n FROM vqa_records WHERE question IS NOT NULL""")
 def tool_extract_default(spark: SparkSession, d: str) -> DataFrame:
-    text = F.concat(F.lit('Action: count-objects\nAction Input: {"n": '), F.length("question").cast("string"), F.lit("}"))
-    calls = table(spark, d, "vqa_records").select("rec_id", F.explode(T.extracted_actions(text)).alias("c"))
+    text = F.concat(F.lit('Action: count_objects\nAction Input: {"n": '), F.length("question").cast("string"), F.lit("}"))
+    calls = table(spark, d, "vqa_records").select("rec_id", F.explode(tools.extracted_actions(text)).alias("c"))
     return calls.select("rec_id", F.col("c.name").alias("name"), F.get_json_object("c.arguments", "$.n").alias("n"))
 
 
-@query("SELECT rec_id, answer AS text FROM vqa_records WHERE question IS NOT NULL AND answer IS NOT NULL AND NOT starts_with(answer, chr(10))")
+@query("SELECT rec_id, ltrim(answer, chr(10)) AS text FROM vqa_records WHERE question IS NOT NULL AND answer IS NOT NULL")
 def thought_strip(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "vqa_records").where("question is not null and answer is not null and not startswith(answer, '\n')")
+    rows = table(spark, d, "vqa_records").where("question is not null and answer is not null")
     return rows.select("rec_id", T.without_thought(F.concat(F.lit("<think>\n"), "question", F.lit("\n</think>\n\n"), "answer")).alias("text"))
 
 
@@ -168,3 +174,92 @@ def template_render(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT name, file_name, formatting, columns_map['messages'] AS messages, columns_map['images'] AS images FROM dataset_registry")
 def registry_entries(spark: SparkSession, d: str) -> DataFrame:
     return registry_frame(table(spark, d, "dataset_registry"))
+
+
+# Tools
+
+
+_NAME = "'find_' || regexp_replace(lower(name), '[^a-z0-9]', '', 'g')"
+_TOOL = """'{"name": "' || n || '", "description": "' || f || '", "parameters": {"type": "object", "properties": {"image": {"type": "string", "description": "a path"}, "kind": {"type": "string", "enum": ["a", "b"]}}, "required": ["image"]}}'"""
+
+
+def _indented(margin: int) -> str:
+    """The tool as text indented by four, in SQL."""
+    lines = [
+        "{", "    \"name\": \"' || n || '\",", "    \"description\": \"' || f || '\",", '    "parameters": {', '        "type": "object",', '        "properties": {', '            "image": {', '                "type": "string",', '                "description": "a path"', "            },",
+        '            "kind": {', '                "type": "string",', '                "enum": [', '                    "a",', '                    "b"', "                ]", "            }", "        },", '        "required": [', '            "image"', "        ]", "    }", "}",
+    ]
+    return "'" + ("\n" + " " * margin).join(lines) + "'"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _offer_sql(offer: str, tools_sql: str, **slots: str) -> str:
+    for name, sql in {"tools": tools_sql, **slots}.items():
+        offer = offer.replace("{" + name + "}", "\x00" + name + "\x00", 1)
+    parts = [tools_sql if p == "tools" else slots[p] if p in slots else _quoted(p) for p in offer.split("\x00")]
+    return f"WITH t AS (SELECT name, {_NAME} AS n, file_name AS f FROM dataset_registry), j AS (SELECT *, {_TOOL} AS tool FROM t) SELECT name, {' || '.join(parts)} AS text FROM j"
+
+
+def _tool_column() -> "F.Column":
+    n = F.concat(F.lit("find_"), F.regexp_replace(F.lower("name"), "[^a-z0-9]", ""))
+    spec = ', "parameters": {"type": "object", "properties": {"image": {"type": "string", "description": "a path"}, "kind": {"type": "string", "enum": ["a", "b"]}}, "required": ["image"]}}]'
+    return F.concat(F.lit('[{"name": "'), n, F.lit('", "description": "'), "file_name", F.lit('"'), F.lit(spec))
+
+
+_WRAPPED = """'{"type": "function", "function": ' || tool || '}'"""
+_OFFERS = {
+    "default": _offer_sql(tools.DEFAULT_OFFER, "'> Tool Name: ' || n || chr(10) || 'Tool Description: ' || f || chr(10) || 'Tool Args:' || chr(10) || '  - image (string, required): a path' || chr(10) || '  - kind (string): , should be one of [a, b]' || chr(10) || chr(10)", names="n"),
+    "glm4": _offer_sql(tools.GLM4_OFFER, f"chr(10) || chr(10) || '## ' || n || chr(10) || chr(10) || {_indented(0)} || chr(10) || '在调用上述函数时，请使用 Json 格式表示调用的参数。'"),
+    "llama3": _offer_sql(tools.LLAMA3_OFFER, "'{' || chr(10) || '    \"type\": \"function\",' || chr(10) || '    \"function\": ' || " + _indented(4) + " || chr(10) || '}' || chr(10) || chr(10)", date="'01 Jan 2025'"),
+    "mistral": _offer_sql(tools.MISTRAL_OFFER, f"'[' || {_WRAPPED} || ']'"),
+    "qwen": _offer_sql(tools.QWEN_OFFER, f"chr(10) || {_WRAPPED}"),
+    "glm4_moe": _offer_sql(tools.GLM4_MOE_OFFER, f"chr(10) || {_WRAPPED}"),
+    "seed_oss": _offer_sql(tools.SEED_OFFER, "chr(10) || '[' || tool || ']'"),
+    "ling": _offer_sql(tools.LING_OFFER, f"chr(10) || {_WRAPPED}"),
+}
+
+
+def _register_offer(dialect: str, sql: str) -> None:
+    def offer(spark: SparkSession, d: str) -> DataFrame:
+        return table(spark, d, "dataset_registry").select("name", tools.offer_column(dialect, _tool_column(), "01 Jan 2025").alias("text"))
+
+    offer.__name__ = f"tool_offer_{dialect}"
+    query(sql)(offer)
+
+
+for _dialect, _sql in _OFFERS.items():
+    _register_offer(_dialect, _sql)
+
+
+_ARGS = "'{\"n\": ' || rec_id || ', \"q\": ' || to_json(dataset) || '}'"
+_CALL = f"""'{{"name": "find", "arguments": ' || {_ARGS} || '}}'"""
+_WRITTEN = {
+    "default": f"'Action: find' || chr(10) || 'Action Input: ' || {_ARGS}",
+    "glm4": f"'find' || chr(10) || {_ARGS}",
+    "llama3": f"""'{{"name": "find", "parameters": ' || {_ARGS} || '}}'""",
+    "mistral": f"'[' || {_CALL} || ']'",
+    "qwen": f"'<tool_call>' || chr(10) || {_CALL} || chr(10) || '</tool_call>'",
+    "glm4_moe": "chr(10) || '<tool_call>find' || chr(10) || '<arg_key>n</arg_key>' || chr(10) || '<arg_value>' || rec_id || '</arg_value>' || chr(10) || '<arg_key>q</arg_key>' || chr(10) || '<arg_value>' || dataset || '</arg_value>'",
+    "seed_oss": "chr(10) || '<seed:tool_call>' || chr(10) || '<function=find' || chr(10) || '<parameter=n>' || rec_id || '</parameter>' || chr(10) || '<parameter=q>' || dataset || '</parameter>' || chr(10) || '</function>' || chr(10) || '</seed:tool_call>'",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT rec_id, '{name}' AS dialect, {sql} AS text FROM vqa_records WHERE dataset IS NOT NULL" for name, sql in _WRITTEN.items()))
+def tool_calls_written(spark: SparkSession, d: str) -> DataFrame:
+    args = F.concat(F.lit('{"n": '), F.col("rec_id").cast("string"), F.lit(', "q": "'), F.regexp_replace(F.regexp_replace("dataset", r"\\", r"\\\\"), '"', r'\\"'), F.lit('"}'))
+    call = F.concat(F.lit('{"name": "find", "arguments": '), args, F.lit("}"))
+    rows = table(spark, d, "vqa_records").where("dataset is not null").select("rec_id", call.alias("call"))
+    parts = [rows.select("rec_id", F.lit(name).alias("dialect"), tools.write_column(name, F.col("call")).alias("text")) for name in _WRITTEN]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("SELECT rec_id, x.dialect, CAST(rec_id AS VARCHAR) AS n, dataset AS q FROM vqa_records, (SELECT unnest(['default', 'glm4', 'llama3', 'mistral', 'qwen']) AS dialect) x WHERE dataset IS NOT NULL")
+def tool_calls_read(spark: SparkSession, d: str) -> DataFrame:
+    """What is written is read back, by every dialect that has a reader of its own output."""
+    written = tool_calls_written(spark, d)
+    parts = [written.where(F.col("dialect") == name).select("rec_id", "dialect", tools.read_column(name, F.col("text")).alias("calls")) for name in ("default", "glm4", "llama3", "mistral", "qwen")]
+    calls = reduce(DataFrame.unionByName, parts)
+    return calls.select("rec_id", "dialect", F.get_json_object("calls", "$[0].arguments.n").alias("n"), F.get_json_object("calls", "$[0].arguments.q").alias("q"))

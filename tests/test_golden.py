@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from geoquarry.functions import geometry as G
 from geoquarry.functions import templates as T
 from geoquarry.functions import textscore as S
+from geoquarry.functions import tools as X
 from geoquarry.operators import align, encode, kernels, metrics, mix, quality, regions, tokens
 from geoquarry.operators.ranking import rank_in_hash_order, running_in_hash_order
 from geoquarry.sources import files, registry, sinks
@@ -125,20 +126,20 @@ def test_urls_and_paths(spark):
     assert p.where(align.safe_path(F.col("p"), "/m") != F.col("ok")).count() == 0
 
 
-@pytest.mark.parametrize("name", [d for d in T.DIALECTS if d not in ("glm4_moe",)])
+@pytest.mark.parametrize("name", [d for d in X.DIALECTS if d not in ("glm4_moe",)])
 def test_dialects_read_what_they_write(name):
     calls = [("find_it", {"n": 1, "s": "é"})]
-    text = T.written(name, json.dumps([{"name": n, "arguments": a} for n, a in calls], ensure_ascii=False))
-    assert [(n, json.loads(a)) for n, a in T.dialect(name).read(text)] == calls
-    assert T.dialect(name).read("no call here") in ("no call here", [])
-    assert T.offered(name, "[]") == "" and "find_it" in T.offered(name, json.dumps([{"name": "find_it", "description": "d", "parameters": {"properties": {}}}]), "today")
+    text = X.written(name, json.dumps([{"name": n, "arguments": a} for n, a in calls], ensure_ascii=False))
+    assert [(n, json.loads(a)) for n, a in X.dialect(name).read(text)] == calls
+    assert X.dialect(name).read("no call here") in ("no call here", [])
+    assert X.offered(name, "[]") == "" and "find_it" in X.offered(name, json.dumps([{"name": "find_it", "description": "d", "parameters": {"properties": {}}}]), "today")
 
 
 def test_bad_calls_stay_text():
-    assert T.dialect("default").read("Action: a\nAction Input: {oops") == "Action: a\nAction Input: {oops"
-    assert T.written("qwen", '<think>x</think>\n{"name": "a", "arguments": {}}').startswith("<think>x</think>\n<tool_call>")
+    assert X.dialect("default").read("Action: a\nAction Input: {oops") == "Action: a\nAction Input: {oops"
+    assert X.written("qwen", '<think>x</think>\n{"name": "a", "arguments": {}}').startswith("<think>x</think>\n<tool_call>")
     with pytest.raises(ValueError):
-        T.written("qwen", "no json")
+        X.written("qwen", "no json")
 
 
 def test_templates(spark):
