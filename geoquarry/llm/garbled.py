@@ -191,16 +191,26 @@ class Counts:
     def __init__(self, rows: np.ndarray, alphabet: str = "") -> None:
         self.rows = rows
         self.alphabet = alphabet
+        #: Counts looked up already, in distinct texts and in all; a bounded number of them.
+        self.known: dict[str, tuple[int, int]] = {}
         self.total = max(1.0, float(rows[4, 0]))
         self.all = max(1.0, float(rows[4, 1]))
 
+    def both(self, unit: str) -> tuple[int, int]:
+        got = self.known.get(unit)
+        if got is None:
+            if len(self.known) > 300_000:
+                self.known.clear()
+            a, b = places(unit)
+            r = self.rows
+            got = self.known[unit] = int(min(r[0, a], r[1, b])), int(min(r[2, a], r[3, b]))
+        return got
+
     def __getitem__(self, unit: str) -> int:
-        a, b = places(unit)
-        return int(min(self.rows[0, a], self.rows[1, b]))
+        return self.both(unit)[0]
 
     def copies(self, unit: str) -> int:
-        a, b = places(unit)
-        return int(min(self.rows[2, a], self.rows[3, b]))
+        return self.both(unit)[1]
 
     def log(self, text: str, copies: bool = False) -> float:
         """Log10 of a text's likelihood, by distinct texts or by all copies.
@@ -209,10 +219,14 @@ class Counts:
         capitals to small letters or mixes scripts is a thousand times less
         likely.
         """
-        total = 0.0
-        for u in units(text):
-            n = self.copies(u) if copies else self[u]
-            total += math.log10((n + 0.3) / (self.all if copies else self.total)) - (0 if n else 0.7 * (len(u) - 1)) - 3 * bool(_MIXED.search(u))
+        return self.log_of(units(text), copies)
+
+    def log_of(self, parts: list[str], copies: bool = False) -> float:
+        """``log`` of a text from its units."""
+        total, whole, k = 0.0, self.all if copies else self.total, 1 if copies else 0
+        for u in parts:
+            n = self.both(u)[k]
+            total += math.log10((n + 0.3) / whole) - (0 if n else 0.7 * (len(u) - 1)) - 3 * bool(len(u) > 1 and _MIXED.search(u))
         return total
 
 
@@ -302,6 +316,7 @@ _PAIRS += [(w, t) for w in ("cp1251", "koi8-r", "mac_roman", "cp437", "cp850", "
 
 #: Channels for lost characters of a text in UTF-8 that was not: what the bytes were.
 _UNKNOWN = ("cp1252", "cp1251", "cp1250", "mac_roman", "koi8-r", "cp437", "gb18030")
+_RUNS = re.compile(r"([^\x00-\x7f]+)")
 _SEQUENCE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 #: Costs, as logs of 10: a lost character that stays lost, a lost character beside a letter that was none.
 STAYS_LOST, NO_LETTER = -12.0, -4.0
@@ -383,15 +398,8 @@ class Lattice:
         """
         data, at = self.cells(token, wrong)
         if None not in data:
-            out, i = [], 0
-            while i < len(data):
-                steps = self.edges(data, at, i, true)
-                if not steps:
-                    return None
-                n, chars, _ = steps[-1] if true == "utf-8" and len(steps) > 1 else steps[0]
-                out.append(chars[0])
-                i += n
-            return self.counts.log("".join(out), True), "".join(out)
+            text = only_way(token, wrong, true)
+            return None if text is None else (self.counts.log(text, True), text)
         log, count, total = math.log10, self.counts.copies, self.counts.all
         # place -> (word begun, guessed) -> (score, characters so far as a linked list)
         ways: list[dict[tuple[str, bool], tuple[float, tuple | None]]] = [{} for _ in range(len(data) + 1)]
@@ -451,6 +459,62 @@ class Lattice:
         return score, "".join(reversed(out))
 
 
+def only_way(token: str, wrong: str, true: str) -> str | None:
+    """The one way through the lattice of a token that has lost nothing, null if there is none or it changes nothing.
+
+    In a single-byte encoding every sequence of UTF-8 is read as its
+    character and all else stays; in wider ones a run is UTF-8 throughout.
+    Other pairs of encodings turn every run of high characters.
+    """
+    if true != "utf-8":
+        out = []
+        for part in _RUNS.split(token):
+            if part.isascii():
+                out.append(part)
+                continue
+            data = to_bytes(part, wrong)
+            text = None if data is None or data.isascii() else from_bytes(data, true)
+            if text is None:
+                return None
+            out.append(text)
+    elif wrong in SINGLE:
+        out = []
+        for part in _RUNS.split(token):
+            data = None if part.isascii() else to_bytes(part, wrong)
+            if data is None and not part.isascii():
+                # Some character is not of the encoding: the stretches between such characters are read on their own.
+                table = SINGLE[wrong][0]
+                pieces, run = [], ""
+                for c in part:
+                    if c in table or wrong == "cp1252" and "\x80" <= c < "\xa0":
+                        run += c
+                    else:
+                        pieces += [run, c]
+                        run = ""
+                out += [_sequences(x, to_bytes(x, wrong)) if i % 2 == 0 and x else x for i, x in enumerate([*pieces, run])]
+            else:
+                out.append(part if data is None else _sequences(part, data))
+    else:
+        out = []
+        for part in _RUNS.split(token):
+            data = None if part.isascii() else to_bytes(part, wrong)
+            text = None if data is None else _utf8(data)
+            out.append(part if text is None else text)
+    text = "".join(out)
+    return None if text == token else text
+
+
+def _sequences(part: str, data: bytes) -> str:
+    """A run of a single-byte encoding, its sequences of UTF-8 read as characters."""
+    out, at = [], 0
+    for m in _SEQUENCE.finditer(data):
+        text = _utf8(m.group())
+        if text is not None:
+            out += [part[at : m.start()], text]
+            at = m.end()
+    return "".join(out) + part[at:]
+
+
 def token_char(at: dict[int, tuple[str, int]], i: int) -> str:
     """The character as read that begins at a place, or nothing."""
     return at[i][0] if i in at else ""
@@ -472,18 +536,13 @@ class Decoder:
 
     def read(self, token: str, wrong: str, true: str) -> str | None:
         """The token along its byte lattice, null where that gives nothing or changes nothing."""
-        if true == "utf-8" and LOST not in token:
-            data = b"".join(to_bytes(c, wrong) or b"\x00" for c in token) if wrong in SINGLE else to_bytes(token, wrong)
-            # No sequence of UTF-8 anywhere: every way keeps the token as it is.
-            if data is None or not _SEQUENCE.search(data) or wrong in DOUBLE and _utf8(data) is None:
-                return None
-        elif true != "utf-8" and LOST not in token and any(to_bytes(r, wrong) is None for r in _HIGH.findall(token)):
-            return None
+        if LOST not in token:
+            return only_way(token, wrong, true)
         way = self.lattice.best(token, wrong, true)
         return None if way is None or way[1] == token else way[1]
 
-    def decode(self, token: str) -> tuple[str, tuple[str, str] | None]:
-        """The likeliest original of a token and its channel, null if the token is likelier as it stands.
+    def decode(self, token: str) -> tuple[str, tuple[str, str] | None, tuple[np.ndarray, np.ndarray] | None]:
+        """The likeliest original of a token and its channel, null if the token is likelier as it stands; then its ``gains``.
 
         Channels are UTF-8 misread up to three times over, other pairs of
         encodings, and, where characters are lost, UTF-8 as which the bytes
@@ -491,7 +550,7 @@ class Decoder:
         it stands, so some channel always wins there.
         """
         if LOST in token:
-            return self._lost(token)
+            return (*self._lost(token), None)
         log = self.counts.log
         base = log(token, True)
         best, found, how = -PRIOR, token, None
@@ -505,17 +564,20 @@ class Decoder:
                         break
                     if text != token and (gain := log(text, True) - base) > best + own:
                         best, found, how = gain, text, (codec, "utf-8")
+        # How much likelier the token is when read through each pair of encodings, and whether that reading is known.
         base = log(token)
-        for pair in _PAIRS:
+        gains, good = np.full(len(_PAIRS), -1.0), np.zeros(len(_PAIRS), np.int64)
+        for k, pair in enumerate(_PAIRS):
             text = self.read(token, *pair)
             if text is None:
                 continue
             parts = units(text)
             low = min((self.counts.copies(u) for u in parts), default=0)
-            letters = sum(len(u) for u in parts)
-            if low >= 3 and letters >= (2 if pair[1] in DOUBLE or len(runs[0]) > 2 else 3) and (gain := log(text) - base) > best + 0.5:
+            gain = gains[k] = self.counts.log_of(parts) - base
+            good[k] = low >= 3 and len(runs[0]) > 1
+            if low >= 3 and gain > best + 0.5 and sum(len(u) for u in parts) >= (2 if pair[1] in DOUBLE or len(runs[0]) > 2 else 3):
                 best, found, how = gain, text, pair
-        return found, how
+        return found, how, None if how is not None else (gains, good)
 
     def _lost(self, token: str) -> tuple[str, tuple[str, str]]:
         channels = [(w, "utf-8") for w in WRONG if len(token) > 1] + [("utf-8", t) for t in _UNKNOWN]
@@ -526,17 +588,6 @@ class Decoder:
                 (best, found), how = way, (wrong, true)
         return found, how
 
-    def gains(self, token: str) -> tuple[np.ndarray, np.ndarray]:
-        """For each pair of encodings, how much likelier the token is when read through it, and whether that reading is known."""
-        gain, good = np.full(len(_PAIRS), -1.0), np.zeros(len(_PAIRS), np.int64)
-        runs, base = _HIGH.findall(token), self.counts.log(token)
-        for k, pair in enumerate(_PAIRS):
-            text = self.read(token, *pair)
-            if text is not None:
-                gain[k] = self.counts.log(text) - base
-                good[k] = min((self.counts.copies(u) for u in units(text)), default=0) >= 3 and len(runs[0]) > 1
-        return gain, good
-
 
 def together(gains: list[tuple[np.ndarray, np.ndarray]]) -> tuple[str, str] | None:
     """The pair of encodings in which the tokens of one text that may be damaged, taken together, are far likelier than as they stand.
@@ -563,10 +614,10 @@ def readings(tokens: DataFrame, counts) -> DataFrame:
         for batch in batches:
             out: list[list] = [[] for _ in kinds]
             for t in batch.column(0).to_pylist():
-                better, how = decoder.decode(t)
-                gain, good = (None, None) if how is not None else decoder.gains(t)
-                if how is None and gain.max() <= -1.0:
+                better, how, gains = decoder.decode(t)
+                if how is None and gains[0].max() <= -1.0:
                     continue
+                gain, good = gains if how is None else (None, None)
                 for column, x in zip(out, (token_hash(t), better, how[0] if how else None, how[1] if how else None, None if gain is None else gain.tolist(), None if good is None else good.tolist())):
                     column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["th", "better", "wrong", "true", "gain", "good"])
