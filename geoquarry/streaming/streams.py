@@ -34,6 +34,13 @@ def tumbling(events: DataFrame, ts: str, keys: list[str], width: str, value: str
     return out.select(*keys, F.col("_w.start").alias("start"), "n", "total")
 
 
+def sliding(events: DataFrame, ts: str, keys: list[str], width: str, step: str, late: str | None = None) -> DataFrame:
+    """Counts in windows that overlap: ``width`` wide, one every ``step``."""
+    rows = events.withColumn("_t", event_time(ts))
+    rows = rows.withWatermark("_t", late) if late else rows
+    return rows.groupBy(*keys, F.window("_t", width, step).alias("_w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("_w.start").alias("start"), *keys, "n")
+
+
 def sessions(events: DataFrame, ts: str, key: str, gap: str, late: str | None = None) -> DataFrame:
     """Sessions of a key: ends, events."""
     rows = events.withColumn("_t", event_time(ts))
