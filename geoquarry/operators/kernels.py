@@ -7,6 +7,7 @@ map; nothing here needs a whole table.
 from __future__ import annotations
 
 import bisect
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,34 +26,77 @@ def box_iou(a: np.ndarray, b: np.ndarray, eps: float = 1e-7) -> np.ndarray:
 
 def suppress(boxes: np.ndarray, scores: np.ndarray, limit: float) -> list[int]:
     """Greedy suppression: by falling score, ties by place, a box goes if it overlaps a kept one by more than ``limit``."""
-    order = np.lexsort((np.arange(len(scores)), -scores))
+    left = np.lexsort((np.arange(len(scores)), -scores))
     kept: list[int] = []
-    alive = np.ones(len(scores), bool)
-    for i in order:
-        if not alive[i]:
-            continue
-        kept.append(int(i))
-        alive &= ~(box_iou(boxes[i : i + 1], boxes, 0.0)[0] > limit)
+    while len(left):
+        first, left = left[0], left[1:]
+        kept.append(int(first))
+        left = left[~(box_iou(boxes[first : first + 1], boxes[left], 0.0)[0] > limit)]
+    return kept
+
+
+def suppress_groups(boxes: np.ndarray, group: np.ndarray, limit: float) -> np.ndarray:
+    """Greedy suppression in many groups at once; rows stand group by group, surest first. Says which rows are kept.
+
+    In each round every group keeps its first living row and drops what that
+    overlaps, so there are as many rounds as the fullest group keeps rows.
+    """
+    kept = np.zeros(len(boxes), bool)
+    alive = np.arange(len(boxes))
+    while len(alive):
+        own = group[alive]
+        first = np.ones(len(alive), bool)
+        first[1:] = own[1:] != own[:-1]
+        leader = alive[np.flatnonzero(first)[np.cumsum(first) - 1]]
+        kept[alive[first]] = True
+        a, b = boxes[leader], boxes[alive]
+        inter = np.prod(np.clip(np.minimum(a[:, 2:4], b[:, 2:4]) - np.maximum(a[:, :2], b[:, :2]), 0, None), axis=1)
+        size = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gone = inter / (size(a) + size(b) - inter) > limit
+        alive = alive[~first & ~gone]
     return kept
 
 
 def nms(dets: DataFrame, conf: float = 0.25, limit: float = 0.45, agnostic: bool = False, most: int = 300, most_in: int = 30000, classes: list[int] | None = None) -> DataFrame:
     """Suppression by class in each image; at most ``most`` boxes are kept, of the ``most_in`` surest.
 
-    Classes are parted by the grouping, or by an offset where they share it.
-    There is no time limit, so results don't depend on the machine.
+    The images of a task are taken together: rows come sorted by image, and
+    what a batch holds of its last image waits for the next one. There is no
+    time limit, so results don't depend on the machine.
     """
     rows = dets.where(F.col("conf") > conf).select("image_id", "det_id", "x1", "y1", "x2", "y2", "conf", "cls")
     rows = rows if classes is None else rows.where(F.col("cls").isin(classes))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["conf", "det_id"], ascending=[False, True], kind="stable").head(most_in).reset_index(drop=True)
-        boxes = group[["x1", "y1", "x2", "y2"]].to_numpy(float)
-        if not agnostic:
-            boxes = boxes + group["cls"].to_numpy(float)[:, None] * 7680
-        return group.iloc[suppress(boxes, group["conf"].to_numpy(float), limit)[:most]]
+    def place_in(owner: np.ndarray) -> np.ndarray:
+        new = np.ones(len(owner), bool)
+        new[1:] = owner[1:] != owner[:-1]
+        return np.arange(len(owner)) - np.flatnonzero(new)[np.cumsum(new) - 1]
 
-    return rows.groupBy("image_id").applyInPandas(run, rows.schema)
+    def work(frame: pd.DataFrame) -> pd.DataFrame:
+        image, cls = frame["image_id"].to_numpy(), frame["cls"].to_numpy()
+        order = np.lexsort((frame["det_id"].to_numpy(), -frame["conf"].to_numpy(float), image))
+        order = order[place_in(image[order]) < most_in]
+        if not agnostic:
+            order = order[np.lexsort((np.arange(len(order)), cls[order], image[order]))]
+        key = image[order].astype(np.int64)
+        group = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | ((cls[order][1:] != cls[order][:-1]) & (not agnostic))]) if len(order) else key
+        kept = order[suppress_groups(frame[["x1", "y1", "x2", "y2"]].to_numpy(float)[order], group, limit)]
+        kept = kept[np.lexsort((frame["det_id"].to_numpy()[kept], -frame["conf"].to_numpy(float)[kept], image[kept]))]
+        return frame.iloc[kept[place_in(image[kept]) < most]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: pd.DataFrame | None = None
+        for batch in batches:
+            whole = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            last = whole["image_id"].to_numpy() == whole["image_id"].iloc[-1] if len(whole) else np.zeros(0, bool)
+            rest = whole[last]
+            if not last.all():
+                yield work(whole[~last].reset_index(drop=True))
+        if rest is not None and len(rest):
+            yield work(rest.reset_index(drop=True))
+
+    return rows.repartition("image_id").sortWithinPartitions("image_id").mapInPandas(run, rows.schema)
 
 
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:
@@ -90,13 +134,33 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
 
 
 def assign_within(cost: np.ndarray, most: float) -> tuple[list[tuple[int, int]], list[int], list[int]]:
-    """Assignment that leaves rows and columns open rather than pair them above ``most``: pairs, open rows, open columns."""
-    rows, cols = cost.shape
-    wide = np.full((rows, cols + rows), most)
-    wide[:, :cols] = np.where(cost > most, most * 2 + 1e6, cost)
-    pairs = [(i, j) for i, j in assign(wide) if j < cols and cost[i, j] <= most] if rows else []
+    """Assignment that leaves rows and columns open rather than pair them above ``most``: pairs, open rows, open columns.
+
+    Only rows and columns with a pair within the limit are laid out, and
+    each group of them that hangs together is solved on its own.
+    """
+    near = cost <= most
+    pairs: list[tuple[int, int]] = []
+    left = set(np.flatnonzero(near.any(1)).tolist()) if cost.size else set()
+    while left:
+        rows, cols, edge = set(), set(), {left.pop()}
+        while edge:
+            rows |= edge
+            found = set(np.flatnonzero(near[sorted(edge)].any(0)).tolist()) - cols
+            cols |= found
+            edge = (set(np.flatnonzero(near[:, sorted(found)].any(1)).tolist()) if found else set()) - rows
+        left -= rows
+        r, c = sorted(rows), sorted(cols)
+        if len(r) == len(c) == 1:
+            pairs.append((r[0], c[0]))
+            continue
+        part = cost[np.ix_(r, c)]
+        wide = np.full((len(r), len(c) + len(r)), most)
+        wide[:, : len(c)] = np.where(part > most, most * 2 + 1e6, part)
+        pairs += [(r[i], c[j]) for i, j in assign(wide) if j < len(c) and part[i, j] <= most]
+    pairs.sort()
     used_r, used_c = {i for i, _ in pairs}, {j for _, j in pairs}
-    return pairs, [i for i in range(rows) if i not in used_r], [j for j in range(cols) if j not in used_c]
+    return pairs, [i for i in range(cost.shape[0]) if i not in used_r], [j for j in range(cost.shape[1]) if j not in used_c]
 
 
 def optimal_match(dets: DataFrame, truths: DataFrame, most: float = 0.8) -> DataFrame:
@@ -150,23 +214,38 @@ def knapsacks(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 def components(mask: np.ndarray) -> np.ndarray:
-    """8-connected components of a mask, numbered from 1 in the order of their first pixel."""
-    out = np.zeros(mask.shape, int)
+    """8-connected components of a mask, numbered from 1 in the order of their first pixel.
+
+    Runs of a row are joined with those of the row above that they touch;
+    only runs are walked, never pixels.
+    """
     h, w = mask.shape
-    n = 0
-    for y, x in zip(*np.nonzero(mask)):
-        if out[y, x]:
-            continue
-        n += 1
-        stack = [(y, x)]
-        out[y, x] = n
-        while stack:
-            a, b = stack.pop()
-            for i in range(max(0, a - 1), min(h, a + 2)):
-                for j in range(max(0, b - 1), min(w, b + 2)):
-                    if mask[i, j] and not out[i, j]:
-                        out[i, j] = n
-                        stack.append((i, j))
+    out = np.zeros((h, w), int)
+    edges = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    ys, starts = np.nonzero(edges == 1)
+    ends = np.nonzero(edges == -1)[1]
+    up = list(range(len(ys)))
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    first = np.searchsorted(ys, np.arange(h + 1))
+    for y in range(1, h):
+        i, j, end_i, end_j = first[y - 1], first[y], first[y], first[y + 1]
+        while i < end_i and j < end_j:
+            if starts[i] <= ends[j] and starts[j] <= ends[i]:
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+            if ends[i] < ends[j]:
+                i += 1
+            else:
+                j += 1
+    number: dict[int, int] = {}
+    for k in range(len(ys)):
+        out[ys[k], starts[k] : ends[k]] = number.setdefault(root(k), len(number) + 1)
     return out
 
 

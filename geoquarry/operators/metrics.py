@@ -95,12 +95,16 @@ def precision_recall(dets: DataFrame, truths: DataFrame, matches: DataFrame, thr
     Confidences are bucketed by thousandths so that a frequent class is not
     one task; ties are in the order of image and detection.
     """
-    hit = matches.select("threshold", "image_id", "det_id", F.lit(1).alias("_tp"))
-    each = dets.select("image_id", "det_id", "conf", "cls", F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("threshold"))
-    marked = each.join(hit, ["threshold", "image_id", "det_id"], "left").withColumn("_tp", F.coalesce("_tp", F.lit(0)))
+    hits = matches.groupBy("image_id", "det_id").agg(F.collect_set("threshold").alias("_at"))
+    marked = dets.select("image_id", "det_id", "conf", "cls").join(hits, ["image_id", "det_id"], "left")
+    # One column a threshold, so that detections are joined and sorted once.
+    names = [f"_t{i}" for i in range(len(thresholds))]
+    wide = marked.select("image_id", "det_id", "conf", "cls", *[F.coalesce(F.array_contains("_at", t), F.lit(False)).cast("int").alias(n) for n, t in zip(names, thresholds)])
     total = truths.groupBy("cls").agg(F.count(F.lit(1)).alias("n_true"))
-    sums = _cumulative(marked, ["threshold", "cls"], [F.desc("conf"), F.asc("image_id"), F.asc("det_id")], F.floor(F.col("conf") * 1000), {"tp": F.col("_tp"), "seen": F.lit(1)})
-    joined = sums.join(total, "cls")
+    sums = _cumulative(wide, ["cls"], [F.desc("conf"), F.asc("image_id"), F.asc("det_id")], F.floor(F.col("conf") * 1000), {**{f"tp{n}": F.col(n) for n in names}, "seen": F.lit(1)})
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"tp{n}").alias("tp")) for n, t in zip(names, thresholds)]))
+    long = sums.select("cls", "image_id", "det_id", "conf", "seen", each.alias("_e")).select("*", "_e.threshold", "_e.tp")
+    joined = long.join(total, "cls")
     return joined.select(
         "threshold", "cls", "image_id", "det_id", "conf", "tp", (F.col("seen") - F.col("tp")).alias("fp"), (F.col("tp") / (F.col("n_true") + 1e-16)).alias("recall"), (F.col("tp") / F.col("seen")).alias("precision"), "n_true"
     )
@@ -147,6 +151,20 @@ def mean_metrics(ap: DataFrame) -> DataFrame:
     return means.withColumn("fitness", 0.1 * F.col("map50") + 0.9 * F.col("map"))
 
 
+def class_maps(ap: DataFrame, classes: int) -> DataFrame:
+    """cls and map of every class from 0 on, by its own thresholds; classes without detections or truths take the mean of all."""
+    own = ap.groupBy("cls").agg(F.avg("ap").alias("_own"))
+    mean = ap.groupBy("cls").agg(F.avg("ap").alias("_m")).agg(F.avg("_m").alias("_mean"))
+    every = ap.sparkSession.range(classes).select(F.col("id").cast("int").alias("cls"))
+    return every.join(own, "cls", "left").join(F.broadcast(mean)).select("cls", F.coalesce("_own", "_mean", F.lit(0.0)).alias("map"))
+
+
+def mean_results(best: DataFrame, ap: DataFrame) -> DataFrame:
+    """mp and mr, the means of the classes' precision and recall at their best F1, beside ``mean_metrics``."""
+    means = best.agg(F.avg("precision").alias("mp"), F.avg("recall").alias("mr"))
+    return means.join(F.broadcast(mean_metrics(ap)))
+
+
 def smoothed(curve: DataFrame, group: list[str], order: str, value: str, part: float = 0.05) -> DataFrame:
     """Moving average of odd width (2 * part of the points), edge values repeated beyond the ends. One curve is one small group."""
     w = Window.partitionBy(*group).orderBy(order)

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoquarry.sources.files import IMAGES
+from geoquarry.storage import materialize
 
 #: Class numbers from 91 to 80 classes leave out these numbers of the 91 (from 1).
 ABSENT = (12, 26, 29, 30, 45, 66, 68, 69, 71, 83, 91)
@@ -79,10 +87,21 @@ def rectangular_batches(images: DataFrame, size: int, side: int, stride: int = 3
 
 
 def fingerprint(paths: DataFrame, path: str, size: str) -> DataFrame:
-    """sha256 over total size and paths in order; paths are hashed one by one first, so that what is gathered stays short."""
-    each = paths.select(F.sha2(F.col(path), 256).alias("h"), F.col(size).alias("s"))
-    blocks = each.groupBy(F.substring("h", 1, 3).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"), F.sum("s").alias("s"))
-    return blocks.agg(F.sha2(F.concat(F.sum("s").cast("string"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "")), 256).alias("fingerprint"))
+    """sha256 over the total size, as text, and then all paths in order: one row with ``fingerprint``.
+
+    The digest is sequential by definition, so the sorted paths stream
+    through one task; nothing but its state is held.
+    """
+    total = paths.agg(F.coalesce(F.sum(size), F.lit(0)).cast("string").alias("t")).first()["t"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = hashlib.sha256(total.encode())
+        for batch in batches:
+            for p in batch.column(0).to_pylist():
+                state.update((p or "").encode())
+        yield pa.RecordBatch.from_arrays([pa.array([state.hexdigest()])], ["fingerprint"])
+
+    return paths.select(path).orderBy(path).coalesce(1).mapInArrow(run, "fingerprint string")
 
 
 def cache_valid(manifest: DataFrame, version: str, print_: DataFrame) -> DataFrame:
@@ -139,36 +158,42 @@ def run_lengths(pixels: DataFrame, mask: Column) -> DataFrame:
     return ordered.select("image_id", lead.alias("counts"), area.alias("area"))
 
 
-def retrieve(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """For each query vector (query_id, q) its ``k`` nearest by cosine, with softmax over 100 times the cosine.
+def retrieve(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = 50_000) -> DataFrame:
+    """For each query vector (query_id, q) its ``k`` nearest by cosine: rank, cosine and probability.
 
-    The queries are a stated set, taken in blocks of 256 inside each Arrow
-    batch; each batch gives its best ``k`` for a query, so that few rows
-    are ranked at the end. The number of queries is checked before they go
-    to the workers: beyond 100,000 this raises and the caller takes parts.
+    The probability is the softmax over 100 times the cosine of all vectors.
+    The queries go to the workers in blocks of ``block``, each a pass over
+    the vectors; inside an Arrow batch they are taken in parts of 256, and
+    each batch gives its best ``k`` for a query and the sum of its weights,
+    so that few rows are ranked at the end.
     """
-    import numpy as np
-    import pandas as pd
+    from geoquarry.operators.mix import numbered
 
-    if queries.count() > 100_000:
-        raise ValueError("take the queries in parts of 100,000")
-    rows = queries.select("query_id", "q").collect()
-    ids = np.array([r["query_id"] for r in rows])
+    placed = materialize(numbered(queries.select("query_id", "q"), "query_id", "_n"), "queries")
+    count = placed.count()
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-    matrix = unit(np.array([r["q"] for r in rows], float).reshape(len(rows), -1))
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
 
-    def run(batches):
-        qs, m = shared.value
-        for batch in batches:
-            keys = batch[key].to_numpy()
-            v = unit(np.stack(batch[vector].to_numpy()).astype(float))
-            for at in range(0, len(qs), 256):
-                cos = m[at : at + 256] @ v.T
-                few = np.lexsort((np.broadcast_to(keys, cos.shape), -np.round(cos, 9)), axis=1)[:, :k]
-                weight = np.exp(100 * cos).sum(1)
-                yield pd.DataFrame({"query_id": np.repeat(qs[at : at + 256], few.shape[1]), key: keys[few].ravel(), "cosine": np.take_along_axis(cos, few, 1).ravel(), "_z": np.repeat(weight, few.shape[1])})
-
-    parts = vectors.select(key, vector).mapInPandas(run, f"query_id bigint, {key} bigint, cosine double, _z double")
-    ranked = parts.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 9)), key)))
+    def one(low: int) -> DataFrame:
+        rows = placed.where((F.col("_n") >= low) & (F.col("_n") < low + block)).collect()
+        matrix = unit(np.array([r["q"] for r in rows], float).reshape(len(rows), -1))
+        shared = vectors.sparkSession.sparkContext.broadcast((np.array([r["query_id"] for r in rows]), matrix))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            qs, m = shared.value
+            for batch in batches:
+                keys = batch[key].to_numpy()
+                v = unit(np.stack(batch[vector].to_numpy()).astype(float))
+                for at in range(0, len(qs), 256):
+                    cos = m[at : at + 256] @ v.T
+                    few = np.lexsort((np.broadcast_to(keys, cos.shape), -np.round(cos, 9)), axis=1)[:, :k]
+                    # The batch's weight stands in the first of its rows for a query.
+                    weight = np.zeros(few.shape)
+                    weight[:, 0] = np.exp(100 * cos).sum(1)
+                    yield pd.DataFrame({"query_id": np.repeat(qs[at : at + 256], few.shape[1]), key: keys[few].ravel(), "cosine": np.take_along_axis(cos, few, 1).ravel(), "_z": weight.ravel()})
+
+        return vectors.select(key, vector).mapInPandas(run, f"query_id bigint, {key} bigint, cosine double, _z double")
+
+    parts = reduce(DataFrame.unionByName, [one(low) for low in range(0, max(count, 1), block)])
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 9)), key)
+    ranked = parts.withColumn("rank", F.row_number().over(order)).withColumn("probability", F.exp(100 * F.col("cosine")) / F.sum("_z").over(Window.partitionBy("query_id")))
     return ranked.where(F.col("rank") <= k).drop("_z")

@@ -110,7 +110,7 @@ def lookup_join(spark: SparkSession, d: str) -> DataFrame:
     return c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).groupBy("n_name", "r_name").agg(F.count(F.lit(1)).alias("customers"))
 
 
-@query()
+@query("SELECT sha256(sum(length(image_id))::BIGINT || string_agg(image_id, '' ORDER BY encode(image_id))) AS fingerprint FROM (SELECT DISTINCT image_id FROM vqa_records WHERE image_id IS NOT NULL)")
 def cache_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "vqa_records").where("image_id is not null").select("image_id").distinct().withColumn("size", F.length("image_id"))
     return Q.fingerprint(rows, "image_id", "size")

@@ -42,7 +42,11 @@ def mix_interleave_over(spark: SparkSession, d: str) -> DataFrame:
     return mix.interleave(_parts(spark, d), "id", "over").select("turn", "dataset_idx", "id")
 
 
-@query()
+@query(f"""WITH {_PARTS}, most AS (SELECT CAST(least((SELECT any_value(c) FROM n WHERE i = 0) / 0.5, (SELECT any_value(c) FROM n WHERE i = 1) / 0.2, (SELECT any_value(c) FROM n WHERE i = 2) / 0.3) * 1.2 AS BIGINT) + 100 AS m),
+t AS (SELECT turn, CASE WHEN {u_sql(3, 'turn')} < 0.5 THEN 0 WHEN {u_sql(3, 'turn')} < 0.5 + 0.2 THEN 1 ELSE 2 END AS i FROM (SELECT unnest(range((SELECT m FROM most))) AS turn)),
+k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY turn) - 1 AS k FROM t),
+s AS (SELECT i, any_value(c) AS c FROM n GROUP BY i), e AS (SELECT min(turn) AS stop FROM k JOIN s USING (i) WHERE k >= c)
+SELECT k.turn, k.i AS dataset_idx, n.id FROM k JOIN n ON n.i = k.i AND n.k = k.k WHERE k.turn < (SELECT stop FROM e)""")
 def mix_interleave_by_chance(spark: SparkSession, d: str) -> DataFrame:
     return mix.interleave_by_chance(_parts(spark, d), "id", [0.5, 0.2, 0.3], 3).select("turn", "dataset_idx", "id")
 

@@ -68,7 +68,7 @@ def boxes(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-BOXES = """boxes AS (
+BOXES = """boxes AS MATERIALIZED (
   SELECT l_orderkey // 8 AS image_id,
          row_number() OVER (PARTITION BY l_orderkey // 8 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS box_id,
          CAST(l_partkey % 40 AS DOUBLE) AS x1, CAST(l_suppkey % 40 AS DOUBLE) AS y1,
@@ -76,8 +76,8 @@ BOXES = """boxes AS (
          least(floor(l_extendedprice * 10 + 0.5) / 1e6, 1.0) AS conf, CAST(l_linenumber % 3 AS INTEGER) AS cls,
          CASE WHEN l_returnflag = 'R' THEN 'gt' ELSE 'det' END AS side
   FROM lineitem),
-det AS (SELECT image_id, box_id AS det_id, x1, y1, x2, y2, conf, cls FROM boxes WHERE side = 'det'),
-gt AS (SELECT image_id, box_id AS gt_id, x1, y1, x2, y2, cls FROM boxes WHERE side = 'gt')"""
+det AS MATERIALIZED (SELECT image_id, box_id AS det_id, x1, y1, x2, y2, conf, cls FROM boxes WHERE side = 'det'),
+gt AS MATERIALIZED (SELECT image_id, box_id AS gt_id, x1, y1, x2, y2, cls FROM boxes WHERE side = 'gt')"""
 
 
 def detections(spark: SparkSession, d: str) -> DataFrame:

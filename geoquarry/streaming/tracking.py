@@ -52,6 +52,17 @@ class Kalman:
         mean = np.concatenate([z, np.zeros(4)])
         return mean, np.diag(self._noise(mean, "start") ** 2)
 
+    def predict_all(self, means: np.ndarray, covs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``predict`` of many tracks at once."""
+        w = means[:, 3] if self.mode == "height" else means[:, 2]
+        p, v = self.position, self.velocity
+        noise = np.stack([p * w, p * means[:, 3], p * w, p * means[:, 3], v * w, v * means[:, 3], v * w, v * means[:, 3]], axis=1)
+        if self.mode == "height":
+            noise[:, 2], noise[:, 6] = 1e-2, 1e-5
+        out = self.step @ covs @ self.step.T
+        out[:, np.arange(8), np.arange(8)] += noise**2
+        return means @ self.step.T, out
+
     def predict(self, mean: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return self.step @ mean, self.step @ cov @ self.step.T + np.diag(self._noise(mean, "step") ** 2)
 
@@ -89,10 +100,17 @@ class Track:
     frame: int
     score: float
     cls: int
-    mean: list[float]
-    cov: list[float]
+    mean: np.ndarray
+    cov: np.ndarray
     hits: int = 1
 
+    def plain(self) -> dict:
+        return {**self.__dict__, "mean": self.mean.tolist(), "cov": self.cov.ravel().tolist()}
+
+    @staticmethod
+    def of(raw: dict) -> "Track":
+        return Track(**{**raw, "mean": np.array(raw["mean"]), "cov": np.array(raw["cov"]).reshape(8, 8)})
+
 
 @dataclass
 class State:
@@ -104,20 +122,26 @@ class State:
     tracks: list[Track] = field(default_factory=list)
 
     def dump(self) -> str:
-        return json.dumps({**self.__dict__, "tracks": [t.__dict__ for t in self.tracks]})
+        return json.dumps({**self.__dict__, "tracks": [t.plain() for t in self.tracks]})
 
     @staticmethod
     def load(text: str | None) -> "State":
         if not text:
             return State()
         raw = json.loads(text)
-        return State(raw["frame"], raw["seen"], raw["next_id"], [Track(**t) for t in raw["tracks"]])
+        return State(raw["frame"], raw["seen"], raw["next_id"], [Track.of(t) for t in raw["tracks"]])
+
+
+def corners_of(tracks: list[Track], mode: str) -> np.ndarray:
+    m = np.array([t.mean[:4] for t in tracks])
+    w = m[:, 2] * m[:, 3] if mode == "height" else m[:, 2]
+    return np.stack([m[:, 0] - w / 2, m[:, 1] - m[:, 3] / 2, m[:, 0] + w / 2, m[:, 1] + m[:, 3] / 2], axis=1)
 
 
 def iou_cost(tracks: list[Track], boxes: np.ndarray, mode: str) -> np.ndarray:
     if not tracks or not len(boxes):
         return np.zeros((len(tracks), len(boxes)))
-    return 1 - box_iou(np.array([corners(np.array(t.mean), mode) for t in tracks]), boxes)
+    return 1 - box_iou(corners_of(tracks, mode), boxes)
 
 
 def with_scores(cost: np.ndarray, scores: np.ndarray) -> np.ndarray:
@@ -139,7 +163,7 @@ def gated(cost: np.ndarray, kalman: Kalman, tracks: list[Track], measures: np.nd
     """Pairs beyond the gate become impossible; with a weight, the distance is mixed in."""
     out = cost.copy()
     for i, t in enumerate(tracks):
-        d = kalman.gate(np.array(t.mean), np.array(t.cov).reshape(8, 8), measures)
+        d = kalman.gate(t.mean, t.cov, measures)
         out[i, d > CHI2[4]] = np.inf
         if weight is not None:
             out[i] = weight * out[i] + (1 - weight) * d
@@ -149,9 +173,9 @@ def gated(cost: np.ndarray, kalman: Kalman, tracks: list[Track], measures: np.nd
 def warped(track: Track, matrix: np.ndarray) -> None:
     """Moves a track by the camera's motion, a 2 by 3 affine matrix."""
     r = np.kron(np.eye(4), matrix[:, :2])
-    mean = r @ np.array(track.mean)
+    mean = r @ track.mean
     mean[:2] += matrix[:, 2]
-    track.mean, track.cov = mean.tolist(), (r @ np.array(track.cov).reshape(8, 8) @ r.T).ravel().tolist()
+    track.mean, track.cov = mean, r @ track.cov @ r.T
 
 
 class Tracker:
@@ -161,8 +185,8 @@ class Tracker:
         self.o, self.s, self.k = options, state, Kalman(options.size_noise)
 
     def _take(self, t: Track, box: np.ndarray, score: float, cls: int, again: bool) -> None:
-        mean, cov = self.k.update(np.array(t.mean), np.array(t.cov).reshape(8, 8), measure(box, self.o.size_noise))
-        t.mean, t.cov, t.frame, t.state, t.active, t.score, t.cls = mean.tolist(), cov.ravel().tolist(), self.s.frame, TRACKED, True, float(score), int(cls)
+        mean, cov = self.k.update(t.mean, t.cov, measure(box, self.o.size_noise))
+        t.mean, t.cov, t.frame, t.state, t.active, t.score, t.cls = mean, cov, self.s.frame, TRACKED, True, float(score), int(cls)
         t.hits = 1 if again else t.hits + 1
 
     def _match(self, tracks: list[Track], rows: list[int], boxes: np.ndarray, scores: np.ndarray, classes: np.ndarray, most: float, fuse: bool) -> tuple[list[Track], list[int]]:
@@ -185,12 +209,11 @@ class Tracker:
         known = [t for t in s.tracks if t.state == TRACKED and t.active]
         lost = [t for t in s.tracks if t.state == LOST]
         pool = known + lost
-        for t in pool:
-            mean = np.array(t.mean)
-            if t.state != TRACKED:
-                mean[7] = 0
-            mean, cov = self.k.predict(mean, np.array(t.cov).reshape(8, 8))
-            t.mean, t.cov = mean.tolist(), cov.ravel().tolist()
+        if pool:
+            means = np.array([t.mean for t in pool])
+            means[[t.state != TRACKED for t in pool], 7] = 0
+            for t, mean, cov in zip(pool, *self.k.predict_all(means, np.array([t.cov for t in pool]))):
+                t.mean, t.cov = mean, cov
         if warp is not None:
             for t in pool + fresh:
                 warped(t, warp)
@@ -205,7 +228,7 @@ class Tracker:
         for i in high:
             if scores[i] >= o.new:
                 mean, cov = self.k.start(measure(boxes[i], o.size_noise))
-                s.tracks.append(Track(s.next_id, TRACKED, s.frame == 1, s.frame, s.frame, float(scores[i]), int(classes[i]), mean.tolist(), cov.ravel().tolist()))
+                s.tracks.append(Track(s.next_id, TRACKED, s.frame == 1, s.frame, s.frame, float(scores[i]), int(classes[i]), mean, cov))
                 s.next_id += 1
         for t in s.tracks:
             if t.state == LOST and s.frame - t.frame > int(o.rate / 30.0 * o.buffer):
@@ -218,7 +241,7 @@ class Tracker:
         """Of a tracked and a lost track in one place the longer-lived stays; of equals the lost one."""
         a, b = [t for t in self.s.tracks if t.state == TRACKED], [t for t in self.s.tracks if t.state == LOST]
         if a and b:
-            cost = iou_cost(a, np.array([corners(np.array(t.mean), self.o.size_noise) for t in b]), self.o.size_noise)
+            cost = iou_cost(a, corners_of(b, self.o.size_noise), self.o.size_noise)
             for i, j in zip(*np.where(cost < 0.15)):
                 older = a[i].frame - a[i].start > b[j].frame - b[j].start
                 (b[j] if older else a[i]).state = REMOVED
@@ -231,13 +254,20 @@ _COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
 def frames(tracker: Tracker, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
     """Runs a tracker over detections (frame_id, x1, y1, x2, y2, conf, cls) in frame order; frames at or before the last seen are rejected."""
     stream = rows["stream_id"].iloc[0] if len(rows) else 0
+    frame, det = rows["frame_id"].to_numpy(), rows["det_id"].to_numpy()
+    order = np.lexsort((det, frame))
+    frame = frame[order]
+    boxes = rows[["x1", "y1", "x2", "y2"]].to_numpy(float)[order]
+    scores, classes = rows["conf"].to_numpy(float)[order], rows["cls"].to_numpy(int)[order]
+    ends = np.flatnonzero(np.r_[True, frame[1:] != frame[:-1], True]) if len(frame) else np.zeros(1, int)
     out = []
-    for frame, group in rows.sort_values(["frame_id", "det_id"]).groupby("frame_id", sort=True):
-        if frame <= tracker.s.seen:
+    for low, high in zip(ends[:-1], ends[1:]):
+        now = int(frame[low])
+        if now <= tracker.s.seen:
             continue
-        tracker.s.seen = int(frame)
-        for t in tracker.update(group[["x1", "y1", "x2", "y2"]].to_numpy(float), group["conf"].to_numpy(float), group["cls"].to_numpy(int)):
-            out.append((stream, frame, t.track_id, *corners(np.array(t.mean), tracker.o.size_noise), t.score, t.cls))
+        tracker.s.seen = now
+        for t in tracker.update(boxes[low:high], scores[low:high], classes[low:high]):
+            out.append((stream, now, t.track_id, *corners(t.mean, tracker.o.size_noise), t.score, t.cls))
     yield pd.DataFrame(out, columns=_COLUMNS)
 
 
