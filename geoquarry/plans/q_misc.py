@@ -183,6 +183,14 @@ def drone_labels(spark: SparkSession, d: str) -> DataFrame:
     return convert.drone_labels(table(spark, d, "vqa_records").select("rec_id", line.alias("value"), F.lit(640).alias("iw"), F.lit(480).alias("ih")), "iw", "ih")
 
 
+@query("""SELECT rec_id, '3 ' || g(rec_id % 16 / 16.0) || ' ' || g((rec_id % 8) * 2000) || ' ' || g(rec_id % 4 / 4.0) || ' 0.5' AS line FROM (SELECT rec_id FROM vqa_records)""".replace("g(", "printf('%g', 1.0::DOUBLE * "))
+def polygon_lines(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("rec_id")
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    points = F.array(point(i % 16 * 40.0, i % 8 * 800000.0), point(i % 4 * 160.0, F.lit(200.0)))
+    return table(spark, d, "vqa_records").select("rec_id", convert.polygon_line(F.lit(3), points, F.lit(640.0), F.lit(400.0)).alias("line"))
+
+
 @query("""SELECT rec_id, CAST(rec_id % 2 AS INTEGER) AS cls, ((rec_id % 90 + 1 + rec_id % 90 + 11) / 2.0 - 1) / 500 AS cx, ((5 + 25) / 2.0 - 1) / 400 AS cy, 10 / 500.0 AS w, 20 / 400.0 AS h FROM vqa_records WHERE rec_id % 3 < 2 AND rec_id % 7 > 0""")
 def voc_labels(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("rec_id")

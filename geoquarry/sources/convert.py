@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoquarry.sources.sinks import short_number
+
 # Endings of image and video files.
 IMAGE_ENDINGS = ("bmp", "dng", "jpeg", "jpg", "mpo", "png", "tif", "tiff", "webp", "pfm")
 VIDEO_ENDINGS = ("asf", "avi", "gif", "m4v", "mkv", "mov", "mp4", "mpeg", "mpg", "ts", "wmv", "webm")
@@ -111,8 +113,8 @@ def voc_labels(files: DataFrame, xml: str, names: list[str]) -> DataFrame:
 
 
 def polygon_line(cls: Column, points: Column, width: Column, height: Column) -> Column:
-    """A label line of a polygon, ``points`` an array of (x, y): class and normalised corners with six significant digits."""
-    return F.concat_ws(" ", cls.cast("string"), F.array_join(F.transform(points, lambda p: F.concat_ws(" ", F.format_string("%.6g", p["x"] / width), F.format_string("%.6g", p["y"] / height))), " "))
+    """A label line of a polygon, ``points`` an array of (x, y): class and normalised corners with up to six significant digits."""
+    return F.concat_ws(" ", cls.cast("string"), F.array_join(F.transform(points, lambda p: F.concat_ws(" ", short_number(p["x"] / width), short_number(p["y"] / height))), " "))
 
 
 def write_stats(stats: DataFrame, path: str) -> None:

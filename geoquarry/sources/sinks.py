@@ -6,9 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def short_number(value: Column) -> Column:
+    """A number with up to six significant digits and no zeros at its end, as C's %g writes it."""
+    text = F.format_string("%.6g", value.cast("double"))
+    return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+(?=e|$)", "$1"), r"\.(?=e|$)", "")
+
+
 def label_line(cls: Column, cx: Column, cy: Column, w: Column, h: Column, conf: Column | None = None) -> Column:
-    """One label line: class and normalised centre box with six significant digits, confidence last if given."""
-    parts = [F.format_string("%.6g", c) for c in (cx, cy, w, h, *([conf] if conf is not None else []))]
+    """One label line: class and normalised centre box with up to six significant digits, confidence last if given."""
+    parts = [short_number(c) for c in (cx, cy, w, h, *([conf] if conf is not None else []))]
     return F.concat_ws(" ", cls.cast("string"), *parts)
 
 
