@@ -163,7 +163,7 @@ def thought_strip(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("rec_id", T.without_thought(F.concat(F.lit("<think>\n"), "question", F.lit("\n</think>\n\n"), "answer")).alias("text"))
 
 
-@query(f"""WITH {DIALOGUES} SELECT ann_id, '<|im_start|>system' || chr(10) || CASE WHEN sys <> '' THEN sys ELSE 'You are a helpful assistant.' END || '<|im_end|>' || chr(10) ||
+@query(f"""WITH {DIALOGUES} SELECT ann_id, '<|im_start|>system' || chr(10) || CASE WHEN sys <> '' THEN sys ELSE 'You are Qwen, created by Alibaba Cloud. You are a helpful assistant.' END || '<|im_end|>' || chr(10) ||
  array_to_string(list_transform(turns, lambda t: CASE t.role WHEN 'user' THEN '<|im_start|>user' || chr(10) || t.content || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) ELSE t.content || '<|im_end|>' || chr(10) END), '') AS text
  FROM roled WHERE valid""")
 def template_render(spark: SparkSession, d: str) -> DataFrame:
@@ -171,6 +171,32 @@ def template_render(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("ann_id", F.array_join(T.render(T.resolve("qwen"), F.concat("_prompt", "_response"), F.col("_system")), "").alias("text"))
 
 
+def _sql_text(slot: str, content: str) -> str:
+    """A slot around a content, in SQL."""
+    before, _, after = slot.replace("{bos}", "<s>").replace("{eos}", "</s>").replace("{{idx}}", "0").partition("{{content}}")
+    return f"{_quoted(before)} || {content} || {_quoted(after)}"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _one_turn_sql(t: T.Template) -> str:
+    head = _sql_text(t.system, _quoted(t.default_system)) if t.default_system else "''"
+    prefix = _quoted(t.prefix.replace("{bos}", "<s>").replace("{eos}", "</s>"))
+    lead, question = (prefix, f"({head} || question)") if t.system_in_user else (f"{prefix} || {head}", "question")
+    return f"SELECT item_id, {_quoted(t.name)} AS template, {lead} || {_sql_text(t.user, question)} || {_sql_text(t.assistant, 'passage')} AS text FROM eval_items"
+
+
+@query(" UNION ALL ".join(_one_turn_sql(t) for t in T.TEMPLATES.values()))
+def template_all(spark: SparkSession, d: str) -> DataFrame:
+    """A question and its answer in every template; system texts are the templates' own."""
+    turn = lambda role, c: F.struct(F.lit(role).alias("role"), F.col(c).alias("content"))
+    items = table(spark, d, "eval_items").select("item_id", F.array(turn("user", "question"), turn("assistant", "passage")).alias("m"))
+    every = F.create_map(*[x for t in T.TEMPLATES.values() for x in (F.lit(t.name), F.array_join(T.render(t, F.col("m")), ""))])
+    return items.select("item_id", F.explode(every).alias("template", "text"))
+
+
 @query("SELECT name, file_name, formatting, columns_map['messages'] AS messages, columns_map['images'] AS images FROM dataset_registry")
 def registry_entries(spark: SparkSession, d: str) -> DataFrame:
     return registry_frame(table(spark, d, "dataset_registry"))
@@ -192,10 +218,6 @@ def _indented(margin: int) -> str:
     return "'" + ("\n" + " " * margin).join(lines) + "'"
 
 
-def _quoted(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
 def _offer_sql(offer: str, tools_sql: str, **slots: str) -> str:
     for name, sql in {"tools": tools_sql, **slots}.items():
         offer = offer.replace("{" + name + "}", "\x00" + name + "\x00", 1)

@@ -144,7 +144,7 @@ def test_bad_calls_stay_text():
 
 def test_templates(spark):
     df = spark.createDataFrame([([("user", "q"), ("assistant", "<think>\nt\n</think>\n\na"), ("user", "r"), ("assistant", "<think>\nu\n</think>\n\nb")],)], "m array<struct<role:string,content:string>>")
-    out = df.select(T.render(T.resolve("qwen_reasoning"), F.col("m")).alias("t")).first().t
+    out = df.select(T.render(T.resolve("qwen3"), F.col("m")).alias("t")).first().t
     assert "t\n" not in out[1] and out[1].startswith("a") and "u" in out[3]
     assert df.select(T.render(T.resolve("llama2"), F.col("m"), F.lit("S")).alias("t")).first().t[0] == "<s>[INST] <<SYS>>\nS\n<</SYS>>\n\nq [/INST]"
     assert "{{content}}" in T.inferred(lambda ms: "".join(f"<{m['role']}>{m['content']}</>" for m in ms), "probe").user
