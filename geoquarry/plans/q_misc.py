@@ -284,3 +284,68 @@ def as_of_join(spark: SparkSession, d: str) -> DataFrame:
     click = F.col("event_type") == "click"
     before = F.max_by(F.when(click, F.col("event_id")), F.when(click, F.col("ts"))).over(line)
     return rows.withColumn("before", before).where("event_type = 'purchase' and before is not null").select("user_id", "event_id", "before")
+
+
+# Media
+
+
+_MEDIA = """m AS (SELECT ann_id, CAST(ann_id % 3 + 1 AS INTEGER) AS t, CAST(ann_id % 4 + 1 AS INTEGER) * 2 AS h, CAST(ann_id % 5 + 1 AS INTEGER) * 2 AS w, CAST(ann_id % 4 + 2 AS INTEGER) * 28 AS height, CAST(ann_id % 3 + 2 AS INTEGER) * 28 AS width,
+ CAST(ann_id % 7 + 3 AS INTEGER) AS features, CAST(ann_id % 2 + 1 AS INTEGER) AS tiles, CAST(ann_id % 50 + 9 AS INTEGER) AS frames FROM annotations),
+c AS (SELECT *, t * h * w // 4 AS n, h * w // 4 AS f, (height // 14) * (width // 14) AS p FROM m)"""
+_V = "'<|vision_start|>' || repeat('{0}', CAST({1} AS BIGINT)) || '<|vision_end|>'"
+_TIMES = "list_transform(range(t), lambda k: {0})"
+_PIECES = {
+    ("gemma3", "image"): "chr(10) || chr(10) || '<start_of_image>' || repeat('<image>', 3) || '<end_of_image>' || chr(10) || chr(10)",
+    ("gemma3n", "audio"): "chr(10) || chr(10) || '<start_of_audio>' || repeat('<audio>', 3) || '<end_of_audio>' || chr(10) || chr(10)",
+    ("glm4v", "image"): "'<|begin_of_image|>' || repeat('<image>', n) || '<|end_of_image|>'",
+    ("glm4v", "video"): "'<|begin_of_video|>' || array_to_string(" + _TIMES.format("'<|begin_of_image|>' || repeat('<image>', f) || '<|end_of_image|>' || (k * 2)") + ", '') || '<|end_of_video|>'",
+    ("intern_vl", "image"): "'<img>' || repeat('<IMG_CONTEXT>', tiles * 3) || '</img>'",
+    ("intern_vl", "video"): "array_to_string(" + _TIMES.format("'Frame' || (k + 1) || ': <img>' || repeat('<IMG_CONTEXT>', 3) || '</img>'") + ", chr(10))",
+    ("kimi_vl", "image"): "'<|media_start|>image<|media_content|>' || repeat('<image>', n) || '<|media_end|>'",
+    ("llama4", "image"): "'<|image_start|>' || CASE WHEN h * w > 1 THEN repeat(repeat('<|patch|>', p) || repeat('<|tile_x_separator|>' || repeat('<|patch|>', p), w - 1) || '<|tile_y_separator|>', h) ELSE '' END || '<|image|>' || repeat('<|patch|>', p) || '<|image_end|>'",
+    ("llava", "image"): "repeat('<image>', p)",
+    ("llava_next", "image"): "repeat('<image>', features - 1)",
+    ("llava_next_video", "video"): "repeat('<video>', p // 4 * t)",
+    ("minicpm_v", "image"): "'(<image>./</image>)'",
+    ("minicpm_v", "video"): "repeat('(<image>./</image>)', t)",
+    ("minicpm_v", "audio"): "'(<audio>./</audio>)'",
+    ("mllama", "image"): "'<image>'",
+    ("paligemma", "image"): "''",
+    ("pixtral", "image"): "left(repeat(repeat('<image>', width // 28) || '[IMG_BREAK]', height // 28), -11) || '[IMG_END]'",
+    ("qwen2_audio", "audio"): "'<|audio_bos|>' || repeat('<audio>', ((frames - 1) // 2 - 1) // 2 + 1) || '<|audio_eos|>'",
+    ("qwen2_vl", "image"): "CASE WHEN ann_id % 2 = 0 THEN " + _V.format("<image>", "1") + " || " + _V.format("<image>", "n - 1") + " ELSE " + _V.format("<image>", "n") + " END",
+    ("qwen2_vl", "video"): _V.format("<video>", "n"),
+    ("qwen3_vl", "video"): "array_to_string(" + _TIMES.format("'<' || (k * 2) || '.0 seconds>' || " + _V.format("<video>", "f")) + ", '')",
+    ("qwen2_omni", "image"): _V.format("<image>", "n"),
+    ("video_llava", "video"): "repeat('<video>', (p + 1) * t)",
+}
+
+
+@query(f"WITH {_MEDIA} " + " UNION ALL ".join(f"SELECT ann_id, '{p}' AS plugin, '{k}' AS kind, 'a ' || {sql} || ' b <{k}>' AS text FROM c" for (p, k), sql in _PIECES.items()))
+def media_plugins(spark: SparkSession, d: str) -> DataFrame:
+    """One medium and two marks in every plugin: the first mark is expanded, the second stays."""
+    from functools import reduce
+
+    from geoquarry.operators import media
+
+    i = F.col("ann_id")
+    size = lambda n, low, by: ((i % n + low) * by).cast("int")
+    t = size(3, 1, 1)
+    n = F.floor(t * size(4, 1, 2) * size(5, 1, 2) / 4).cast("int")
+    one = F.struct(t.alias("t"), size(4, 1, 2).alias("h"), size(5, 1, 2).alias("w"), size(4, 2, 28).alias("height"), size(3, 2, 28).alias("width"), size(7, 3, 1).alias("features"), size(2, 1, 1).alias("tiles"), size(50, 9, 1).alias("frames"),
+                   F.transform(F.sequence(F.lit(0), t - 1), lambda k: k * 2.0).alias("times"), F.array_repeat(F.lit(1), t).alias("patches"), F.when(i % 2 == 0, 1).alias("global_n"), (n - 1).alias("semantic_n"))
+    rows = table(spark, d, "annotations").select("ann_id", F.array(one).alias("m"))
+    parts = []
+    for plugin, kind in _PIECES:
+        rule = media.rules(plugin, sizes=media.Sizes(tokens=3))[kind]
+        parts.append(rows.select("ann_id", F.lit(plugin).alias("plugin"), F.lit(kind).alias("kind"), media.expand(F.lit(f"a <{kind}> b <{kind}>"), kind, F.col("m"), rule).alias("text")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("SELECT ann_id, list_concat(list_transform(range(2 * (ann_id % 3)), lambda k: 9), [1, 2]) AS ids, list_concat(list_transform(range(2 * (ann_id % 3)), lambda k: -100), [1, 2]) AS labels FROM annotations")
+def prefixed_media(spark: SparkSession, d: str) -> DataFrame:
+    from geoquarry.operators import media
+
+    images = F.array_repeat(F.lit("x"), (F.col("ann_id") % 3).cast("int"))
+    ids, labels = media.prefixed_ids(F.array(F.lit(1), F.lit(2)), F.array(F.lit(1), F.lit(2)), 9, images, 2)
+    return table(spark, d, "annotations").select("ann_id", ids.alias("ids"), labels.alias("labels"))
