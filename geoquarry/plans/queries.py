@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("align", "mixing", "encoding", "boxes", "regions", "scores", "data", "streams", "prompts", "misc")
+_MODULES = ("align", "mixing", "encoding", "boxes", "regions", "scores", "data", "streams", "prompts", "misc", "parts")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:

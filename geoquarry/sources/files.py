@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
-from pathlib import Path
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -16,14 +17,21 @@ FORMATS = {"arrow": "arrow", "csv": "csv", "json": "json", "jsonl": "json", "par
 IMAGES = ("bmp", "dng", "jpeg", "jpg", "mpo", "png", "tif", "tiff", "webp", "pfm")
 
 
-def files_of(path: str) -> list[str]:
-    """The files under a local path, sorted; hidden files are left out."""
-    p = Path(path)
-    if p.is_file():
-        return [str(p)]
-    if not p.is_dir():
+def _path(spark: SparkSession, path: str):
+    """A Hadoop path and its file system, so that any store is listed alike."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def files_of(spark: SparkSession, path: str) -> list[str]:
+    """The file, or the files of a folder, at a path of any file system, sorted; hidden files are left out."""
+    where, system = _path(spark, path)
+    if not system.exists(where):
         raise RegistryError(f"file not found: {path}")
-    return sorted(str(x) for x in p.iterdir() if x.is_file() and not x.name.startswith((".", "_")))
+    if system.getFileStatus(where).isFile():
+        return [str(system.getFileStatus(where).getPath().toString())]
+    found = [s.getPath() for s in system.listStatus(where) if s.isFile()]
+    return sorted(p.toString() for p in found if not p.getName().startswith((".", "_")))
 
 
 def format_of(files: list[str]) -> str:
@@ -38,19 +46,10 @@ def format_of(files: list[str]) -> str:
 
 def scan(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
     """Reads a file or a folder of files of one format. JSON arrays and JSON lines are told apart by extension."""
-    files = files_of(path)
+    files = files_of(spark, path)
     kind = format_of(files)
     if kind == "arrow":
-        import pyarrow as pa
-
-        tables = []
-        for f in files:
-            with pa.memory_map(f) as source:
-                try:
-                    tables.append(pa.ipc.open_file(source).read_all())
-                except pa.ArrowInvalid:
-                    tables.append(pa.ipc.open_stream(f).read_all())
-        return spark.createDataFrame(pa.concat_tables(tables))
+        return arrow_files(spark, path)
     reader = spark.read.schema(schema) if schema is not None and kind != "text" else spark.read
     if kind == "csv":
         return reader.option("header", True).option("multiLine", True).option("escape", '"').option("inferSchema", schema is None).csv(files)
@@ -61,13 +60,96 @@ def scan(spark: SparkSession, path: str, schema: StructType | str | None = None)
     return spark.read.text(files).withColumnRenamed("value", "text")
 
 
+def _arrow_batches(data: bytes) -> Iterator[pa.RecordBatch]:
+    """Record batches of an Arrow file or stream."""
+    try:
+        reader = pa.ipc.open_file(pa.BufferReader(data))
+        yield from (reader.get_batch(i) for i in range(reader.num_record_batches))
+    except pa.ArrowInvalid:
+        yield from pa.ipc.open_stream(pa.BufferReader(data))
+
+
+def arrow_files(spark: SparkSession, path: str) -> DataFrame:
+    """Arrow files, each read by the task that has it; only the first file's schema is looked at to plan."""
+    from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
+
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.arrow").load(path).select("content")
+
+    def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                first = next(_arrow_batches(data), None)
+                if first is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([first.schema.serialize().to_pybytes()])], ["schema"])
+
+    one = raw.mapInArrow(head, "schema binary").first()
+    if one is None:
+        raise RegistryError(f"no rows under {path}")
+    schema = from_arrow_schema(pa.ipc.read_schema(pa.BufferReader(one["schema"])))
+    wanted = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                for rows in _arrow_batches(data):
+                    yield from pa.Table.from_batches([rows]).select(wanted.names).cast(wanted).to_batches()
+
+    return raw.mapInArrow(run, schema)
+
+
+def write_arrow(df: DataFrame, folder: str) -> None:
+    """Every partition as an Arrow file, written as bytes where it is and put into the folder by the driver's file system."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sink, writer = pa.BufferOutputStream(), None
+        for batch in batches:
+            writer = writer or pa.ipc.new_file(sink, batch.schema)
+            writer.write_batch(batch)
+        if writer is not None:
+            writer.close()
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["data"])
+
+    spark = df.sparkSession
+    where, system = _path(spark, folder)
+    system.mkdirs(where)
+    for i, row in enumerate(df.mapInArrow(run, "data binary").toLocalIterator()):
+        out = system.create(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/part-{i:05d}.arrow"))
+        out.write(row["data"])
+        out.close()
+
+
+def rename(spark: SparkSession, folder: str, old: str, new: str) -> None:
+    """Gives all files of a folder with one ending another."""
+    where, system = _path(spark, folder)
+    for s in system.listStatus(where):
+        if s.getPath().getName().endswith(old) and not s.getPath().getName().startswith((".", "_")):
+            system.rename(s.getPath(), spark._jvm.org.apache.hadoop.fs.Path(s.getPath().toString().removesuffix(old) + new))
+
+
+def flatten(spark: SparkSession, folder: str, key: str) -> None:
+    """Turns folders key=value of one file each into files named by the value."""
+    where, system = _path(spark, folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for s in system.listStatus(where):
+        name = s.getPath().getName()
+        if s.isDirectory() and name.startswith(f"{key}="):
+            inner = [f.getPath() for f in system.listStatus(s.getPath()) if not f.getPath().getName().startswith((".", "_"))]
+            system.rename(inner[0], path(f"{folder}/{name.partition('=')[2]}"))
+            system.delete(s.getPath(), True)
+
+
 def cloud_json(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    """JSON lines of an object store or any Hadoop path; an empty listing raises instead of reading nothing."""
-    reader = spark.read.option("pathGlobFilter", "*.json*").option("recursiveFileLookup", True)
-    df = (reader.schema(schema) if schema is not None else reader).json(path)
-    if not df.inputFiles():
+    """JSON lines (.jsonl) and JSON arrays (.json) of an object store or any Hadoop path; an empty listing raises instead of reading nothing."""
+    reader = spark.read.option("recursiveFileLookup", True)
+    reader = reader.schema(schema) if schema is not None else reader
+    parts = []
+    for pattern, whole in (("*.jsonl*", False), ("*.json", True)):
+        probe = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path")
+        if probe.take(1):
+            parts.append(reader.option("pathGlobFilter", pattern).option("multiLine", whole).json(path))
+    if not parts:
         raise RegistryError(f"no JSON files under {path}")
-    return df
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
 
 
 def load(spark: SparkSession, source: Source, folder: str) -> DataFrame:

@@ -33,6 +33,29 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written(spark).append(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _written(spark: SparkSession) -> list[str]:
+    """The tables that this session wrote and has not released."""
+    context = spark.sparkContext
+    if not hasattr(context, "_geoquarry_written"):
+        context._geoquarry_written = []
+    return context._geoquarry_written
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes all intermediate tables written so far, to be called when the results that rest on them are used; says how many there were.
+
+    They also go when the session's JVM ends.
+    """
+    paths = _written(spark)
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    count = len(paths)
+    paths.clear()
+    return count
