@@ -330,7 +330,7 @@ def test_kalman(mode):
     assert abs(mean[4] - 1) < 0.1 and np.allclose(cov, cov.T, atol=1e-9)
     assert np.allclose(tracking.corners(mean, mode), [29, 0, 39, 20], atol=0.5)
     assert k.gate(mean, cov, mean[None, :4])[0] < 1e-9
-    t = tracking.Track(1, 1, True, 0, 0, 1.0, 0, mean.tolist(), cov.ravel().tolist())
+    t = tracking.Track(1, 1, True, 0, 0, 1.0, 0, mean, cov)
     tracking.warped(t, np.array([[1, 0, 5.0], [0, 1, 0.0]]))
     assert abs(t.mean[0] - mean[0] - 5) < 1e-9
 
