@@ -7,6 +7,10 @@ image; the image is the equi key of every join.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -255,16 +259,31 @@ def sigma_clip(rows: DataFrame, group: list[str], value: str, sigma: float = 2.0
     return rows
 
 
-def ema(series: Column) -> Column:
-    """Exponential smoothing of an array whose weight depends on its length: 1.8 (sigmoid(0.05 n) - 0.5)."""
-    w = 1.8 * (1 / (1 + F.exp(-0.05 * F.size(series))) - 0.5)
-    state = F.struct(F.array().cast("array<double>").alias("out"), series[0].cast("double").alias("last"))
-
-    def step(s: Column, x: Column) -> Column:
-        v = s["last"] * w + (1 - w) * x
-        return F.struct(F.concat(s["out"], F.array(v)).alias("out"), v.alias("last"))
+def ema(rows: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
+    """Exponential smoothing of each group's values in order; the weight depends on their number: 1.8 (sigmoid(0.05 n) - 0.5).
 
-    return F.aggregate(series, state, step, lambda s: s["out"])
+    Returns group, the place from 1 and ``smooth``. Rows come sorted and pass
+    through once, with nothing kept but the last value, so a group of any
+    length takes linear time and no memory. Null values keep the last one.
+    """
+    counts = rows.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
+    joined = rows.join(counts, F.col(group).eqNullSafe(F.col("_g"))).select(group, "_n", F.col(value).cast("double").alias("_v"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    placed = joined.repartition(group).sortWithinPartitions(group, *[f"_o{i}" for i in range(len(order))]).select(group, "_n", "_v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last, k, begun = None, 0.0, 0, False
+        for batch in batches:
+            ks, out = [], []
+            for g, n, v in zip(*(c.to_pylist() for c in batch.columns)):
+                if not begun or g != now:
+                    now, last, k, begun = g, v if v is not None else 0.0, 0, True
+                w = 1.8 * (1 / (1 + math.exp(-0.05 * n)) - 0.5)
+                last = last if v is None else last * w + (1 - w) * v
+                k += 1
+                ks.append(k), out.append(last)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ks, pa.int64()), pa.array(out, pa.float64())], [group, "k", "smooth"])
+
+    return placed.mapInArrow(run, f"`{group}` {rows.schema[group].dataType.simpleString()}, k bigint, smooth double")
 
 
 def preference_losses(chosen: Column, rejected: Column, beta: float = 0.1, gamma: float = 0.5) -> dict[str, Column]:

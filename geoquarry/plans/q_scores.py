@@ -92,9 +92,7 @@ _EV = "ev AS (SELECT user_id, event_id, event_type, value, epoch(ts) AS s, row_n
 r(user_id, k, v) AS (SELECT user_id, k, value * w + (1 - w) * value FROM w WHERE k = 1 UNION ALL SELECT r.user_id, w.k, r.v * w.w + (1 - w.w) * w.value FROM r JOIN w ON w.user_id = r.user_id AND w.k = r.k + 1)
 SELECT user_id, k, round(v, 3) AS smooth FROM r""")
 def ema_smooth(spark: SparkSession, d: str) -> DataFrame:
-    series = table(spark, d, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"]).alias("s"))
-    out = series.select("user_id", F.posexplode(M.ema(F.col("s"))).alias("k", "v"))
-    return out.select("user_id", (F.col("k") + 1).cast("long").alias("k"), F.round("v", 3).alias("smooth"))
+    return M.ema(table(spark, d, "events"), "user_id", ["ts", "event_id"], "value").withColumn("smooth", F.round("smooth", 3))
 
 
 def _clip(i: int) -> str:
