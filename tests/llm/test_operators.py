@@ -361,3 +361,46 @@ def test_long_tiles_are_tiles(a, b, least):
 def test_copies_of_any_length_with_words_changed(n):
     words = [f"w{i}" for i in range(n)]
     assert pairs.copies_question(words, [words[i - 1] if i % 8 == 7 else w for i, w in enumerate(words)], [])
+
+
+def test_damage_comes_from_the_lattice(spark, monkeypatch):
+    bad = TEXTS[0].encode("utf-8").decode("cp1252")
+    lost = TEXTS[2].encode("latin-1").decode("utf-8", "replace")
+    rows = [(i, TEXTS[i % len(TEXTS)]) for i in range(300)] + [(1000, bad), (1001, lost)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id: r.restored for r in garbled.garbled(df, "doc_id", "text").collect()} == {1000: TEXTS[0], 1001: TEXTS[2]}
+    monkeypatch.setattr(garbled, "only_way", lambda *_: None)
+    monkeypatch.setattr(garbled.Lattice, "best", lambda *_: None)
+    assert {r.doc_id: r.complete for r in garbled.garbled(df, "doc_id", "text").collect()} == {1001: False}
+
+
+def test_lost_bytes_are_filled_in_any_channel():
+    counts = garbled.Counts(np.zeros((5, 1 << garbled.BITS), np.int64), "äéñсть分辨率")
+    for text in ("Während", "señal", "часть", "分辨率"):
+        for u in garbled.units(text):
+            for x in [u, *(garbled.beginnings(u) if len(u) > 1 else [])]:
+                a, b = garbled.places(x)
+                counts.rows[:4, [a, b, a, b]] = 50
+    counts = garbled.Counts(counts.rows, "äñчасть分辨率")
+    decoder = garbled.Decoder(counts)
+    assert decoder.decode("W\ufffdhrend")[0] == "Während"
+    broken = "часть".encode("utf-8").decode("cp1252", "replace")
+    assert "\ufffd" in broken and decoder.decode(broken)[0] == "часть"
+    assert decoder.decode("q\ufffdz")[0] == "q\ufffdz"
+
+
+def test_pairs_come_from_the_fingerprints(spark, monkeypatch):
+    rows = [("question", "p", i, i < 2, f"how many ships lie at quay of {'Tamo' if i % 2 else 'Rena'}{' now' if i > 1 else ''}".split()) for i in range(4)]
+    df = spark.createDataFrame(rows, "kind string, place string, key bigint, train boolean, words array<string>")
+    assert crosssplit.near_pairs(df).count() == 2
+    monkeypatch.setattr(crosssplit, "fingerprints", lambda share: F.array().cast("array<struct<f:bigint,i:int>>"))
+    assert crosssplit.near_pairs(df).count() == 0
+
+
+def test_shortfalls_come_from_drawn_ranks(spark, monkeypatch):
+    items = spark.createDataFrame([("f", i, "a" if i % 4 else "b") for i in range(80)], "field string, key bigint, category string")
+    targets = spark.createDataFrame([("f", "a", 0.5, 2), ("f", "b", 0.9, 1), ("f", "c", 0.1, 3)], "field string, category string, target_share double, min_count int")
+    plan = sampling.sample_plan(items, targets, part=0.5)
+    assert {r.category: (r.drawn, r.short) for r in sampling.shortfalls(items, plan).collect()} == {"a": (20, False), "b": (20, True), "c": (0, True)}
+    monkeypatch.setattr(sampling, "rank_in_hash_order", lambda df, *_: df.withColumn("rank", F.lit(1).cast("bigint")))
+    assert {r.category for r in sampling.shortfalls(items, plan).collect() if r.short} == {"a", "b", "c"}
