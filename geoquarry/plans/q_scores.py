@@ -74,15 +74,32 @@ def rouge_1_2(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("rec_id", six(S.rouge_n(F.col("p"), F.col("r"), 1)).alias("rouge_1"), six(S.rouge_n(F.col("p"), F.col("r"), 2)).alias("rouge_2"))
 
 
-@query()
+_ROW = "list_reduce(list_transform(range(1, len(r) + 1), lambda j: [CAST(j AS INTEGER)]), lambda acc, e: list_append(acc, CASE WHEN m[e[1]] = 1 THEN old[e[1]] + 1 ELSE greatest(acc[e[1]], old[e[1] + 1]) END), [0])"
+
+
+@query(f"""WITH w AS (SELECT rec_id, {_W.format("coalesce(answer, '')")} AS p, {_W.format("coalesce(question, '')")} AS r FROM vqa_records),
+l AS (SELECT rec_id, len(p) AS np, len(r) AS nr, list_reduce(list_transform(p, lambda w: list_transform(r, lambda x: CAST(x = w AS INTEGER))), lambda old, m: {_ROW}, list_transform(range(len(r) + 1), lambda k: CAST(0 AS INTEGER))) AS row FROM w),
+n AS (SELECT *, CASE WHEN np = 0 OR nr = 0 THEN 0 ELSE row[nr + 1] END AS n FROM l)
+SELECT rec_id, {_six("CASE WHEN n = 0 THEN 0.0 ELSE 2 * (n / np) * (n / nr) / (n / np + n / nr) END")} AS rouge_l FROM n""")
 def rouge_l(spark: SparkSession, d: str) -> DataFrame:
     rows = _texts(spark, d).select("rec_id", S.word_split(F.col("p")).alias("p"), S.word_split(F.col("r")).alias("r"))
-    return rows.select("rec_id", S.rouge_l("p", "r").alias("rouge_l"))
+    return rows.select("rec_id", six(S.rouge_l("p", "r")).alias("rouge_l"))
+
+
+def _letters(n: int) -> str:
+    return f"""g{n} AS (SELECT rec_id, list_transform(range(greatest(length(p) - {n - 1}, 0)), lambda i: substr(p, i + 1, {n})) AS a, list_transform(range(greatest(length(r) - {n - 1}, 0)), lambda i: substr(r, i + 1, {n})) AS b FROM t),
+h{n} AS (SELECT rec_id, greatest(len(a), 1) AS size, coalesce(list_sum(list_transform(list_intersect(a, b), lambda g: least(len(list_filter(a, lambda x: x = g)), len(list_filter(b, lambda x: x = g))))), 0) AS hit FROM g{n})"""
+
+
+_ZERO = lambda n: " + ".join(f"CAST(h{k}.hit = 0 AS INTEGER)" for k in range(1, n + 1))
+_PART = lambda n: f"ln(CASE WHEN h{n}.hit > 0 THEN h{n}.hit / h{n}.size ELSE 1 / (power(2, {_ZERO(n)}) * h{n}.size) END) / 4"
 
 
-@query()
+@query(f"""WITH t AS (SELECT rec_id, coalesce(answer, '') AS p, coalesce(question, '') AS r FROM vqa_records), {", ".join(map(_letters, (1, 2, 3, 4)))}
+SELECT t.rec_id, round(CASE WHEN length(p) = 0 OR length(r) = 0 OR h1.hit = 0 THEN 0.0 ELSE exp({" + ".join(map(_PART, (1, 2, 3, 4)))}) * CASE WHEN length(p) > length(r) THEN 1.0 ELSE exp(1 - length(r) / length(p)) END END * 100, 3) AS bleu
+FROM t JOIN h1 USING (rec_id) JOIN h2 USING (rec_id) JOIN h3 USING (rec_id) JOIN h4 USING (rec_id)""")
 def bleu4(spark: SparkSession, d: str) -> DataFrame:
-    return _texts(spark, d).select("rec_id", F.round(S.bleu4(F.col("p"), F.col("r")) * 100, 4).alias("bleu"))
+    return _texts(spark, d).select("rec_id", F.round(S.bleu4(F.col("p"), F.col("r")) * 100, 3).alias("bleu"))
 
 
 _EV = "ev AS (SELECT user_id, event_id, event_type, value, epoch(ts) AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events)"
