@@ -140,16 +140,61 @@ s AS (SELECT *, CASE WHEN rank <= min_count THEN 0.0 ELSE (rank - 0.5) / target_
 d AS (SELECT * FROM s WHERE target_share > 0 OR rank <= min_count QUALIFY row_number() OVER (PARTITION BY field ORDER BY priority, category, rank) <= size)"""
 
 
+def _mixture() -> str:
+    """The plan of a mixture: limits, the level at which the free sources fill what the limited ones leave, budgets and uses."""
+    return f"""{_sized()}, a AS (SELECT *, greatest(max_repeats, 0) AS m, (SELECT sum(size) FROM z) AS total FROM z),
+l AS (SELECT *, size * m AS cap, size * m < target_share * total AS limited, target_share * total AS want FROM a),
+g AS (SELECT least(any_value(total), sum(cap) FILTER (limited OR target_share > 0)) - coalesce(sum(cap) FILTER (limited), 0) AS goal FROM l),
+k AS (SELECT cap / want AS level FROM l WHERE NOT limited AND want > 0 UNION ALL SELECT 0.0),
+y AS (SELECT level, (SELECT coalesce(sum(least(cap, want * k.level)), 0) FROM l WHERE NOT limited) AS filled, (SELECT coalesce(sum(want), 0) FROM l WHERE NOT limited AND want > 0 AND cap / want > k.level) AS slope FROM k),
+e AS (SELECT level + CASE WHEN slope > 0 THEN ((SELECT goal FROM g) - filled) / slope ELSE 0 END AS scale FROM y WHERE filled <= (SELECT goal FROM g) ORDER BY level DESC LIMIT 1),
+p AS (SELECT *, CASE WHEN limited THEN cap ELSE round(least(cap, want * (SELECT scale FROM e)), 6) END AS budget FROM l),
+o AS (SELECT s.*, p.budget, p.size AS whole, coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY md5('13' || chr(31) || s.rec_id), s.rec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s JOIN p USING (source)),
+u AS (SELECT *, floor(budget / nullif(whole, 0)) AS blocks FROM o),
+x AS (SELECT rec_id, source, size, CAST(coalesce(blocks, 0) AS INTEGER) + CASE WHEN budget - coalesce(blocks, 0) * whole > 0 AND before + size <= budget - coalesce(blocks, 0) * whole THEN 1 ELSE 0 END AS copies FROM u)"""
+
+
+def _splits() -> str:
+    name, number = NAME.format("image_id"), NUMBER.format("question_id")
+    return f"""
+WITH RECURSIVE v AS (SELECT *, {_key()} AS k FROM vqa_records),
+f AS (SELECT rec_id, coalesce('s' || split_part({name}, '_', 1), 'q' || {number}, '#' || rec_id) AS node, {number} AS link FROM v QUALIFY row_number() OVER (PARTITION BY k ORDER BY rec_id) = 1),
+d AS (SELECT DISTINCT node, link FROM f WHERE link IS NOT NULL),
+e AS (SELECT DISTINCT a.node AS x, b.node AS y FROM d a JOIN d b USING (link) WHERE a.node <> b.node),
+r(node, root) AS (SELECT DISTINCT x, x FROM e UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.node),
+g AS (SELECT node, min(root) AS root FROM r GROUP BY node),
+t AS (SELECT f.rec_id, coalesce(g.root, f.node) AS root FROM f LEFT JOIN g USING (node)),
+n AS (SELECT root, count(*) AS size, length(bin(count(*))) - 1 AS band FROM t GROUP BY root),
+p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY band ORDER BY md5('11' || chr(31) || root), root ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n),
+b AS (SELECT band, sum(size) AS total, count(*) AS groups, sum(size) / greatest(1, count(*) // 1024) AS cycle FROM n GROUP BY band),
+w AS (SELECT arg_max(band, groups * 1000 - band) AS last FROM b),
+s AS (SELECT split, target_share / (SELECT sum(target_share) FROM split_targets WHERE target_share > 0) AS share FROM split_targets WHERE target_share > 0),
+c AS (SELECT split, share, coalesce(sum(share) OVER (ORDER BY share DESC, split ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS low FROM s),
+q AS (SELECT p.*, ((p.before + p.size / 2) % b.cycle) / b.cycle AS at FROM p JOIN b USING (band)),
+a AS (SELECT q.root, q.size, q.band, c.split FROM q JOIN c ON c.low <= q.at WHERE q.band <> (SELECT last FROM w) QUALIFY row_number() OVER (PARTITION BY q.root ORDER BY c.low DESC) = 1),
+h AS (SELECT s.split, s.share, greatest(0.0, s.share * (SELECT sum(size) FROM n) - coalesce((SELECT sum(size) FROM a WHERE a.split = s.split), 0)) AS want FROM s),
+m AS (SELECT split, CASE WHEN (SELECT sum(want) FROM h) > 0 THEN want / (SELECT sum(want) FROM h) ELSE share END AS part, share FROM h),
+k AS (SELECT split, coalesce(sum(part) OVER (ORDER BY share DESC, split ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS low FROM m),
+z AS (SELECT root, split FROM a UNION ALL SELECT root, split FROM (SELECT q.root, k.split, k.low FROM q JOIN k ON k.low <= q.at WHERE q.band = (SELECT last FROM w) QUALIFY row_number() OVER (PARTITION BY q.root ORDER BY k.low DESC, k.split DESC) = 1))"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_terms": _terms(),
         "p1_ngrams": _ngrams(),
         "p1_found": f"SELECT field, term, mark FROM ({_terms()}) WHERE mark IS NOT NULL",
         "p2_found": _groups(),
+        "p2_split": f'{_splits()} SELECT t.rec_id, t.root AS "group", z.split FROM t JOIN z USING (root)',
+        "p2_report": f"""{_splits()} SELECT x.split, x.target_share, coalesce(y.records, 0) AS records, coalesce(y.groups, 0) AS groups, y.records / (SELECT count(*) FROM t) AS share
+FROM split_targets x LEFT JOIN (SELECT z.split, count(*) AS records, count(DISTINCT t.root) AS groups FROM t JOIN z USING (root) GROUP BY z.split) y USING (split)""",
         "p3_found": _pairs(),
         "p4_found": f"{_sized()} SELECT source FROM z WHERE size * max_repeats < target_share * (SELECT sum(size) FROM z)",
         "p3_coverage": f"{_near()} SELECT kind, eval_key, split, source, pairs, coverage FROM c",
         "p3_report": f"""{_near()} SELECT kind, split, source, count(*) AS rows, count(coverage) AS overlapping, sum(pairs) AS pairs, count(*) FILTER (coverage = 1) AS whole, round(avg(coverage), 6) AS mean_coverage FROM c GROUP BY ALL""",
+        "p4_mix": f"{_mixture()} SELECT rec_id, source, size, copies FROM x WHERE copies > 0",
+        "p4_report": f"""{_mixture()}, n AS (SELECT source, count(*) AS used_records, CAST(sum(copies) AS BIGINT) AS uses, max(copies) AS most_uses, CAST(sum(copies * size) AS BIGINT) AS used_size FROM x WHERE copies > 0 GROUP BY source)
+SELECT p.source, (SELECT count(*) FROM s WHERE s.source = p.source) AS records, CAST(p.size AS BIGINT) AS size, p.limited, coalesce(used_records, 0) AS used_records, coalesce(uses, 0) AS uses, coalesce(most_uses, 0) AS most_uses, coalesce(used_size, 0) AS used_size,
+ coalesce(used_size, 0) / sum(used_size) OVER () AS share_reached, round(p.budget / sum(p.budget) OVER (), 9) AS reachable_share FROM p LEFT JOIN n USING (source)""",
         "p6_found": _short(),
         "p6_sample": f"{_items()} SELECT field, category, key, rank, priority FROM d",
         "p6_report": f"""{_items()} SELECT t.field, t.category, t.target_share, t.min_count, t.available, CAST(t.wanted AS DOUBLE) AS wanted, coalesce(x.n, 0) AS seats, CAST(t.size AS BIGINT) AS sample_size, coalesce(x.n, 0) AS drawn, t.available < t.wanted AS short

@@ -133,7 +133,15 @@ def p4_mix(spark: SparkSession, d: str) -> DataFrame:
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
     sized = _sized(spark, d)
     plan = mixing.mixture_plan(sized, table(spark, d, "mix_targets"))
-    return mixing.mixture_report(spark, mixing.mixture(sized, plan), plan)
+    report = mixing.mixture_report(spark, mixing.mixture(sized, plan), plan)
+    return report.select("source", "records", "size", "limited", "used_records", "uses", "most_uses", "used_size", "share_reached", F.round("reachable_share", 9).alias("reachable_share"))
+
+
+def p4_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Targets, repeat limits, exponents and budgets of the mixture."""
+    plan = mixing.mixture_plan(_sized(spark, d), table(spark, d, "mix_targets"))
+    schema = "source string, share double, target_share double, max_repeats int, exponent double, budget double, limited boolean"
+    return spark.createDataFrame([tuple(p[c.split()[0]] for c in schema.split(", ")) for p in plan], schema)
 
 
 # 5

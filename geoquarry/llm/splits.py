@@ -62,9 +62,11 @@ def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def linked_groups(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``nodes`` (node) with ``root``, the representative of the node's group; a node without links is its own root."""
+    """``nodes`` (node) with ``root``, the smallest node of the node's group; a node without links is its own root."""
     _, roots = spanning_forest(link_edges(pairs))
-    return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    least = roots.groupBy("root").agg(F.min("node").alias("_least"))
+    named = roots.join(least, "root").select("node", F.col("_least").alias("root"))
+    return nodes.join(named, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
 def deal_groups(groups: DataFrame, targets: DataFrame, seed: int = 11) -> DataFrame:
@@ -83,7 +85,7 @@ def deal_groups(groups: DataFrame, targets: DataFrame, seed: int = 11) -> DataFr
     """
     share = [(r["split"], max(0.0, r["target_share"] or 0.0)) for r in targets.select("split", "target_share").collect()]
     whole = sum(s for _, s in share)
-    band = F.floor(F.log2(F.greatest(F.col("size"), F.lit(1)).cast("double"))).cast("int")
+    band = F.length(F.bin(F.greatest(F.col("size"), F.lit(1)).cast("bigint"))) - 1
     banded = groups.select("root", "size", band.alias("band"))
     if not whole:
         return banded.withColumn("split", F.lit(None).cast("string"))

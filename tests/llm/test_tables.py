@@ -69,7 +69,7 @@ def test_empty_tables(name, spark, empty, bare, data):
         df = QUERIES[name](spark, folder)
         assert df.dtypes == want
         rows = df.collect()
-        if not name.endswith(("_report", "_levels")) and name not in ("p4_found", "p6_found"):
+        if not name.endswith(("_report", "_levels", "_plan")) and name not in ("p4_found", "p6_found"):
             assert rows == []
 
 
@@ -158,13 +158,16 @@ def test_p2_split_keeps_groups_and_shares(spark, data):
 
 
 def test_p4_mixture_keeps_limits(spark, data):
+    plan = {r.source: r for r in QUERIES["p4_plan"](spark, data).collect()}
     report = QUERIES["p4_report"](spark, data).collect()
     short = {r.source for r in QUERIES["p4_found"](spark, data).collect()}
     for r in report:
-        assert r.most_uses <= r.max_repeats and r.used_size <= r.budget + 1e-6
+        p = plan[r.source]
+        assert r.most_uses <= p.max_repeats and r.used_size <= p.budget + 1e-6
         assert r.share_reached == pytest.approx(r.reachable_share, abs=0.005)
-        if r.source in short:
-            assert r.used_size == r.size * r.max_repeats
+        assert (p.exponent < 1) == r.limited == (r.source in short)
+        if r.limited:
+            assert r.used_size == r.size * p.max_repeats
     assert sum(r.reachable_share for r in report) == pytest.approx(1)
     mixed = QUERIES["p4_mix"](spark, data)
     assert mixed.agg(F.sum(F.col("size") * F.col("copies"))).first()[0] == sum(r.used_size for r in report)
