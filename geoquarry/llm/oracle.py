@@ -178,6 +178,17 @@ k AS (SELECT split, coalesce(sum(part) OVER (ORDER BY share DESC, split ROWS BET
 z AS (SELECT root, split FROM a UNION ALL SELECT root, split FROM (SELECT q.root, k.split, k.low FROM q JOIN k ON k.low <= q.at WHERE q.band = (SELECT last FROM w) QUALIFY row_number() OVER (PARTITION BY q.root ORDER BY k.low DESC, k.split DESC) = 1))"""
 
 
+def _copies() -> str:
+    """Lines that are valid JSON objects, with a text that two of them share if and only if they hold the same record."""
+    plain = SQUEEZED.format("value ->> '$'")
+    return f"""
+WITH v AS (SELECT raw_id, payload FROM raw_records WHERE json_valid(payload)),
+e AS (SELECT v.raw_id, j.key, j.type, CASE WHEN j.type = 'VARCHAR' THEN 's' || {plain} WHEN j.type IN ('BIGINT', 'UBIGINT', 'HUGEINT', 'DOUBLE') THEN 'n' || CAST(j.value AS DOUBLE)
+  WHEN j.type = 'ARRAY' THEN 'l' || CAST(CAST(j.value AS DOUBLE[]) AS VARCHAR) ELSE j.type || coalesce(j.value ->> '$', '') END AS form FROM v, json_each(v.payload) j),
+f AS (SELECT raw_id, string_agg(key || chr(30) || form, chr(31) ORDER BY key) AS form FROM e GROUP BY raw_id),
+c AS (SELECT raw_id, min(raw_id) OVER (PARTITION BY form) AS first_id, count(*) OVER (PARTITION BY form) AS n_copies FROM f)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_terms": _terms(),
@@ -195,6 +206,10 @@ FROM split_targets x LEFT JOIN (SELECT z.split, count(*) AS records, count(DISTI
         "p4_report": f"""{_mixture()}, n AS (SELECT source, count(*) AS used_records, CAST(sum(copies) AS BIGINT) AS uses, max(copies) AS most_uses, CAST(sum(copies * size) AS BIGINT) AS used_size FROM x WHERE copies > 0 GROUP BY source)
 SELECT p.source, (SELECT count(*) FROM s WHERE s.source = p.source) AS records, CAST(p.size AS BIGINT) AS size, p.limited, coalesce(used_records, 0) AS used_records, coalesce(uses, 0) AS uses, coalesce(most_uses, 0) AS most_uses, coalesce(used_size, 0) AS used_size,
  coalesce(used_size, 0) / sum(used_size) OVER () AS share_reached, round(p.budget / sum(p.budget) OVER (), 9) AS reachable_share FROM p LEFT JOIN n USING (source)""",
+        "p4_plan": f"""{_mixture()} SELECT source, size / total AS share, target_share, max_repeats, budget, limited,
+ CASE WHEN size = 0 OR m = 0 THEN 0.0 WHEN limited THEN round(ln(m) / ln(target_share / (size / total)), 9) ELSE 1.0 END AS exponent FROM p""",
+        "p5_found": f"{_copies()} SELECT first_id, raw_id AS copy_id FROM c WHERE raw_id <> first_id",
+        "p5_collapsed": f"{_copies()} SELECT r.*, c.n_copies FROM c JOIN raw_records r USING (raw_id) WHERE c.raw_id = c.first_id",
         "p6_found": _short(),
         "p6_sample": f"{_items()} SELECT field, category, key, rank, priority FROM d",
         "p6_report": f"""{_items()} SELECT t.field, t.category, t.target_share, t.min_count, t.available, CAST(t.wanted AS DOUBLE) AS wanted, coalesce(x.n, 0) AS seats, CAST(t.size AS BIGINT) AS sample_size, coalesce(x.n, 0) AS drawn, t.available < t.wanted AS short

@@ -141,7 +141,7 @@ def p4_plan(spark: SparkSession, d: str) -> DataFrame:
     """Targets, repeat limits, exponents and budgets of the mixture."""
     plan = mixing.mixture_plan(_sized(spark, d), table(spark, d, "mix_targets"))
     schema = "source string, share double, target_share double, max_repeats int, exponent double, budget double, limited boolean"
-    return spark.createDataFrame([tuple(p[c.split()[0]] for c in schema.split(", ")) for p in plan], schema)
+    return spark.createDataFrame([tuple(p[c.split()[0]] for c in schema.split(", ")) for p in plan], schema).withColumn("exponent", F.round("exponent", 9))
 
 
 # 5
