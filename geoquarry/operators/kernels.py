@@ -193,6 +193,24 @@ def set_match_cost(boxes: np.ndarray, scores: np.ndarray, truths: np.ndarray, cl
     return weights[0] * focal + weights[1] * l1 + weights[2] * (1 - (overlap - (hull - union) / hull))
 
 
+def set_match(preds: DataFrame, truths: DataFrame) -> DataFrame:
+    """Predictions and truths of each image paired at least cost of set prediction: image_id, det_id, gt_id, cost.
+
+    ``preds`` has normalised centre boxes (cx, cy, w, h) and scores by
+    class, ``truths`` centre boxes and cls; the smaller side is matched whole.
+    """
+
+    def run(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        p, t = p.sort_values("det_id").reset_index(drop=True), t.sort_values("gt_id").reset_index(drop=True)
+        if p.empty or t.empty:
+            return pd.DataFrame({"image_id": [], "det_id": [], "gt_id": [], "cost": []})
+        centre = ["cx", "cy", "w", "h"]
+        cost = set_match_cost(p[centre].to_numpy(float), np.stack(p["scores"].to_numpy()).astype(float), t[centre].to_numpy(float), t["cls"].to_numpy(int))
+        return pd.DataFrame([(p.image_id[i], p.det_id[i], t.gt_id[j], cost[i, j]) for i, j in assign(cost)], columns=["image_id", "det_id", "gt_id", "cost"])
+
+    return preds.groupBy("image_id").cogroup(truths.withColumnRenamed("image_id", "_image").groupBy("_image")).applyInPandas(run, "image_id bigint, det_id bigint, gt_id bigint, cost double")
+
+
 def knapsacks(lengths: list[int], capacity: int) -> list[list[int]]:
     """Places of ``lengths`` in packs: each time the largest length that fits, of equal lengths the last place first."""
     places: dict[int, list[int]] = {}

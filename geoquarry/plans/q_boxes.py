@@ -219,3 +219,30 @@ UNION ALL SELECT image_id, 1, CAST((c // 2) * (cw - lap) AS INTEGER), CAST((c %
 def crop_pyramid(spark: SparkSession, d: str) -> DataFrame:
     images = boxes(spark, d).select("image_id").distinct().select("image_id", (F.lit(64) + F.col("image_id") % 3).alias("w"), (F.lit(48) + F.col("image_id") % 5).alias("h"))
     return K.crop_boxes(images, "w", "h", 1, 0.25)
+
+
+@query(f"""WITH {BOXES}, {_AP}, own AS (SELECT cls, avg(ap) AS m FROM ap GROUP BY cls) SELECT CAST(i AS INTEGER) AS cls, round(coalesce(own.m, (SELECT avg(m) FROM own), 0.0), 6) AS map FROM range(5) t(i) LEFT JOIN own ON own.cls = i""")
+def class_map(spark: SparkSession, d: str) -> DataFrame:
+    """Five classes of which three occur: the others take the mean."""
+    return metrics.class_maps(_ap(spark, d), 5).select("cls", F.round("map", 6).alias("map"))
+
+
+@query(f"""WITH {BOXES}, {_AP}, f AS (SELECT cls, 2 * precision * recall / (precision + recall + 1e-16) AS f1, conf, precision, recall FROM pr_curve WHERE threshold = 0.5),
+b AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY cls ORDER BY f1 DESC, conf DESC, precision DESC, recall DESC) = 1)
+SELECT round(avg(precision), 6) AS mp, round(avg(recall), 6) AS mr, (SELECT round(avg(ap), 6) FROM ap) AS map FROM b""")
+def mean_results(spark: SparkSession, d: str) -> DataFrame:
+    curve = metrics.precision_recall(detections(spark, d), truths(spark, d), _matches(spark, d))
+    out = metrics.mean_results(metrics.best_f1(curve), metrics.average_precision(curve))
+    return out.select(*[F.round(c, 6).alias(c) for c in ("mp", "mr", "map")])
+
+
+@query(f"WITH {BOXES}, a AS (SELECT image_id, count(*) AS n FROM det GROUP BY image_id), b AS (SELECT image_id, count(*) AS n FROM gt GROUP BY image_id) SELECT image_id, least(a.n, b.n) AS pairs, least(a.n, b.n) AS predictions, least(a.n, b.n) AS truths FROM a JOIN b USING (image_id)")
+def set_matching(spark: SparkSession, d: str) -> DataFrame:
+    """Every image's smaller side is matched as a whole, each prediction and each truth once."""
+    scores = F.array(*[F.when(F.col("cls") == i, F.col("conf")).otherwise(0.1) for i in range(3)])
+    size = 128.0
+    unit = [(c / size).alias(n) for c, n in zip(G.xyxy_to_xywh(G.box()), ("cx", "cy", "w", "h"))]
+    preds = detections(spark, d).select("image_id", "det_id", *unit, scores.alias("scores"))
+    true = truths(spark, d).select("image_id", "gt_id", *unit, "cls")
+    pairs = kernels.set_match(preds, true)
+    return pairs.groupBy("image_id").agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("det_id").alias("predictions"), F.count_distinct("gt_id").alias("truths"))

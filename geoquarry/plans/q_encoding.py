@@ -94,6 +94,15 @@ def pack_knapsack(spark: SparkSession, d: str) -> DataFrame:
     return _packs(spark, d).select("batch_id", "pack", "keys", F.size("input_ids").alias("n"))
 
 
+@query(f"""WITH RECURSIVE {DIALOGUES}, {_TURNS}, {_fold('', False)}, q AS (SELECT ann_id, len(ids) AS n FROM r WHERE o = c - 1), b AS (SELECT (row_number() OVER (ORDER BY ann_id) - 1) // 1000 AS batch_id, n FROM q)
+SELECT batch_id, count(*) AS rows, CAST(sum(n) AS BIGINT) AS tokens, true AS fits FROM b GROUP BY batch_id""")
+def pack_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Every row is in one pack, with all its tokens, and every pack has the same length."""
+    packs = _packs(spark, d)
+    used = F.size(F.filter("attention_mask", lambda m: m > 0))
+    return packs.groupBy("batch_id").agg(F.sum(F.size("keys")).alias("rows"), F.sum(used).alias("tokens"), ((F.min(F.size("input_ids")) == 129) & (F.max(F.size("input_ids")) == 129)).alias("fits"))
+
+
 _MASK = """m AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(floor(CAST(v AS DOUBLE) * 4) AS INTEGER) + 3) AS raw FROM embeddings),
 k AS (SELECT vec_id, list_sort(raw) AS mask FROM m)"""
 

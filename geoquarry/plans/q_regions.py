@@ -211,3 +211,11 @@ def region_pipeline(spark: SparkSession, d: str) -> DataFrame:
 def padded_token_counts(spark: SparkSession, d: str) -> DataFrame:
     tokens = K.padded(K.region_tokens(R.gaussians(raster(spark, d)), 8, 8))
     return K.token_counts(tokens).select("image_id", "n_total")
+
+
+@query(f"WITH {RASTER} SELECT 'pipeline' AS step, image_id, count(*) AS pixels FROM raster GROUP BY image_id UNION ALL SELECT 'split', image_id, count(*) FROM raster GROUP BY image_id")
+def region_totals(spark: SparkSession, d: str) -> DataFrame:
+    """No pixel is lost on the way: the regions' sizes add up to the image after the whole pipeline and after the split."""
+    whole = R.pipeline(raster(spark, d), COLOURS).groupBy("image_id").agg(F.sum("size").alias("pixels"))
+    split = R.split_large(raster(spark, d), 24, 8).groupBy("image_id").agg(F.count(F.lit(1)).alias("pixels"))
+    return whole.select(F.lit("pipeline").alias("step"), "image_id", "pixels").unionByName(split.select(F.lit("split").alias("step"), "image_id", "pixels"))
