@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import re
 import zlib
 from collections import deque
@@ -326,7 +325,6 @@ class Profiles:
         return total
 
 
-@functools.cache
 def basic_profiles() -> Profiles:
     """Profiles of the basic words alone."""
     return Profiles(np.zeros((len(LANGUAGES), (1 << PROFILE_BITS) + 1), np.int64))
@@ -438,7 +436,7 @@ def skeleton(question: list[str], answer: list[str], truth: list[str], values: d
     return " ".join(out)
 
 
-def judge(question: str | None, answer: str | None, truth: str | None, profiles: Profiles | None = None) -> tuple[str | None, str | None, bool]:
+def judge(question: str | None, answer: str | None, truth: str | None, profiles: Profiles) -> tuple[str | None, str | None, bool]:
     """Defect known from the row alone, else the form of an answer that may be truncated and whether it has a full stop."""
     text = (answer or "").replace("’", "'").replace("\u200b", "").strip()
     low = text.lower()
@@ -454,7 +452,7 @@ def judge(question: str | None, answer: str | None, truth: str | None, profiles:
         return "refusal", None, False
     if a == t:
         return None, None, False
-    if q and other_language(asked, q, low, a, profiles or basic_profiles()):
+    if q and other_language(asked, q, low, a, profiles):
         return "other_language", None, False
     if len(a) == 1 and not HAN.match(a[0]):
         return ("truncated", None, False) if CUT.search(text) and not re.search(r"^\W*[-–—]", text) else (None, None, False)

@@ -168,6 +168,9 @@ def test_copies_of_one_hot_record(spark):
     assert len(got) == 903 and got[899] == (0, 900) and got[1002] == (1002, 1) and got[1004] == (1003, 2)
 
 
+BASIC = pairs.basic_profiles()
+
+
 @pytest.mark.parametrize(
     ("q", "a", "t", "want"),
     [
@@ -195,7 +198,7 @@ def test_copies_of_one_hot_record(spark):
     ],
 )
 def test_defects_of_a_row(q, a, t, want):
-    assert pairs.judge(q, a, t)[0] == want
+    assert pairs.judge(q, a, t, BASIC)[0] == want
 
 
 def test_truncated_by_form(spark):
@@ -322,7 +325,7 @@ def test_profiles_are_learned_from_the_rows(spark):
     rows += [(900, "Is there a crane at the quay of Z?", "Grulajos zona", "Yes")]
     df = spark.createDataFrame(rows, "rec_id bigint, question string, answer string, ground_truth string")
     assert {r.rec_id: r.defect for r in pairs.defects(df).collect()} == {900: "other_language"}
-    assert pairs.judge("Is there a crane at the quay of Z?", "Grulajos zona", "Yes")[0] is None
+    assert pairs.judge("Is there a crane at the quay of Z?", "Grulajos zona", "Yes", BASIC)[0] is None
 
 
 @settings(max_examples=300, deadline=None)
