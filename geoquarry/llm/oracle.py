@@ -89,6 +89,19 @@ g AS (SELECT field, rec, n, array_to_string(w[i:i + n - 1], ' ') AS ngram FROM (
 SELECT field, ngram, CAST(n AS INTEGER) AS n, count(*) AS occurrences, count(DISTINCT rec) AS records FROM g GROUP BY ALL"""
 
 
+def _runs() -> str:
+    return f"""
+WITH vals AS (
+  SELECT 'ground_truth' AS field, {_key()} AS rec, {FORM.format("ground_truth")} AS term FROM vqa_records
+  UNION ALL
+  SELECT 'obj_cls', {NAME.format("image")}, {FORM.format("o.obj_cls")} FROM (SELECT image, unnest(objects) AS o FROM annotations) WHERE {NAME.format("image")} IS NOT NULL
+), w AS (SELECT field, rec, md5(term) AS value, md5('0' || chr(31) || field || chr(31) || term) AS place, string_split(term, ' ') AS w FROM vals WHERE term <> ''),
+p AS (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT field, rec, n, {{'place': place, 'i': i, 'value': value}} AS f, array_to_string(w[i:i + n - 1], ' ') AS ngram FROM (SELECT *, unnest(range(1, len(w) - i + 2)) AS n FROM p)),
+c AS (SELECT field, ngram, n, min(f) AS f, count(*) AS occurrences, count(DISTINCT rec) AS records FROM g GROUP BY ALL)
+SELECT field, f.value AS value, CAST(f.i AS INTEGER) AS start, CAST(min(n) AS INTEGER) AS shortest, CAST(max(n) AS INTEGER) AS longest, occurrences, records FROM c GROUP BY field, f, occurrences, records"""
+
+
 WORDS = r"list_filter(string_split(regexp_replace(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '')"
 
 
@@ -193,6 +206,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_terms": _terms(),
         "p1_ngrams": _ngrams(),
+        "p1_runs": _runs(),
         "p1_found": f"SELECT field, term, mark FROM ({_terms()}) WHERE mark IS NOT NULL",
         "p2_found": _groups(),
         "p2_split": f'{_splits()} SELECT t.rec_id, t.root AS "group", z.split FROM t JOIN z USING (root)',

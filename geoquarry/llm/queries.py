@@ -40,6 +40,11 @@ def p1_ngrams(spark: SparkSession, d: str) -> DataFrame:
     return frequency.word_ngrams(_values(spark, d))
 
 
+def p1_runs(spark: SparkSession, d: str) -> DataFrame:
+    """All n-grams of any length inside the values, a row for each run of n-grams with the same places."""
+    return frequency.word_runs(_values(spark, d))
+
+
 # 2
 
 

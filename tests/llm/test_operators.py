@@ -1,5 +1,6 @@
 """The training-data operators on small cases of their own."""
 
+import hashlib
 import json
 import math
 import os
@@ -38,6 +39,40 @@ def test_suffix_intervals_count_all_ngrams(spark, rows):
     assert got == {k: (n, len(s)) for k, (n, s) in want.items()}
 
 
+def test_no_ngram_is_too_long_to_be_counted(spark):
+    """Forty common words in the middle of three values of two records, and a word that repeats: every n-gram has its numbers."""
+    middle = [f"m{i}" for i in range(40)]
+    rows = [("a", ["x", *middle, "y"]), ("a", [*middle, "z"]), ("b", ["x", "x", *middle]), ("b", ["r"] * 20), (None, ["r"] * 9)]
+    df = spark.createDataFrame([("f", r, " ".join(w)) for r, w in rows], "field string, record string, value string")
+    want = {}
+    for record, w in rows:
+        for i in range(len(w)):
+            for j in range(i + 1, len(w) + 1):
+                g = want.setdefault(tuple(w[i:j]), [0, set()])
+                g[0] += 1
+                g[1].add(record)
+    texts = {hashlib.md5(" ".join(w).encode()).hexdigest(): w for _, w in rows}
+    got = {}
+    for r in frequency.word_runs(df).collect():
+        for n in range(r.shortest, r.longest + 1):
+            gram = tuple(texts[r.value][r.start - 1 : r.start - 1 + n])
+            assert len(gram) == n and gram not in got
+            got[gram] = (r.occurrences, r.records)
+    assert got == {k: (n, len(s)) for k, (n, s) in want.items()}
+    assert got[tuple(middle)] == (3, 2) and got[("r",) * 20] == (1, 1)
+
+
+def test_values_come_from_the_whole_suffix_array(spark, monkeypatch):
+    """Marks are read off the intervals over all suffixes, those inside the values included."""
+    seen = []
+    walk = frequency.suffix_ranks
+    monkeypatch.setattr(frequency, "suffix_ranks", lambda texts: seen.append(walk(texts)) or seen[-1])
+    df = spark.createDataFrame([("f", str(i), v) for i, v in enumerate(["a b c"] * 3 + ["b c"])], "field string, record string, value string")
+    got = {(r.term, r.occurrences, r.records, r.mark) for r in frequency.value_frequencies(df).collect()}
+    assert got == {("a b c", 3, 3, "common"), ("b c", 1, 1, "rare")}
+    assert seen[0][0].where("left > 1").count() == 7
+
+
 @settings(max_examples=6, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 25), st.integers(0, 25)), max_size=40))
 def test_forest_spans_components(spark, links):
