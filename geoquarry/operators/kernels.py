@@ -11,17 +11,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Cells of the padded costs of the small assignments that are solved side by side.
+CELLS = 1 << 19
+CORNERS = ("x1", "y1", "x2", "y2")
+
 
 def box_iou(a: np.ndarray, b: np.ndarray, eps: float = 1e-7) -> np.ndarray:
-    """Overlaps of all boxes of ``a`` with all of ``b``."""
-    low = np.maximum(a[:, None, :2], b[None, :, :2])
-    high = np.minimum(a[:, None, 2:4], b[None, :, 2:4])
-    inter = np.prod(np.clip(high - low, 0, None), axis=2)
-    size = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
-    return inter / (size(a)[:, None] + size(b)[None] - inter + eps)
+    """Overlaps of all boxes of ``a`` with all of ``b``, or of each of a stack of both."""
+    side = lambda k: np.clip(np.minimum(a[..., :, None, k + 2], b[..., None, :, k + 2]) - np.maximum(a[..., :, None, k], b[..., None, :, k]), 0, None)
+    inter = side(0) * side(1)
+    size = lambda x: (x[..., 2] - x[..., 0]) * (x[..., 3] - x[..., 1])
+    return inter / (size(a)[..., :, None] + size(b)[..., None, :] - inter + eps)
 
 
 def suppress(boxes: np.ndarray, scores: np.ndarray, limit: float) -> list[int]:
@@ -163,19 +167,171 @@ def assign_within(cost: np.ndarray, most: float) -> tuple[list[tuple[int, int]],
     return pairs, [i for i in range(cost.shape[0]) if i not in used_r], [j for j in range(cost.shape[1]) if j not in used_c]
 
 
-def optimal_match(dets: DataFrame, truths: DataFrame, most: float = 0.8) -> DataFrame:
-    """Pairs of least total 1 - IoU in each image, none above ``most``."""
+def by_size(rows: np.ndarray, cols: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of groups of like size, so many at a time as fill CELLS when all are padded to the largest; a larger one comes alone."""
+    order = np.lexsort((cols, rows))
+    start = widest = 0
+    for at, (n, m) in enumerate(zip(rows[order].tolist(), cols[order].tolist())):
+        if at > start and (at + 1 - start) * n * max(widest, m) > CELLS:
+            yield order[start:at]
+            start, widest = at, 0
+        widest = max(widest, m)
+    if len(order):
+        yield order[start:]
 
-    def run(d: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        d, t = d.sort_values("det_id").reset_index(drop=True), t.sort_values("gt_id").reset_index(drop=True)
-        corner = ["x1", "y1", "x2", "y2"]
-        if d.empty or t.empty:
-            return pd.DataFrame({"image_id": [], "det_id": [], "gt_id": [], "cost": []})
-        cost = 1 - box_iou(d[corner].to_numpy(float), t[corner].to_numpy(float))
-        pairs, _, _ = assign_within(cost, most)
-        return pd.DataFrame([(d.image_id[i], d.det_id[i], t.gt_id[j], cost[i, j]) for i, j in pairs], columns=["image_id", "det_id", "gt_id", "cost"])
 
-    return dets.groupBy("image_id").cogroup(truths.withColumnRenamed("image_id", "_image").groupBy("_image")).applyInPandas(run, "image_id bigint, det_id bigint, gt_id bigint, cost double")
+def padded(size: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Rows of the groups ``own`` where groups of ``size`` rows stand one after the other: groups x rows, -1 where a group has no more."""
+    at = np.arange(size[own].max(initial=0))
+    return np.where(at < size[own][:, None], (np.cumsum(size) - size)[own][:, None] + at, -1)
+
+
+def assign_many(cost: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """``assign`` for a stack of finite costs, groups x rows x columns: the row of each column of each group, or -1.
+
+    The first ``rows`` of a group are its own, and its columns are those that
+    ``cols`` marks, no fewer than its rows. Each row is placed in all groups
+    side by side, by the arithmetic of ``assign``, so pairs and ties are the
+    same. Groups whose path has ended stay idle until they are many, then
+    the others go on without them.
+    """
+    u, v = np.zeros(cost.shape[:2]), np.zeros((cost.shape[0], cost.shape[2]))
+    row_of, shut = np.full(v.shape, -1, np.int32), np.where(cols, 0.0, np.inf)
+    for i in range(cost.shape[1]):
+        own = np.flatnonzero(rows > i)
+        least = cost[own, i] - v[own] + shut[own]
+        g = np.arange(len(own))
+        j = np.argmin(least, 1)
+        step = least[g, j]
+        u[own, i] += step
+        taken = row_of[own, j] >= 0
+        row_of[own[~taken], j[~taken]] = i
+        # The rest walk on: least reduced costs, the columns they come from, columns that are done (as factors, and as costs), rows seen.
+        own, j, least = own[taken], j[taken], least[taken] - step[taken, None]
+        g, live = np.arange(len(own)), np.ones(len(own), bool)
+        a, b, bar, done, seen = u[own], v[own], shut[own], np.zeros(least.shape), np.zeros((len(own), u.shape[1]))
+        way, held = np.full(least.shape, -1, np.int32), row_of[own]
+        seen[:, i] = 1
+        while len(own):
+            done[g, j], bar[g, j], least[g, j] = 1, np.inf, np.inf
+            r = held[g, j]
+            seen[g, r] = 1
+            reduced = cost[own, r] - a[g, r][:, None] - b + bar
+            np.copyto(way, j[:, None], where=reduced < least, casting="same_kind")
+            np.minimum(least, reduced, out=least)
+            j = np.argmin(least, 1)
+            step = least[g, j][:, None]
+            # A group that is idle may have no column left.
+            step[~live] = 0
+            a += seen * step
+            b -= done * step
+            least -= step
+            ended = np.flatnonzero(live & (held[g, j] < 0))
+            if not len(ended):
+                continue
+            live[ended] = False
+            u[own[ended]], v[own[ended]] = a[ended], b[ended]
+            walk, at = ended, j[ended]
+            while len(walk):
+                back = way[walk, at]
+                row_of[own[walk], at] = np.where(back < 0, i, row_of[own[walk], back])
+                walk, at = walk[back >= 0], back[back >= 0]
+            if live.sum() * 3 < len(live) * 2:
+                own, j, least, a, b, bar, done, seen, way, held = (x[live] for x in (own, j, least, a, b, bar, done, seen, way, held))
+                g, live = np.arange(len(own)), np.ones(len(own), bool)
+    return row_of
+
+
+def joined(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parts that hang together in each of a stack of links, groups x rows x columns: of each row and each column the first row of its part, the count of rows where it has no link."""
+    none = np.int32(near.shape[1])
+    rows = np.where(near.any(2), np.arange(none, dtype=np.int32), none)
+    while True:
+        cols = np.where(near, rows[:, :, None], none).min(1, initial=none)
+        least = np.minimum(rows, np.where(near, cols[:, None], none).min(2, initial=none))
+        if (least == rows).all():
+            return rows, cols
+        rows = least
+
+
+def assign_many_within(cost: np.ndarray, rows: np.ndarray, cols: np.ndarray, most: float) -> np.ndarray:
+    """``assign_within`` for a stack of costs with ``rows`` and ``cols`` of each group: group, row and column of each pair, in this order."""
+    count, high, wide = cost.shape
+    row_part, col_part = joined((cost <= most) & (np.arange(high) < rows[:, None])[:, :, None] & (np.arange(wide) < cols[:, None])[:, None])
+    row_g, row_i = np.nonzero(row_part < high)
+    col_g, col_j = np.nonzero(col_part < high)
+    # A part is a problem of its own: its rows and its columns in order, then a column for each row that may stay open.
+    parts, row_at = np.unique(row_g * high + row_part[row_g, row_i], return_inverse=True)
+    col_at = np.searchsorted(parts, col_g * high + col_part[col_g, col_j])
+    row_i, col_j = row_i[np.argsort(row_at, kind="stable")], col_j[np.argsort(col_at, kind="stable")]
+    n, m, owner = np.bincount(row_at, minlength=len(parts)), np.bincount(col_at, minlength=len(parts)), parts // max(high, 1)
+    found = [np.zeros((0, 3), int)]
+    for own in by_size(n, n + m):
+        r_at, c_at = padded(n, own), padded(m, own)
+        r, c = row_i[r_at], col_j[c_at]
+        part = cost[owner[own][:, None, None], r[:, :, None], c[:, None]]
+        laid = np.concatenate([np.where(part > most, most * 2 + 1e6, part), np.full((len(own), r.shape[1], r.shape[1]), most)], 2)
+        row = assign_many(laid, n[own], np.concatenate([c_at >= 0, r_at >= 0], 1))[:, : c.shape[1]]
+        p, j = np.nonzero(row >= 0)
+        i = row[p, j]
+        found.append(np.stack([owner[own][p], r[p, i], c[p, j]], 1)[part[p, i, j] <= most])
+    pairs = np.concatenate(found)
+    return pairs[np.lexsort((pairs[:, 2], pairs[:, 1], pairs[:, 0]))]
+
+
+def images_of(rows: DataFrame, is_det: Column, det: list[str], true: list[str]) -> DataFrame:
+    """image_id, dets, truths: the rows of each image that has both, as lists of ``det`` and of ``true``; rows without an image meet none."""
+    lists = [F.collect_list(F.when(c, F.struct(*names))).alias(n) for c, names, n in ((is_det, det, "dets"), (~is_det, true, "truths"))]
+    return rows.where("image_id is not null").groupBy("image_id").agg(*lists).where("size(dets) > 0 and size(truths) > 0")
+
+
+def _images(dets: DataFrame, truths: DataFrame, det: list[str], true: list[str]) -> DataFrame:
+    """As ``images_of``, from two tables."""
+    a, b = (x.groupBy("image_id").agg(F.collect_list(F.struct(*names)).alias(n)) for x, names, n in ((dets, det, "dets"), (truths, true, "truths")))
+    return a.join(b, "image_id")
+
+
+def _fields(lists: pa.ListArray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Lengths of lists of rows, and their fields one after the other, each list by its first field."""
+    flat = lists.flatten()
+    size = lists.value_lengths().to_numpy()
+    names = [f.name for f in flat.type]
+    order = np.lexsort((flat.field(names[0]).to_numpy(zero_copy_only=False), np.repeat(np.arange(len(size)), size)))
+    out = {}
+    for n in names:
+        out[n] = flat.field(n).to_numpy(zero_copy_only=False)[order]
+    return size, out
+
+
+_PAIRS = "image_id bigint, det_id bigint, gt_id bigint, cost double"
+
+
+def _pairs(image: pa.Array, own: np.ndarray, det: np.ndarray, true: np.ndarray, cost: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([image.take(pa.array(own)).cast(pa.int64()), pa.array(det, pa.int64()), pa.array(true, pa.int64()), pa.array(cost, pa.float64())], ["image_id", "det_id", "gt_id", "cost"])
+
+
+DET, TRUE = ["det_id", *CORNERS], ["gt_id", *CORNERS]
+
+
+def optimal_match_images(images: DataFrame, most: float = 0.8) -> DataFrame:
+    """``optimal_match`` of rows of ``images_of``, with DET and TRUE as lists. Images of like size are solved side by side."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (n, d), (m, t) = _fields(batch.column(1)), _fields(batch.column(2))
+            a, b = (np.stack([x[k].astype(float) for k in CORNERS], 1) for x in (d, t))
+            for own in by_size(n, m):
+                r, c = padded(n, own), padded(m, own)
+                cost = 1 - box_iou(a[r], b[c])
+                g, i, j = assign_many_within(cost, n[own], m[own], most).T
+                yield _pairs(batch.column(0), own[g], d["det_id"][r[g, i]], t["gt_id"][c[g, j]], cost[g, i, j])
+
+    return images.select("image_id", "dets", "truths").mapInArrow(run, _PAIRS)
+
+
+def optimal_match(dets: DataFrame, truths: DataFrame, most: float = 0.8) -> DataFrame:
+    """Pairs of least total 1 - IoU in each image, none above ``most``."""
+    return optimal_match_images(_images(dets, truths, DET, TRUE), most)
 
 
 def set_match_cost(boxes: np.ndarray, scores: np.ndarray, truths: np.ndarray, classes: np.ndarray, alpha: float = 0.25, gamma: float = 2.0, weights: tuple[float, float, float] = (1.0, 5.0, 2.0)) -> np.ndarray:
