@@ -299,7 +299,8 @@ def _fields(lists: pa.ListArray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     order = np.lexsort((flat.field(names[0]).to_numpy(zero_copy_only=False), np.repeat(np.arange(len(size)), size)))
     out = {}
     for n in names:
-        out[n] = flat.field(n).to_numpy(zero_copy_only=False)[order]
+        x = flat.field(n)
+        out[n] = (x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1) if pa.types.is_list(x.type) else x.to_numpy(zero_copy_only=False))[order]
     return size, out
 
 
@@ -335,36 +336,63 @@ def optimal_match(dets: DataFrame, truths: DataFrame, most: float = 0.8) -> Data
 
 
 def set_match_cost(boxes: np.ndarray, scores: np.ndarray, truths: np.ndarray, classes: np.ndarray, alpha: float = 0.25, gamma: float = 2.0, weights: tuple[float, float, float] = (1.0, 5.0, 2.0)) -> np.ndarray:
-    """Costs of set prediction: focal class cost, L1 distance of centre boxes and 1 - GIoU, weighted."""
-    p = scores[:, classes]
-    focal = alpha * (1 - p) ** gamma * -np.log(p + 1e-8) - (1 - alpha) * p**gamma * -np.log(1 - p + 1e-8)
-    l1 = np.abs(boxes[:, None] - truths[None]).sum(2)
-    corners = lambda b: np.concatenate([b[:, :2] - b[:, 2:] / 2, b[:, :2] + b[:, 2:] / 2], 1)
+    """Costs of set prediction: focal class cost, L1 distance of centre boxes and 1 - GIoU, weighted; of one group or of each of a stack."""
+    focal = alpha * (1 - scores) ** gamma * -np.log(scores + 1e-8) - (1 - alpha) * scores**gamma * -np.log(1 - scores + 1e-8)
+    focal = np.take_along_axis(focal, np.broadcast_to(classes[..., None, :], (*scores.shape[:-1], classes.shape[-1])), -1)
+    far = [np.abs(boxes[..., :, None, k] - truths[..., None, :, k]) for k in range(4)]
+    l1 = far[0] + far[1] + far[2] + far[3]
+    corners = lambda b: np.concatenate([b[..., :2] - b[..., 2:] / 2, b[..., :2] + b[..., 2:] / 2], -1)
     a, b = corners(boxes), corners(truths)
-    hull = np.prod(np.maximum(a[:, None, 2:], b[None, :, 2:]) - np.minimum(a[:, None, :2], b[None, :, :2]), axis=2) + 1e-7
+    side = lambda k: np.maximum(a[..., :, None, k + 2], b[..., None, :, k + 2]) - np.minimum(a[..., :, None, k], b[..., None, :, k])
+    hull = side(0) * side(1) + 1e-7
     overlap = box_iou(a, b)
-    size = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
-    total = size(a)[:, None] + size(b)[None]
+    size = lambda x: (x[..., 2] - x[..., 0]) * (x[..., 3] - x[..., 1])
+    total = size(a)[..., :, None] + size(b)[..., None, :]
     union = total / (1 + overlap)
     return weights[0] * focal + weights[1] * l1 + weights[2] * (1 - (overlap - (hull - union) / hull))
 
 
+CENTRES = ("cx", "cy", "w", "h")
+PREDICTION, CENTRED = ["det_id", *CENTRES, "scores"], ["gt_id", *CENTRES, "cls"]
+
+
+def set_match_images(images: DataFrame) -> DataFrame:
+    """``set_match`` of rows of ``images_of``, with PREDICTION and CENTRED as lists. Images of like size are solved side by side."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (n, p), (m, t) = _fields(batch.column(1)), _fields(batch.column(2))
+            a, b = (np.stack([x[k].astype(float) for k in CENTRES], 1) for x in (p, t))
+            scores, known = p["scores"].astype(float), ~np.isnan(t["cls"].astype(float))
+            cls = np.where(known, t["cls"], 0).astype(int)
+            for turned in (False, True):
+                part = np.flatnonzero((n > m) == turned)
+                for own in (part[at] for at in by_size(n[part], m[part])):
+                    r, c = padded(n, own), padded(m, own)
+                    cost = set_match_cost(a[r], scores[r], b[c], cls[c])
+                    # What is unknown has no cost; it is paired after all that has one.
+                    laid = np.where(np.isfinite(cost) & known[c][:, None], cost, 1e6)
+                    if turned:
+                        row = assign_many(laid.transpose(0, 2, 1), m[own], r >= 0)
+                        g, i = np.nonzero(row >= 0)
+                        j = row[g, i]
+                    else:
+                        row = assign_many(laid, n[own], c >= 0)
+                        g, j = np.nonzero(row >= 0)
+                        i = row[g, j]
+                    yield _pairs(batch.column(0), own[g], p["det_id"][r[g, i]], t["gt_id"][c[g, j]], laid[g, i, j])
+
+    return images.select("image_id", "dets", "truths").mapInArrow(run, _PAIRS)
+
+
 def set_match(preds: DataFrame, truths: DataFrame) -> DataFrame:
     """Predictions and truths of each image paired at least cost of set prediction: image_id, det_id, gt_id, cost.
 
     ``preds`` has normalised centre boxes (cx, cy, w, h) and scores by
     class, ``truths`` centre boxes and cls; the smaller side is matched whole.
+    Pairs of unknown cost, such as those of a null, count 1e6.
     """
-
-    def run(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        p, t = p.sort_values("det_id").reset_index(drop=True), t.sort_values("gt_id").reset_index(drop=True)
-        if p.empty or t.empty:
-            return pd.DataFrame({"image_id": [], "det_id": [], "gt_id": [], "cost": []})
-        centre = ["cx", "cy", "w", "h"]
-        cost = set_match_cost(p[centre].to_numpy(float), np.stack(p["scores"].to_numpy()).astype(float), t[centre].to_numpy(float), t["cls"].to_numpy(int))
-        return pd.DataFrame([(p.image_id[i], p.det_id[i], t.gt_id[j], cost[i, j]) for i, j in assign(cost)], columns=["image_id", "det_id", "gt_id", "cost"])
-
-    return preds.groupBy("image_id").cogroup(truths.withColumnRenamed("image_id", "_image").groupBy("_image")).applyInPandas(run, "image_id bigint, det_id bigint, gt_id bigint, cost double")
+    return set_match_images(_images(preds, truths, PREDICTION, CENTRED))
 
 
 def knapsacks(lengths: list[int], capacity: int) -> list[list[int]]:

@@ -1,6 +1,7 @@
 """Assignments of many images side by side."""
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -64,3 +65,26 @@ def test_assignment_matches_images_together(spark, data):
         want |= {(image, d.det_id.iloc[i], t.gt_id.iloc[j], cost[i, j]) for i, j in kernels.assign_within(cost, 0.8)[0]}
     assert got == want and got
     assert {tuple(r) for r in kernels.optimal_match(detections(spark, data), truths(spark, data)).collect()} == want
+
+
+def test_set_matching_matches_images_together(spark, data):
+    assert reads_and_cogroups(entry.queries()["set_matching"](spark, data)) == (1, 0)
+
+
+def test_set_match_pairs_unknown_costs_last(spark):
+    """A box or class that is null leaves its costs unknown; a null class raised before, and other unknown costs could keep the search from ending."""
+    preds = spark.createDataFrame([(1, 1, 0.2, 0.2, 0.1, 0.1, [0.9, 0.1]), (1, 2, None, 0.2, 0.1, 0.1, [0.9, 0.1]), (1, 3, 0.7, 0.7, 0.1, 0.1, [0.1, 0.9]), (2, 1, None, 0.5, 0.1, 0.1, [0.5, 0.5]), (3, 1, 0.5, 0.5, 0.1, 0.1, [0.5, 0.5])], "image_id long, det_id long, cx double, cy double, w double, h double, scores array<double>")
+    truths = spark.createDataFrame([(1, 1, 0.7, 0.7, 0.1, 0.1, 1), (1, 2, 0.2, 0.2, 0.1, 0.1, 0), (2, 1, 0.5, 0.5, 0.1, 0.1, 0), (2, 2, 0.4, 0.5, 0.1, 0.1, None), (4, 1, 0.5, 0.5, 0.1, 0.1, 0)], "image_id long, gt_id long, cx double, cy double, w double, h double, cls int")
+    rows = {(r.image_id, r.det_id, r.gt_id): r.cost for r in kernels.set_match(preds, truths).collect()}
+    assert set(rows) == {(1, 1, 2), (1, 3, 1), (2, 1, 1)} and rows[2, 1, 1] == pytest.approx(1e6)
+
+
+@pytest.mark.parametrize("n, m", [(3, 7), (7, 3), (4, 4)])
+def test_set_match_is_least_in_either_direction(spark, n, m):
+    rng = np.random.default_rng(n)
+    p, t, scores, cls = rng.random((n, 4)), rng.random((m, 4)), rng.random((n, 3)), rng.integers(0, 3, m)
+    preds = spark.createDataFrame([(5, i, *map(float, p[i]), scores[i].tolist()) for i in range(n)], "image_id long, det_id long, cx double, cy double, w double, h double, scores array<double>")
+    truths = spark.createDataFrame([(5, i, *map(float, t[i]), int(cls[i])) for i in range(m)], "image_id long, gt_id long, cx double, cy double, w double, h double, cls int")
+    got = {(r.det_id, r.gt_id): r.cost for r in kernels.set_match(preds, truths).collect()}
+    cost = kernels.set_match_cost(p, scores, t, cls)
+    assert got == {(i, j): cost[i, j] for i, j in kernels.assign(cost)}
