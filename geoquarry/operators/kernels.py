@@ -270,7 +270,7 @@ def assign_many_within(cost: np.ndarray, rows: np.ndarray, cols: np.ndarray, mos
         r_at, c_at = padded(n, own), padded(m, own)
         r, c = row_i[r_at], col_j[c_at]
         part = cost[owner[own][:, None, None], r[:, :, None], c[:, None]]
-        laid = np.concatenate([np.where(part > most, most * 2 + 1e6, part), np.full((len(own), r.shape[1], r.shape[1]), most)], 2)
+        laid = np.concatenate([np.where(part <= most, part, most * 2 + 1e6), np.full((len(own), r.shape[1], r.shape[1]), most)], 2)
         row = assign_many(laid, n[own], np.concatenate([c_at >= 0, r_at >= 0], 1))[:, : c.shape[1]]
         p, j = np.nonzero(row >= 0)
         i = row[p, j]

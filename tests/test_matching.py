@@ -88,3 +88,13 @@ def test_set_match_is_least_in_either_direction(spark, n, m):
     got = {(r.det_id, r.gt_id): r.cost for r in kernels.set_match(preds, truths).collect()}
     cost = kernels.set_match_cost(p, scores, t, cls)
     assert got == {(i, j): cost[i, j] for i, j in kernels.assign(cost)}
+
+
+def test_unknown_boxes_of_a_stack_are_left_open():
+    rng = np.random.default_rng(3)
+    cost = rng.random((20, 6, 7))
+    n, m = rng.integers(1, 7, 20), rng.integers(1, 8, 20)
+    # What is padded is read from the last group's last column.
+    n[-1], m[-1], cost[-1], cost[:-1, :, 2] = 1, 3, 0.1, np.nan
+    want = [[g, i, j] for g in range(20) for i, j in kernels.assign_within(cost[g, : n[g], : m[g]], 0.7)[0]]
+    assert kernels.assign_many_within(cost, n, m, 0.7).tolist() == want and want
